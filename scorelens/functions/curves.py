@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import dlit
+
 # The curve's pieces.  0 <= x < 1: (x-1)^2; 1 <= x < 3: a sine
 # easing sin((x-2)*pi/2)/2 + 0.5; everything else (negative, >= 3): 1.
 EASE_START = 1.0
@@ -27,5 +29,5 @@ def speed_deviation_sql(x: str) -> str:
     return (f"(CASE WHEN ({x}) IS NULL THEN NULL "
             f"WHEN ({x}) >= 0 AND ({x}) < {EASE_START} THEN (({x}) - 1) * (({x}) - 1) "
             f"WHEN ({x}) >= {EASE_START} AND ({x}) < {EASE_END} "
-            f"THEN sin((({x}) - 2) * {repr(math.pi)} * 0.5) / 2 + 0.5 "
+            f"THEN sin((({x}) - 2) * {dlit(math.pi)} * 0.5) / 2 + 0.5 "
             f"ELSE 1.0 END)")

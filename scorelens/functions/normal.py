@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import horner, horner_sql
+from .numeric import dlit, horner, horner_sql
 
 # AS241 coefficients, highest power first.
 AS241_CENTRAL_NUM = (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853,
@@ -98,8 +98,9 @@ def cdf_sql(x: str) -> str:
     b = f"({a} + 0.65)"
     for k in ("4.0", "3.0", "2.0", "1.0"):
         b = f"({a} + {k} / {b})"
-    far = f"({e} / {b} / {SQRT_2PI})"
-    lower = f"(CASE WHEN {a} > {HART_FAR} THEN 0.0 WHEN {a} < {HART_SWITCH} THEN {near} ELSE {far} END)"
+    far = f"({e} / {b} / {dlit(SQRT_2PI)})"
+    lower = (f"(CASE WHEN {a} > {dlit(HART_FAR)} THEN 0.0 WHEN {a} < {dlit(HART_SWITCH)} "
+             f"THEN {near} ELSE {far} END)")
     return f"(CASE WHEN ({x}) > 0 THEN 1.0 - {lower} ELSE {lower} END)"
 
 

@@ -23,8 +23,13 @@ def fixed(x: Column, digits: int = FIXED_DIGITS) -> Column:
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def dlit(x: float) -> str:
+    """A DOUBLE literal in SQL that parses to exactly this float."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
 def fixed_sql(x: str, digits: int = FIXED_DIGITS) -> str:
-    scale = repr(float(10 ** digits))
+    scale = dlit(10 ** digits)
     return f"(floor(({x}) * {scale} + 0.5) / {scale})"
 
 
@@ -37,7 +42,7 @@ def horner(coeffs, r: Column) -> Column:
 
 
 def horner_sql(coeffs, r: str) -> str:
-    acc = repr(float(coeffs[0]))
+    acc = dlit(coeffs[0])
     for c in coeffs[1:]:
-        acc = f"({acc} * ({r}) + {repr(float(c))})"
+        acc = f"({acc} * ({r}) + {dlit(c)})"
     return acc

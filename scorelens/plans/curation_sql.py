@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ..config import FIXTURE_CURATION, CurationConfig
 from ..functions.curves import speed_deviation_sql
+from ..functions.numeric import dlit
 from ..functions.scores import (DOUBLE_TIME_BIT, HALF_TIME_BIT, JUDGEMENT_COLUMNS,
                                 WEIGHT_DENOMINATOR_320, WEIGHTS_320)
 from ..sources.fixture import ITEMS_SQL, SCORES_SQL, STEPS_EVENTS_SQL, STEPS_SQL
@@ -30,7 +31,7 @@ SPEED_SQL = (f"CAST(CASE WHEN (enabled_mods >> {HALF_TIME_BIT}) & 1 = 1 THEN -1
 
 
 def _d(x: float) -> str:
-    return f"CAST({float(x)!r} AS DOUBLE)"
+    return dlit(x)
 
 
 def svness_ctes(keys_cte: str, steps_name: str = "steps", out: str = "sv") -> str:

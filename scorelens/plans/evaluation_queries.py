@@ -1 +1,273 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: evaluation aggregates, vector operators, embeddings,
+model fit / predict / save (SURVEY §2.2 P15-P17, §2.5 A7-A11b, §2.9, C4, C6).
+
+Aggregates that only need a ``(truth, prediction)`` frame use a deterministic
+stand-in prediction, the item's mean accuracy, so DuckDB can check them
+exactly; the model-backed keys get the rows-only check.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.sql import functions as F
+
+from ..config import TrainConfig
+from ..functions import fixed, hadamard, silu, vector_concat
+from ..functions.numeric import dlit, fixed_sql
+from ..operators import evaluate as EV
+from ..operators import model as MD
+from ..session import shared_path
+from ..sources.tables import read_table
+from .curation_queries import stages
+from .curation_sql import with_curation
+from .modeling import evaluation_report, holdout_predictions, train
+from .registry import register
+
+EV_CTE = """,
+item_mean AS (SELECT mid, avg(CAST(accuracy AS DOUBLE)) AS pred FROM export GROUP BY mid),
+ev AS (SELECT e.mid, e.uid, CAST(e.accuracy AS DOUBLE) AS y, m.pred
+       FROM export e JOIN item_mean m ON e.mid = m.mid)"""
+
+
+def eval_frame(spark, sf_dir):
+    e = stages(spark, sf_dir).export
+    means = e.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred"))
+    return e.join(means, "mid").select("mid", "uid", F.col("accuracy").cast("double").alias("y"),
+                                       "pred")
+
+
+def _ev(select: str) -> str:
+    return with_curation(EV_CTE + "\n" + select)
+
+
+def _hist_sql(src: str, n: int, part_col: str = "series") -> str:
+    """SQL mirror of ``evaluate.histogram`` over ``src(series, x)``."""
+    nf = dlit(float(n))
+
+    def edge(i):
+        return f"(CASE WHEN {i} >= {n} THEN last ELSE {i} * step + first END)"
+
+    return f""",
+hs AS (SELECT {part_col}, min(x) AS mn, max(x) AS mx FROM {src} GROUP BY {part_col}),
+hp AS (SELECT {part_col}, CASE WHEN mx = mn THEN mn - 0.5 ELSE mn END AS first,
+              CASE WHEN mx = mn THEN mx + 0.5 ELSE mx END AS last FROM hs),
+hq AS (SELECT {part_col}, first, last, (last - first) / {nf} AS step FROM hp),
+h0 AS (SELECT s.{part_col}, s.x, q.first, q.last, q.step,
+              CAST(least(floor((s.x - q.first) / (q.last - q.first) * {nf}), {n - 1}) AS INTEGER) AS i0
+       FROM {src} s JOIN hq q ON s.{part_col} = q.{part_col}),
+h1 AS (SELECT *, CASE WHEN x < {edge('i0')} THEN i0 - 1 ELSE i0 END AS i1 FROM h0),
+h2 AS (SELECT {part_col}, CASE WHEN x >= {edge('(i1 + 1)')} AND i1 <> {n - 1} THEN i1 + 1 ELSE i1 END AS bin
+       FROM h1),
+hc AS (SELECT {part_col}, bin, count(*) AS c FROM h2 GROUP BY {part_col}, bin),
+hb AS (SELECT q.{part_col}, CAST(r.bin AS INTEGER) AS bin, q.first, q.last, q.step
+       FROM hq q CROSS JOIN range({n}) r(bin))"""
+
+
+def _hist_select(part_col: str = "series", n: int = 25, keep_part: bool = True) -> str:
+    lo = fixed_sql("b.bin * b.step + b.first")
+    hi = fixed_sql(f"CASE WHEN b.bin + 1 >= {n} THEN b.last ELSE (b.bin + 1) * b.step + b.first END")
+    part = f"b.{part_col}, " if keep_part else ""
+    return (f"SELECT {part}b.bin, {lo} AS lo, {hi} AS hi, CAST(coalesce(c.c, 0) AS BIGINT) AS count "
+            f"FROM hb b LEFT JOIN hc c ON b.{part_col} = c.{part_col} AND b.bin = c.bin")
+
+
+# ---------------------------------------------------------------- metrics
+_ERR = "(pred - y)"
+
+
+@register("regression_metrics", _ev(
+    f"SELECT count(*) AS n, {fixed_sql(f'avg(abs({_ERR}))')} AS mae, "
+    f"{fixed_sql(f'sqrt(avg({_ERR} * {_ERR}))')} AS rmse, "
+    f"{fixed_sql(f'1.0 - sum({_ERR} * {_ERR}) / (var_pop(y) * count(*))')} AS r2, "
+    f"{fixed_sql(f'1.0 - sum({_ERR} * {_ERR}) / (var_pop(pred) * count(*))')} AS r2_swapped FROM ev"))
+def q_regression_metrics(spark, sf_dir):
+    return EV.regression_metrics(eval_frame(spark, sf_dir), "y", "pred")
+
+
+_BINS = EV.error_bins()
+_BINS_SQL = ", ".join(f"({i}, {dlit(lo)}, {dlit(hi)}, '{lab}')" for i, lo, hi, lab in _BINS)
+
+
+@register("error_by_bin", _ev(f""",
+bins AS (SELECT CAST(bin AS INTEGER) AS bin, lo, hi, bound FROM (VALUES {_BINS_SQL}) t(bin, lo, hi, bound)),
+agg AS (SELECT b.bin, count(*) AS n, avg(abs({_ERR})) AS mae, avg({_ERR} * {_ERR}) AS mse
+        FROM ev JOIN bins b ON ev.y >= b.lo AND ev.y < b.hi GROUP BY b.bin)
+SELECT b.bin, b.lo, b.hi, b.bound, coalesce(a.n, 0) AS n, {fixed_sql('a.mae')} AS mae,
+       {fixed_sql('sqrt(a.mse)')} AS rmse
+FROM bins b LEFT JOIN agg a ON a.bin = b.bin"""))
+def q_error_by_bin(spark, sf_dir):
+    return EV.error_by_bin(eval_frame(spark, sf_dir), "y", "pred")
+
+
+@register("histogram_25", _ev(
+    ",\nhx AS (SELECT 'pred' AS series, pred AS x FROM ev UNION ALL SELECT 'truth' AS series, y AS x FROM ev)"
+    + _hist_sql("hx", 25) + "\n" + _hist_select("series", 25)))
+def q_histogram_25(spark, sf_dir):
+    ev = eval_frame(spark, sf_dir)
+    return EV.histogram(ev, "pred", 25, "pred").unionByName(EV.histogram(ev, "y", 25, "truth"))
+
+
+@register("histogram_100", "WITH hx AS (SELECT 'dim1' AS series, CAST(embedding[2] AS DOUBLE) AS x "
+          "FROM embeddings WHERE embedding[2] IS NOT NULL)"
+          + _hist_sql("hx", 100) + "\n" + _hist_select("series", 100, keep_part=False))
+def q_histogram_100(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings").select(F.col("embedding")[1].alias("x"))
+    return EV.histogram(emb, "x", 100)
+
+
+@register("histogram_2d", _ev(
+    ",\nd AS (SELECT y AS x, abs(pred - y) AS e FROM ev),"
+    "\nb AS (SELECT min(x) AS mnx, max(x) AS mxx, min(e) AS mne, max(e) AS mxe FROM d)"
+    """,
+p AS (SELECT CASE WHEN mxx = mnx THEN mnx - 0.5 ELSE mnx END AS fx,
+             CASE WHEN mxx = mnx THEN mxx + 0.5 ELSE mxx END AS lx,
+             CASE WHEN mxe = mne THEN mne - 0.5 ELSE mne END AS fe,
+             CASE WHEN mxe = mne THEN mxe + 0.5 ELSE mxe END AS le FROM b),
+q AS (SELECT fx, lx, (lx - fx) / 25.0 AS sx, fe, le, (le - fe) / 25.0 AS se FROM p),
+i0 AS (SELECT d.x, d.e, q.*,
+              CAST(least(floor((d.x - fx) / (lx - fx) * 25.0), 24) AS INTEGER) AS ix0,
+              CAST(least(floor((d.e - fe) / (le - fe) * 25.0), 24) AS INTEGER) AS ie0 FROM d, q),
+i1 AS (SELECT *,
+         CASE WHEN x < (CASE WHEN ix0 >= 25 THEN lx ELSE ix0 * sx + fx END) THEN ix0 - 1 ELSE ix0 END AS ix1,
+         CASE WHEN e < (CASE WHEN ie0 >= 25 THEN le ELSE ie0 * se + fe END) THEN ie0 - 1 ELSE ie0 END AS ie1
+       FROM i0),
+i2 AS (SELECT
+         CASE WHEN x >= (CASE WHEN ix1 + 1 >= 25 THEN lx ELSE (ix1 + 1) * sx + fx END) AND ix1 <> 24
+              THEN ix1 + 1 ELSE ix1 END AS bin_x,
+         CASE WHEN e >= (CASE WHEN ie1 + 1 >= 25 THEN le ELSE (ie1 + 1) * se + fe END) AND ie1 <> 24
+              THEN ie1 + 1 ELSE ie1 END AS bin_y
+       FROM i1)
+SELECT bin_x, bin_y, count(*) AS count FROM i2 GROUP BY bin_x, bin_y"""))
+def q_histogram_2d(spark, sf_dir):
+    ev = eval_frame(spark, sf_dir).withColumn("err", F.abs(F.col("pred") - F.col("y")))
+    return EV.histogram_2d(ev, "y", "err", 25)
+
+
+@register("plot_sample")
+def q_plot_sample(spark, sf_dir):
+    """The 10,000 rows kept for plots, a reproducible hash order (a top-k by
+    design: the metrics above use every row)."""
+    ev = eval_frame(spark, sf_dir)
+    return ev.orderBy(F.xxhash64(F.lit(7), "uid", "mid"), "uid", "mid").limit(10000)
+
+
+# ---------------------------------------------------------------- vectors / embeddings
+@register("vector_concat", "SELECT vec_id, list_concat(embedding[1:32], embedding[33:64]) AS v "
+          "FROM embeddings")
+def q_vector_concat(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", vector_concat(F.slice("embedding", 1, 32),
+                                            F.slice("embedding", 33, 32)).alias("v"))
+
+
+@register("factor_product", "SELECT vec_id, list_transform(range(1, 33), lambda i: embedding[i] * embedding[i + 32]) "
+          "AS prod, " + fixed_sql("list_reduce(list_transform(range(1, 33), lambda i: CAST(embedding[i] AS DOUBLE) "
+                                  "* CAST(embedding[i + 32] AS DOUBLE)), lambda a, b: a + b)")
+          + " AS dot FROM embeddings")
+def q_factor_product(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    u, m = F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)
+    dd = F.aggregate(F.zip_with(u, m, lambda a, b: a.cast("double") * b.cast("double")),
+                     F.lit(0.0), lambda acc, x: acc + x)
+    return e.select("vec_id", hadamard(u, m).alias("prod"), fixed(dd).alias("dot"))
+
+
+@register("silu_vector", "SELECT vec_id, list_transform(embedding, lambda x: "
+          + fixed_sql("CAST(x AS DOUBLE) / (1.0 + exp(-CAST(x AS DOUBLE)))") + ") AS act FROM embeddings")
+def q_silu_vector(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    act = F.transform(silu(F.transform("embedding", lambda x: x.cast("double"))), lambda x: fixed(x))
+    return e.select("vec_id", act.alias("act"))
+
+
+@register("minmax_dims", """WITH l AS (
+  SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS dim,
+         CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+s AS (SELECT dim, min(v) AS mn, max(v) AS mx FROM l GROUP BY dim)
+SELECT l.vec_id, l.dim, """ + fixed_sql("CASE WHEN s.mx - s.mn = 0 THEN 0.0 ELSE (l.v - s.mn) / (s.mx - s.mn) END")
+          + " AS value FROM l JOIN s ON l.dim = s.dim")
+def q_minmax_dims(spark, sf_dir):
+    return EV.minmax_long(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@register("embedding_join", "SELECT e.vec_id, e.label, c.c_name, c.c_mktsegment FROM embeddings e "
+          "JOIN customer c ON e.vec_id = c.c_custkey")
+def q_embedding_join(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vec_id"),
+                                                      "c_name", "c_mktsegment")
+    return e.join(c, "vec_id")
+
+
+@register("embedding_pca")
+def q_embedding_pca(spark, sf_dir):
+    """Explained-variance ratio of 6 components of the 64-d embeddings."""
+    _, explained = EV.pca(read_table(spark, sf_dir, "embeddings"), "embedding", 6, "vec_id")
+    return explained
+
+
+# ---------------------------------------------------------------- model-backed
+_TRAIN_CFG = TrainConfig(max_iter=8)
+
+
+@lru_cache(maxsize=4)
+def _trained(spark, sf_dir):
+    return train(stages(spark, sf_dir).export, _TRAIN_CFG)
+
+
+@register("factor_model")
+def q_factor_model(spark, sf_dir):
+    """User factors with their keys: ``(uid, code, emb)``."""
+    tr = _trained(spark, sf_dir)
+    return tr.model.user_factors.join(
+        tr.table.uid_codes.select(F.col("label").alias("uid"), "code"), "code")
+
+
+@register("holdout_predictions")
+def q_holdout_predictions(spark, sf_dir):
+    return holdout_predictions(_trained(spark, sf_dir), "val")
+
+
+@register("predict_pairs")
+def q_predict_pairs(spark, sf_dir):
+    """Every test-part pair scored in one plan (keys known by construction)."""
+    tr = _trained(spark, sf_dir)
+    pairs = tr.table.rows.where(F.col("part") == "test").select("uid", "mid")
+    return MD.predict(tr.model, pairs, on_unknown="error")
+
+
+@register("evaluation_report")
+def q_evaluation_report(spark, sf_dir):
+    return evaluation_report(holdout_predictions(_trained(spark, sf_dir), "val"))
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save, load, score the val part with both; the difference must be 0."""
+    tr = _trained(spark, sf_dir)
+    path = shared_path(spark, "models", "roundtrip")
+    MD.save(tr.model, path)
+    loaded = MD.load(spark, path)
+    rows = tr.table.rows.where(F.col("part") == "val").select("uid", "mid")
+    a = MD.predict(tr.model, rows, on_unknown="null").withColumnRenamed("pred", "p1")
+    b = MD.predict(loaded, rows, on_unknown="null").withColumnRenamed("pred", "p2")
+    key = ["uid", "mid"]
+    return (a.groupBy(key).agg(F.first("p1").alias("p1"))
+            .join(b.groupBy(key).agg(F.first("p2").alias("p2")), key)
+            .select(*key, F.abs(F.col("p1") - F.col("p2")).alias("diff")))
+
+
+@register("embedding_report")
+def q_embedding_report(spark, sf_dir):
+    """Item factors -> PCA (6) -> min-max, decoded to (beatmap_id, speed) and
+    joined to item metadata."""
+    tr = _trained(spark, sf_dir)
+    proj, _ = EV.pca(tr.model.item_factors, "emb", 6, "code")
+    dec = proj.join(tr.table.mid_codes.select("code", "label"), "code")
+    dec = dec.select(F.split_part("label", F.lit("/"), F.lit(1)).cast("bigint").alias("beatmap_id"),
+                     F.split_part("label", F.lit("/"), F.lit(2)).alias("speed"), "pc")
+    meta = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("beatmap_id"), F.col("p_name").alias("filename"),
+        (F.col("p_size") / 4.0).alias("difficultyrating"))
+    return dec.join(meta, "beatmap_id")

@@ -27,6 +27,12 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# Local sessions (tests, bench) run everything in the driver JVM.
+LOCAL_CONF = {
+    "spark.driver.memory": "16g",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+}
+
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "scorelens", extra: dict | None = None) -> SparkSession:
@@ -35,6 +41,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -5,6 +5,11 @@ bounds), numbers rows inside each range partition with a window partitioned
 by that partition, and adds the total of all earlier partitions.  The only
 single-task step works on one row per partition, so its size is bounded by
 the partition count, never by the data.
+
+The partition id is written out with the rows once (``stage``) before the two
+branches (local numbering, partition totals) read it: range bounds come from a
+sample of shuffle output, whose row order is not deterministic, so two
+independent evaluations of the range exchange may disagree.
 """
 
 from __future__ import annotations
@@ -12,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
+
 
 def _n_parts(df: DataFrame, n: int | None) -> int:
     if n:
@@ -20,7 +27,8 @@ def _n_parts(df: DataFrame, n: int | None) -> int:
 
 
 def prefix_sum(df: DataFrame, order_cols: list[str], weight: str | None = None,
-               out: str = "cum", n_partitions: int | None = None) -> DataFrame:
+               out: str = "cum", n_partitions: int | None = None,
+               stage_mode: str = "table") -> DataFrame:
     """Add ``out`` = sum of ``weight`` (1 per row by default) over all rows up
     to and including this one in ``order_cols`` order.  Rows that tie on every
     order column are numbered in an arbitrary order, so ties should be
@@ -29,6 +37,7 @@ def prefix_sum(df: DataFrame, order_cols: list[str], weight: str | None = None,
     ranged = (df.repartitionByRange(_n_parts(df, n_partitions), *order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_w", w.cast("bigint")))
+    ranged = stage(ranged, "ranked", stage_mode)
     local = ranged.withColumn(
         "_local", F.sum("_w").over(Window.partitionBy("_pid").orderBy(*order_cols)
                                    .rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -1 +1,202 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: request grid, lookups and the prediction grid
+(SURVEY §2.2 P6/P11/P12, §2.3 F6-F8, §2.4 J9-J11, §2.5 A12/A15, M3c, O6, C5).
+
+Requests come from ``events``: user ``user_id``, item ``props.k``.  Keys
+without a model use a deterministic stand-in predictor, the item key's mean
+accuracy over the curated set, so DuckDB can check them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed, item_title, json_first, key_part
+from ..functions.numeric import fixed_sql
+from ..operators import features as FT
+from ..operators import model as MD
+from ..operators import serve as SV
+from ..sources import fixture
+from ..sources.tables import read_table
+from .curation_queries import stages
+from .curation_sql import curation_ctes, with_curation
+from .evaluation_queries import _trained
+from .registry import register
+
+# Fixture parameter: the newest score year of the test tables.
+MODEL_YEAR = 2001
+
+
+def requests(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    k = json_first(F.concat(F.lit("["), F.col("props"), F.lit("]")), "struct<k:bigint>")["k"]
+    return ev.select("event_id", F.col("user_id").cast("bigint").alias("user_id"),
+                     k.alias("beatmap_id"), "event_type")
+
+
+REQ_SQL = ("requests AS (SELECT event_id, CAST(user_id AS BIGINT) AS user_id, "
+           "CAST(json_extract('[' || props || ']', '$[0].k') AS BIGINT) AS beatmap_id, event_type "
+           "FROM events)")
+GRID_SQL = f"""grid AS (
+  SELECT r.*, s.speed, y.year,
+         CONCAT(CAST(r.user_id AS VARCHAR), '/', CAST(y.year AS VARCHAR)) AS uid_key,
+         CONCAT(CAST(r.beatmap_id AS VARCHAR), '/', CAST(s.speed AS VARCHAR)) AS mid_key,
+         CASE s.speed WHEN -1 THEN 'HT' WHEN 0 THEN 'NT' WHEN 1 THEN 'DT' END AS speed_label
+  FROM requests r CROSS JOIN (VALUES (-1), (0), (1)) s(speed)
+  CROSS JOIN range({MODEL_YEAR - SV.YEARS_SEARCH}, {MODEL_YEAR + 1}) y(year)),
+known AS (
+  SELECT * FROM grid WHERE uid_key IN (SELECT uid FROM export) AND mid_key IN (SELECT mid FROM export)),
+item_mean AS (SELECT mid, avg(CAST(accuracy AS DOUBLE)) AS pred FROM export GROUP BY mid),
+scored AS (SELECT k.*, m.pred FROM known k JOIN item_mean m ON k.mid_key = m.mid
+           WHERE m.pred IS NOT NULL AND m.pred <> 0),
+latest AS (SELECT * FROM scored s
+           WHERE year = (SELECT max(year) FROM scored s2 WHERE s2.event_id = s.event_id))"""
+
+
+def _with_grid(select: str) -> str:
+    return "WITH " + curation_ctes() + f",\n{REQ_SQL},\n{GRID_SQL}\n{select}"
+
+
+def _labels(export):
+    return (export.select(F.col("uid").alias("label")).distinct(),
+            export.select(F.col("mid").alias("label")).distinct())
+
+
+def _grid(spark, sf_dir, export):
+    g = SV.request_grid(requests(spark, sf_dir), "user_id", "beatmap_id", MODEL_YEAR)
+    return g.withColumn("year", F.col("year").cast("int")).withColumn("speed", F.col("speed").cast("int"))
+
+
+def _scored(spark, sf_dir):
+    export = stages(spark, sf_dir).export
+    uids, mids = _labels(export)
+    known = SV.known_pairs(_grid(spark, sf_dir, export), uids, mids)
+    means = export.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred"))
+    return SV.truthy(known.join(means.withColumnRenamed("mid", "mid_key"), "mid_key"))
+
+
+_GRID_COLS = "event_id, user_id, beatmap_id, event_type, speed, year, uid_key, mid_key, speed_label"
+
+
+@register("request_grid", _with_grid(f"SELECT {_GRID_COLS} FROM grid"))
+def q_request_grid(spark, sf_dir):
+    return _grid(spark, sf_dir, None)
+
+
+@register("known_pairs", _with_grid(f"SELECT {_GRID_COLS} FROM known"))
+def q_known_pairs(spark, sf_dir):
+    export = stages(spark, sf_dir).export
+    uids, mids = _labels(export)
+    return SV.known_pairs(_grid(spark, sf_dir, export), uids, mids)
+
+
+@register("latest_year", _with_grid(
+    f"SELECT event_id, year, speed_label, {fixed_sql('pred')} AS pred FROM latest"))
+def q_latest_year(spark, sf_dir):
+    lat = SV.latest_year(_scored(spark, sf_dir), ["event_id"])
+    return lat.select("event_id", "year", "speed_label", fixed(F.col("pred")).alias("pred"))
+
+
+def _cmp_sql():
+    cols = []
+    for s, lab in ((-1, "HT"), (0, "NT"), (1, "DT")):
+        cols.append(f"max(CASE WHEN speed = {s} THEN pred END) AS {lab}")
+    return ("SELECT event_id, " + ", ".join(fixed_sql(c) + f" AS {c}" for c in ("HT", "NT", "DT"))
+            + ", " + fixed_sql("HT - NT") + " AS delta_ht, " + fixed_sql("DT - NT") + " AS delta_dt, "
+            "HT < NT AS ht_below_nt, DT > NT AS dt_above_nt FROM (SELECT event_id, "
+            + ", ".join(cols) + " FROM latest GROUP BY event_id)")
+
+
+@register("speed_comparison", _with_grid(_cmp_sql()))
+def q_speed_comparison(spark, sf_dir):
+    lat = SV.latest_year(_scored(spark, sf_dir), ["event_id"])
+    c = SV.speed_comparison(lat, ["event_id"])
+    return c.select("event_id", *[fixed(F.col(x)).alias(x) for x in ("HT", "NT", "DT", "delta_ht",
+                                                                     "delta_dt")],
+                    "ht_below_nt", "dt_above_nt")
+
+
+@register("prediction_count", _with_grid(
+    "SELECT (SELECT count(*) FROM requests) AS n_requests, count(*) AS n_predictions FROM scored"))
+def q_prediction_count(spark, sf_dir):
+    n_req = requests(spark, sf_dir).select(F.count(F.lit(1))).scalar()
+    return _scored(spark, sf_dir).agg(n_req.alias("n_requests"),
+                                      F.count(F.lit(1)).alias("n_predictions"))
+
+
+@register("unknown_keys", _with_grid(
+    "SELECT DISTINCT uid_key FROM grid WHERE uid_key NOT IN (SELECT uid FROM export)"))
+def q_unknown_keys(spark, sf_dir):
+    export = stages(spark, sf_dir).export
+    uids, _ = _labels(export)
+    g = _grid(spark, sf_dir, export).select("uid_key")
+    return FT.unknown_labels(g, "uid_key", uids)
+
+
+@register("unplayed_pairs", with_curation(
+    "SELECT uid, count(DISTINCT mid) AS n_played, "
+    "(SELECT count(DISTINCT mid) FROM export) - count(DISTINCT mid) AS n_unplayed "
+    "FROM export GROUP BY uid"))
+def q_unplayed_pairs(spark, sf_dir):
+    return SV.unplayed_counts(stages(spark, sf_dir).export)
+
+
+@register("decode_keys", with_curation(
+    "SELECT DISTINCT uid, CAST(split_part(uid, '/', 1) AS INTEGER) AS user_id, "
+    "split_part(uid, '/', 2) AS year FROM export"))
+def q_decode_keys(spark, sf_dir):
+    e = stages(spark, sf_dir).export
+    return e.select("uid", key_part("uid", 1, as_int=True).alias("user_id"),
+                    key_part("uid", 2).alias("year")).distinct()
+
+
+@register("item_title", "SELECT CAST(p_partkey AS BIGINT) AS beatmap_id, "
+          "p_brand || ' - ' || p_name || ' (' || p_type || ') [' || CAST(p_size AS VARCHAR) || ']' "
+          "AS title FROM part")
+def q_item_title(spark, sf_dir):
+    m = fixture.item_meta(spark, sf_dir)
+    return m.select("beatmap_id", item_title("artist", "title", "creator", "version").alias("title"))
+
+
+@register("json_first", "SELECT event_id, CAST(json_extract('[' || props || ']', '$[0].k') AS BIGINT) "
+          "AS k FROM events")
+def q_json_first(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    k = json_first(F.concat(F.lit("["), F.col("props"), F.lit("]")), "struct<k:bigint>")["k"]
+    return ev.select("event_id", k.alias("k"))
+
+
+@register("resolve_user", """WITH req AS (
+  SELECT event_id, CASE WHEN event_type = 'click' THEN printf('Customer#%09d', user_id)
+                        ELSE CAST(user_id AS VARCHAR) END AS user_text FROM events),
+r AS (SELECT req.*, CASE WHEN regexp_full_match(user_text, '[0-9]+') THEN CAST(user_text AS BIGINT) END AS _id
+      FROM req)
+SELECT r.event_id, r.user_text,
+       coalesce(cn.c_custkey, r._id) AS uid,
+       coalesce(ci.c_name, CASE WHEN cn.c_custkey IS NOT NULL THEN r.user_text END) AS username
+FROM r LEFT JOIN customer ci ON ci.c_custkey = r._id
+       LEFT JOIN customer cn ON cn.c_name = r.user_text AND r._id IS NULL""")
+def q_resolve_user(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    req = ev.select("event_id", F.when(F.col("event_type") == "click",
+                                       F.format_string("Customer#%09d", "user_id"))
+                    .otherwise(F.col("user_id").cast("string")).alias("user_text"))
+    users = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"),
+                                                          F.col("c_name").alias("username"))
+    return SV.resolve_user(req, "user_text", users)
+
+
+@register("random_label")
+def q_random_label(spark, sf_dir):
+    uids, _ = _labels(stages(spark, sf_dir).export)
+    return SV.random_label(uids, 42)
+
+
+@register("prediction_grid")
+def q_prediction_grid(spark, sf_dir):
+    """C5 with the factor model: grid -> known pairs -> scores -> truthy ->
+    latest year -> HT/NT/DT comparison, one row per request."""
+    tr = _trained(spark, sf_dir)
+    g = _grid(spark, sf_dir, None)
+    known = SV.known_pairs(g, tr.table.uid_codes, tr.table.mid_codes)
+    scored = SV.truthy(MD.predict(tr.model, known, "uid_key", "mid_key", on_unknown="drop"))
+    return SV.speed_comparison(SV.latest_year(scored, ["event_id"]), ["event_id"])

@@ -1 +1,125 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: streaming jobs (T1, T2) and sources / sinks (S4-S9,
+S13).  Each streaming key's oracle is the batch SQL of the same computation
+(stream = batch)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..functions.numeric import fixed_sql
+from ..operators.metric import scroll_variance
+from ..session import shared_path
+from ..sources import files, sinks
+from ..sources.tables import TABLES, read_table, table_path
+from ..streaming import scoring as ST
+from .curation_queries import stages
+from .curation_sql import curation_ctes, with_curation
+from .registry import register
+
+_ITEM_MEAN_SQL = (",\nitem_mean AS (SELECT mid, avg(CAST(accuracy AS DOUBLE)) AS pred FROM export GROUP BY mid),"
+                  "\nreq AS (SELECT event_id, CAST(user_id AS BIGINT) AS user_id, event_type, "
+                  "CAST(json_extract('[' || props || ']', '$[0].k') AS BIGINT) AS beatmap_id FROM events),"
+                  "\nscored AS (SELECT r.*, CONCAT(CAST(r.beatmap_id AS VARCHAR), '/0') AS mid_key, m.pred "
+                  "FROM req r LEFT JOIN item_mean m ON m.mid = CONCAT(CAST(r.beatmap_id AS VARCHAR), '/0'))")
+
+
+def _scored_stream(spark, sf_dir):
+    export = stages(spark, sf_dir).export
+    means = sinks.stage(export.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred")),
+                        "item_mean")
+    schema = read_table(spark, sf_dir, "events").schema
+    req = ST.request_stream(spark, sf_dir, "events.parquet", schema)
+    return ST.score_requests(req, means)
+
+
+@register("stream_scoring", "WITH " + curation_ctes() + _ITEM_MEAN_SQL
+          + f"\nSELECT event_id, user_id, mid_key, {fixed_sql('pred')} AS pred FROM scored")
+def q_stream_scoring(spark, sf_dir):
+    """T1: request stream joined to the static item table (append sink)."""
+    s = _scored_stream(spark, sf_dir)
+    out = ST.run_to_table(s.select("event_id", "user_id", "mid_key", "pred"), "scoring")
+    return spark.read.parquet(out).select("event_id", "user_id", "mid_key",
+                                          fixed(F.col("pred")).alias("pred"))
+
+
+@register("stream_prediction_count", "WITH " + curation_ctes() + _ITEM_MEAN_SQL
+          + "\nSELECT event_type, count(*) AS n_requests, count(pred) AS n_predictions "
+            "FROM scored GROUP BY event_type")
+def q_stream_prediction_count(spark, sf_dir):
+    """T2: running counts per request type (stateful aggregate, complete mode)."""
+    s = _scored_stream(spark, sf_dir)
+    out = ST.run_to_table(ST.prediction_counts(s), "prediction_count", "complete")
+    return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------- sources / sinks
+@register("csv_roundtrip", with_curation("SELECT * FROM export"))
+def q_csv_roundtrip(spark, sf_dir):
+    """Export as headered CSV, read back with the explicit training schema."""
+    e = stages(spark, sf_dir).export
+    path = sinks.write_csv(e, shared_path(spark, "export_csv"))
+    return sinks.read_csv(spark, path, "mid string, uid string, accuracy float")
+
+
+@register("export_dataset")
+def q_export_dataset(spark, sf_dir):
+    """The exported text itself: a header line, then ``mid,uid,accuracy``."""
+    e = stages(spark, sf_dir).export
+    path = sinks.write_csv(e.coalesce(1), shared_path(spark, "export_text"))
+    return spark.read.text(path)
+
+
+@register("tsv_roundtrip", "SELECT CAST(c_custkey AS BIGINT) AS user_id, c_name AS username, "
+          "c_mktsegment AS segment FROM customer")
+def q_tsv_roundtrip(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("user_id"), F.col("c_name").alias("username"),
+        F.col("c_mktsegment").alias("segment"))
+    path = sinks.write_csv(c, shared_path(spark, "users_tsv"), sep="\t")
+    return sinks.read_csv(spark, path, "user_id bigint, username string, segment string", sep="\t")
+
+
+@register("materialize", with_curation("SELECT * FROM curated"))
+def q_materialize(spark, sf_dir):
+    """Replace-a-table: the curated scores written (overwrite) and read back."""
+    cur = stages(spark, sf_dir).curated
+    path = shared_path(spark, "tables", "active_scores", unique=False)
+    sinks.write_table(cur, path)
+    return spark.read.parquet(path)
+
+
+@register("key_files_scan", with_curation(
+    f"SELECT e.mid, {fixed_sql('m.svness')} AS svness, "
+    "e.mid IN (SELECT mid FROM metric_keys WHERE mid IN (SELECT mid FROM steps)) AS has_file "
+    "FROM eligible e LEFT JOIN item_metric m ON e.mid = m.mid"))
+def q_key_files_scan(spark, sf_dir):
+    """One text file of ``offset,speed`` lines per active item, written from
+    the step table and read back; every eligible item is a key, and keys
+    without a file keep a NULL metric (``has_file`` reports them)."""
+    st = stages(spark, sf_dir, stage_mode="none")
+    active = st.active_items.select("mid").distinct()
+    path = shared_path(spark, "key_files")
+    files.write_key_files(st_steps(spark, sf_dir).join(active, "mid", "left_semi"), "mid", path)
+    steps = files.read_key_files(spark, path, "mid")
+    found = steps.select("mid").distinct().withColumn("has_file", F.lit(True))
+    sv = scroll_variance(steps, "mid")
+    return (st.eligible.join(sv, "mid", "left").join(found, "mid", "left")
+            .select("mid", fixed(F.col("svness")).alias("svness"),
+                    F.coalesce("has_file", F.lit(False)).alias("has_file")))
+
+
+def st_steps(spark, sf_dir):
+    from ..sources import fixture
+    return fixture.steps(spark, sf_dir)
+
+
+@register("preflight", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, true AS readable, (SELECT count(*) > 0 FROM {t}) AS has_rows"
+    for t in TABLES))
+def q_preflight(spark, sf_dir):
+    from ..sources.tables import preflight
+    return preflight(spark, sf_dir)
+
+
+__all__ = ["table_path"]

@@ -28,9 +28,11 @@ class CurationStages:
 
 def curation_stages(scores: DataFrame, items: DataFrame, steps: DataFrame,
                     cfg: CurationConfig, stage_mode: str = "table",
-                    rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> CurationStages:
+                    rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET,
+                    export_stage_mode: str | None = None) -> CurationStages:
     """Declare every stage.  ``item_scores`` feeds both activity counts and the
-    final semi joins, so it is staged once (see ``sources.sinks.stage``)."""
+    final semi joins, so it is staged once (see ``sources.sinks.stage``); so is
+    the exported training set."""
     prepared = C.prepare_scores(scores, cfg)
     eligible = C.eligible_items(items, cfg)
     scored = stage(C.item_scores(prepared, eligible), "item_scores", stage_mode)
@@ -39,8 +41,12 @@ def curation_stages(scores: DataFrame, items: DataFrame, steps: DataFrame,
     metric = item_metric(act_items, steps, "mid", rows_per_bucket)
     low_var = C.low_variance_items(act_items, metric, cfg)
     curated = C.curated_scores(scored, low_var, act_users, cfg)
+    # The export feeds every later job (fit, split, evaluation), which read it
+    # several times each: it is written once, like the reference's dataset file.
+    export = stage(C.export_dataset(curated), "export",
+                   stage_mode if export_stage_mode is None else export_stage_mode)
     return CurationStages(prepared, eligible, scored, act_items, act_users, metric, low_var,
-                          curated, C.export_dataset(curated))
+                          curated, export)
 
 
 def curate(scores: DataFrame, items: DataFrame, steps: DataFrame, cfg: CurationConfig,

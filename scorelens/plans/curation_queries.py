@@ -20,9 +20,11 @@ from .registry import register
 CFG = FIXTURE_CURATION
 
 
-def stages(spark, sf_dir, cfg: CurationConfig = CFG, stage_mode: str = "table"):
+def stages(spark, sf_dir, cfg: CurationConfig = CFG, stage_mode: str = "table",
+           export_stage_mode: str | None = None):
     return curation_stages(fixture.scores(spark, sf_dir), fixture.items(spark, sf_dir),
-                           fixture.steps(spark, sf_dir), cfg, stage_mode)
+                           fixture.steps(spark, sf_dir), cfg, stage_mode,
+                           export_stage_mode=export_stage_mode)
 
 
 # ---------------------------------------------------------------- sources
@@ -139,7 +141,7 @@ def q_low_variance_items(spark, sf_dir):
 
 @register("curated_scores", with_curation("SELECT * FROM curated"))
 def q_curated_scores(spark, sf_dir):
-    return stages(spark, sf_dir).curated
+    return stages(spark, sf_dir, export_stage_mode="none").curated
 
 
 _BY_YEAR = CurationConfig(**{**CFG.__dict__, "user_key": "uid_year"})
@@ -147,7 +149,7 @@ _BY_YEAR = CurationConfig(**{**CFG.__dict__, "user_key": "uid_year"})
 
 @register("curated_scores_by_year", with_curation("SELECT * FROM curated", _BY_YEAR))
 def q_curated_scores_by_year(spark, sf_dir):
-    return stages(spark, sf_dir, _BY_YEAR).curated
+    return stages(spark, sf_dir, _BY_YEAR, export_stage_mode="none").curated
 
 
 @register("curate_dataset", with_curation("SELECT * FROM export"))
@@ -165,7 +167,7 @@ def q_curate_dataset(spark, sf_dir):
     "SELECT '6_low_variance_items', count(*) FROM low_variance UNION ALL "
     "SELECT '7_curated', count(*) FROM curated"))
 def q_curation_funnel(spark, sf_dir):
-    st = stages(spark, sf_dir)
+    st = stages(spark, sf_dir, export_stage_mode="none")
     return funnel(st, fixture.scores(spark, sf_dir))
 
 

@@ -83,7 +83,7 @@ def q_tsv_roundtrip(spark, sf_dir):
 @register("materialize", with_curation("SELECT * FROM curated"))
 def q_materialize(spark, sf_dir):
     """Replace-a-table: the curated scores written (overwrite) and read back."""
-    cur = stages(spark, sf_dir).curated
+    cur = stages(spark, sf_dir, export_stage_mode="none").curated
     path = shared_path(spark, "tables", "active_scores", unique=False)
     sinks.write_table(cur, path)
     return spark.read.parquet(path)

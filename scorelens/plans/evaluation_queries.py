@@ -16,12 +16,14 @@ from ..config import TrainConfig
 from ..functions import fixed, hadamard, silu, vector_concat
 from ..functions.numeric import dlit, fixed_sql
 from ..operators import evaluate as EV
+from ..operators import head as HD
 from ..operators import model as MD
 from ..session import shared_path
 from ..sources.tables import read_table
 from .curation_queries import stages
 from .curation_sql import with_curation
-from .modeling import evaluation_report, holdout_predictions, train
+from .modeling import (evaluation_report, head_predictions, holdout_predictions, train,
+                       train_two_branch)
 from .registry import register
 
 EV_CTE = """,
@@ -271,3 +273,40 @@ def q_embedding_report(spark, sf_dir):
         F.col("p_partkey").alias("beatmap_id"), F.col("p_name").alias("filename"),
         (F.col("p_size") / 4.0).alias("difficultyrating"))
     return dec.join(meta, "beatmap_id")
+
+
+@lru_cache(maxsize=4)
+def _head(spark, sf_dir):
+    return train_two_branch(_trained(spark, sf_dir))
+
+
+@register("als_metrics")
+def q_als_metrics(spark, sf_dir):
+    """A7/A8 on the ALS model's validation predictions (cold-start rows excluded)."""
+    pred = holdout_predictions(_trained(spark, sf_dir), "val")
+    return EV.regression_metrics(pred.where(F.col("pred").isNotNull()), "y", "pred")
+
+
+@register("epoch_log")
+def q_epoch_log(spark, sf_dir):
+    """M12: one row per data-parallel epoch of the two-branch head."""
+    return HD.epoch_log(spark, _head(spark, sf_dir))
+
+
+@register("best_epoch")
+def q_best_epoch(spark, sf_dir):
+    """O2: the epoch with the lowest validation loss (its parameters are kept)."""
+    return HD.best_epoch(HD.epoch_log(spark, _head(spark, sf_dir)))
+
+
+@register("forward_scores")
+def q_forward_scores(spark, sf_dir):
+    """M5: validation pairs scored by the two-branch head (JVM-side forward)."""
+    return head_predictions(_trained(spark, sf_dir), _head(spark, sf_dir), "val")
+
+
+@register("head_metrics")
+def q_head_metrics(spark, sf_dir):
+    """A7/A8 on the two-branch head's validation predictions."""
+    pred = head_predictions(_trained(spark, sf_dir), _head(spark, sf_dir), "val")
+    return EV.regression_metrics(pred.where(F.col("pred").isNotNull()), "y", "pred")

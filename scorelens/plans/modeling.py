@@ -55,3 +55,29 @@ def evaluation_report(pred: DataFrame) -> DataFrame:
     bins = bins.select(F.lit("mae_by_bin").alias("section"), F.col("bound").alias("key"),
                        F.col("mae").alias("value"))
     return metrics.unionByName(bins)
+
+
+def with_factors(tr: Trained, rows: DataFrame, how: str = "left") -> DataFrame:
+    """Attach the user and item factors (arrays) to coded rows: two joins on
+    the codes (``left``: a key without a factor keeps NULL); AQE broadcasts a
+    factor table only after measuring it."""
+    uf = tr.model.user_factors.select(F.col("code").alias("uid_le"), F.col("emb").alias("eu"))
+    itf = tr.model.item_factors.select(F.col("code").alias("mid_le"), F.col("emb").alias("em"))
+    return rows.join(uf, "uid_le", how).join(itf, "mid_le", how)
+
+
+def train_two_branch(tr: Trained, cfg=None):
+    """Fit the two-branch head (``operators.head``) on the ALS factors."""
+    from ..operators import head as HD
+    rows = with_factors(tr, tr.table.rows.select("uid_le", "mid_le", "y", "part"), "inner")
+    return HD.train_head(rows, cfg or HD.HeadConfig())
+
+
+def head_predictions(tr: Trained, head, part: str = "val") -> DataFrame:
+    """Holdout rows scored by the head, back on the accuracy scale."""
+    from ..operators import head as HD
+    rows = with_factors(tr, tr.table.rows.where(F.col("part") == part)
+                        .select("uid", "mid", "uid_le", "mid_le", "accuracy"))
+    z = HD.forward(rows, head, "z")
+    back = FT.inverse(z, "z", tr.model.quantiles, "pred")
+    return back.select("mid", "uid", F.col("accuracy").cast("double").alias("y"), "pred")

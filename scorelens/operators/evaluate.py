@@ -103,8 +103,9 @@ def histogram(df: DataFrame, col: str, n: int = 25, series: str | None = None) -
     the whole histogram is one plan."""
     spark = df.sparkSession
     x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    mn = x.select(F.min("_x")).scalar()
-    mx = x.select(F.max("_x")).scalar()
+    # one scalar subquery (a struct) so min and max cost a single pass
+    bnd = x.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
+    mn, mx = bnd.getField("lo"), bnd.getField("hi")
     binned = _with_bins(x, "_x", mn, mx, n, "bin")
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     bounds = (spark.range(1).select(mn.alias("_lo"), mx.alias("_hi"))
@@ -131,8 +132,9 @@ def histogram_2d(df: DataFrame, xcol: str, ycol: str, n: int = 25) -> DataFrame:
     """Non-empty cells of an n x n histogram: ``(bin_x, bin_y, count)``."""
     d = df.select(F.col(xcol).cast("double").alias("_x"), F.col(ycol).cast("double").alias("_y")) \
         .where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    mnx, mxx = d.select(F.min("_x")).scalar(), d.select(F.max("_x")).scalar()
-    mny, mxy = d.select(F.min("_y")).scalar(), d.select(F.max("_y")).scalar()
+    bnd = d.select(F.struct(F.min("_x").alias("lx"), F.max("_x").alias("hx"),
+                            F.min("_y").alias("ly"), F.max("_y").alias("hy"))).scalar()
+    mnx, mxx, mny, mxy = (bnd.getField(f) for f in ("lx", "hx", "ly", "hy"))
     t = _with_bins(d, "_x", mnx, mxx, n, "bin_x").drop("_first", "_last", "_step")
     t = _with_bins(t, "_y", mny, mxy, n, "bin_y")
     return t.groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("count"))

@@ -213,10 +213,16 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
     schema = "n long, sq double, params array<double>"
     for epoch in range(cfg.epochs):
         ordered = feats.withColumn("_o", F.xxhash64(F.lit(cfg.seed), F.lit(epoch), "uid_le", "mid_le"))
-        parts = ordered.mapInPandas(_local_epoch(head.params, d, cfg, lr), schema).collect()
-        total = sum(r["n"] for r in parts)  # one row per partition
-        head.params = sum(np.array(r["params"]) * r["n"] for r in parts) / total
-        train_loss = sum(r["sq"] for r in parts) / total
+        parts = ordered.mapInPandas(_local_epoch(head.params, d, cfg, lr), schema)
+        # Row-weighted average of the partitions' parameters, summed on the
+        # executors: one row per parameter reaches the driver, whatever the
+        # partition count.
+        avg = (parts.select("n", "sq", F.posexplode("params").alias("i", "v"))
+               .groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"),
+                                 F.sum("n").alias("n"), F.sum("sq").alias("sq"))
+               .orderBy("i").collect())
+        head.params = np.array([r["v"] for r in avg], dtype=np.float64)
+        train_loss = avg[0]["sq"] / avg[0]["n"]
         val_loss = forward(val, head).select(F.avg((F.col("z") - F.col("y")) ** 2)).first()[0]
         head.log.append((epoch, lr, float(train_loss), float(val_loss)))
         if best_loss is None or val_loss < best_loss - cfg.min_delta:

@@ -20,12 +20,6 @@ from pyspark.sql import functions as F
 from ..sources.sinks import stage
 
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def prefix_sum(df: DataFrame, order_cols: list[str], weight: str | None = None,
                out: str = "cum", n_partitions: int | None = None,
                stage_mode: str = "table") -> DataFrame:
@@ -34,7 +28,12 @@ def prefix_sum(df: DataFrame, order_cols: list[str], weight: str | None = None,
     order column are numbered in an arbitrary order, so ties should be
     interchangeable (identical rows) or made unique by the caller."""
     w = F.col(weight) if weight else F.lit(1)
-    ranged = (df.repartitionByRange(_n_parts(df, n_partitions), *order_cols)
+    # Without an explicit count AQE may coalesce adjacent ranges (small data)
+    # while the shuffle-partition setting sizes the split at scale; a coalesced
+    # partition is still one contiguous range, so its id keeps the order.
+    ranged = (df.repartitionByRange(n_partitions, *order_cols) if n_partitions
+              else df.repartitionByRange(*order_cols))
+    ranged = (ranged
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_w", w.cast("bigint")))
     ranged = stage(ranged, "ranked", stage_mode)

@@ -188,8 +188,10 @@ def _local_epoch(params: np.ndarray, d: int, cfg: HeadConfig, lr: float):
 
 
 def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str = "train",
-               val_part: str = "val") -> Head:
-    """``rows``: ``(eu array, em array, y, part, uid_le, mid_le)``."""
+               val_part: str = "val", quantiles=None) -> Head:
+    """``rows``: ``(eu array, em array, y, part, uid_le, mid_le)`` and, for a
+    validation MAE on the original scale, ``accuracy`` plus the fitted
+    ``quantiles`` (the loss itself is on the normalised scale)."""
     d = cfg.dim
     tr = rows.where(F.col("part") == train_part)
     stats = tr.agg(*[F.avg(F.col("eu")[i].cast("double")).alias(f"mu_u{i}") for i in range(d)],
@@ -208,7 +210,9 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
                 init_params(d, cfg.seed, float(stats["y_mean"] or 0.0)))
     # Every epoch reads the same standardised rows: write them once.
     feats = stage(features(tr, head).select("zu", "zm", "y", "uid_le", "mid_le"), "head_train")
-    val = stage(rows.where(F.col("part") == val_part).select("eu", "em", "y"), "head_val")
+    with_mae = quantiles is not None and "accuracy" in rows.columns
+    val_cols = ["eu", "em", "y"] + (["accuracy"] if with_mae else [])
+    val = stage(rows.where(F.col("part") == val_part).select(*val_cols), "head_val")
     best, best_loss, bad, lr = head.params, None, 0, cfg.lr
     schema = "n long, sq double, params array<double>"
     for epoch in range(cfg.epochs):
@@ -223,8 +227,15 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
                .orderBy("i").collect())
         head.params = np.array([r["v"] for r in avg], dtype=np.float64)
         train_loss = avg[0]["sq"] / avg[0]["n"]
-        val_loss = forward(val, head).select(F.avg((F.col("z") - F.col("y")) ** 2)).first()[0]
-        head.log.append((epoch, lr, float(train_loss), float(val_loss)))
+        scored = forward(val, head)
+        val_loss = scored.select(F.avg((F.col("z") - F.col("y")) ** 2)).first()[0]
+        val_mae = None
+        if with_mae:
+            from .features import inverse
+            back = inverse(scored, "z", quantiles, "_pred")
+            val_mae = back.select(F.avg(F.abs(F.col("_pred") - F.col("accuracy")))).first()[0]
+        head.log.append((epoch, lr, float(train_loss), float(val_loss),
+                         None if val_mae is None else float(val_mae)))
         if best_loss is None or val_loss < best_loss - cfg.min_delta:
             best, best_loss, bad = head.params.copy(), val_loss, 0
         else:
@@ -239,7 +250,8 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
 
 
 def epoch_log(spark, head: Head) -> DataFrame:
-    return spark.createDataFrame(head.log, "epoch int, lr double, train_loss double, val_loss double")
+    return spark.createDataFrame(
+        head.log, "epoch int, lr double, train_loss double, val_loss double, val_mae double")
 
 
 def best_epoch(log: DataFrame) -> DataFrame:

@@ -87,8 +87,10 @@ def predict(model: FactorModel, pairs: DataFrame, uid_col: str = "uid", mid_col:
     return back.drop("_u", "_m", "_uf", "_mf", "_z")
 
 
-def save(model: FactorModel, path: str) -> str:
-    """Directory of parts: ALS factors, code tables, quantile table, params."""
+def save(model: FactorModel, path: str, run_log: str | None = None) -> str:
+    """Directory of parts: ALS factors, code tables, quantile table, params.
+    With ``run_log``, one row ``(path, trained_at, params)`` is appended to
+    that table, so the newest artifact is a query (``latest``)."""
     model.als.write().overwrite().save(f"{path}/als")
     model.uid_codes.write.mode("overwrite").parquet(f"{path}/uid_codes")
     model.mid_codes.write.mode("overwrite").parquet(f"{path}/mid_codes")
@@ -96,6 +98,10 @@ def save(model: FactorModel, path: str) -> str:
     model.quantiles.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/quantiles")
     spark.createDataFrame([(json.dumps(model.params),)], "params string") \
         .coalesce(1).write.mode("overwrite").json(f"{path}/params")
+    if run_log:
+        (spark.createDataFrame([(path, json.dumps(model.params))], "path string, params string")
+         .withColumn("trained_at", F.current_timestamp())
+         .coalesce(1).write.mode("append").parquet(run_log))
     return path
 
 

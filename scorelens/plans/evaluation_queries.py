@@ -310,3 +310,13 @@ def q_head_metrics(spark, sf_dir):
     """A7/A8 on the two-branch head's validation predictions."""
     pred = head_predictions(_trained(spark, sf_dir), _head(spark, sf_dir), "val")
     return EV.regression_metrics(pred.where(F.col("pred").isNotNull()), "y", "pred")
+
+
+@register("latest_run")
+def q_latest_run(spark, sf_dir):
+    """S15/O3: two saved runs recorded in a run log; the newest one wins."""
+    tr = _trained(spark, sf_dir)
+    log = shared_path(spark, "models", "run_log")
+    for name in ("run_a", "run_b"):
+        MD.save(tr.model, shared_path(spark, "models", name), run_log=log)
+    return MD.latest(spark.read.parquet(log))

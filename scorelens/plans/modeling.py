@@ -69,8 +69,8 @@ def with_factors(tr: Trained, rows: DataFrame, how: str = "left") -> DataFrame:
 def train_two_branch(tr: Trained, cfg=None):
     """Fit the two-branch head (``operators.head``) on the ALS factors."""
     from ..operators import head as HD
-    rows = with_factors(tr, tr.table.rows.select("uid_le", "mid_le", "y", "part"), "inner")
-    return HD.train_head(rows, cfg or HD.HeadConfig())
+    rows = with_factors(tr, tr.table.rows.select("uid_le", "mid_le", "y", "part", "accuracy"), "inner")
+    return HD.train_head(rows, cfg or HD.HeadConfig(), quantiles=tr.table.quantiles)
 
 
 def head_predictions(tr: Trained, head, part: str = "val") -> DataFrame:

@@ -67,3 +67,40 @@ def funnel(st: CurationStages, scores: DataFrame) -> DataFrame:
             F.lit(name).alias("stage"), "n_rows")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+# Modules whose logic defines the curated dataset: their text enters its name,
+# so a code change never reuses a dataset built by older logic.
+_DEFINING = ("operators/curate.py", "operators/metric.py", "plans/curation.py",
+             "sources/fixture.py", "functions/scores.py", "functions/curves.py", "config.py")
+
+
+def dataset_name(source: str, cfg: CurationConfig) -> str:
+    """``<source tag>_<md5(params)[:8]>_<md5(code)[:8]>``: the dataset is named
+    after its configuration, with ``|`` between parameters (no collisions such
+    as (2, 15) vs (21, 5))."""
+    import hashlib
+    import os
+    import re
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = hashlib.md5()
+    for rel in _DEFINING:
+        with open(os.path.join(root, rel), "rb") as fh:
+            code.update(fh.read())
+    params = "|".join(str(v) for v in [*cfg.params(), cfg.user_key, cfg.playmode, cfg.key_counts])
+    tag = re.sub(r"[^A-Za-z0-9.]+", "-", source.strip("/"))[-60:]
+    return (f"{tag}_{hashlib.md5(params.encode()).hexdigest()[:8]}_"
+            f"{code.hexdigest()[:8]}")
+
+
+def curated_dataset(spark, source: str, build, cfg: CurationConfig,
+                    refresh: bool = False) -> DataFrame:
+    """The curated export for ``source``: reused when a completed copy with
+    the same name exists under the shared folder (``refresh`` rebuilds it),
+    else built and published."""
+    from ..session import shared_path
+    from ..sources.sinks import publish
+
+    path = shared_path(spark, "datasets", dataset_name(source, cfg), unique=False)
+    return publish(spark, build, path, refresh)

@@ -13,7 +13,7 @@ from ..operators import curate as C
 from ..operators.metric import scroll_variance
 from ..sources import fixture
 from ..sources.tables import read_table
-from .curation import curation_stages, funnel
+from .curation import curated_dataset, curation_stages, funnel
 from .curation_sql import accuracy_sql, svness_ctes, with_curation
 from .registry import register
 
@@ -27,6 +27,14 @@ def stages(spark, sf_dir, cfg: CurationConfig = CFG, stage_mode: str = "table",
                            export_stage_mode=export_stage_mode)
 
 
+def export(spark, sf_dir, cfg: CurationConfig = CFG, refresh: bool = False):
+    """The curated training set of ``sf_dir``, built once and reused (the
+    dataset-exists check of the reference's run script)."""
+    return curated_dataset(spark, sf_dir,
+                           lambda: stages(spark, sf_dir, cfg, export_stage_mode="none").export,
+                           cfg, refresh)
+
+
 # ---------------------------------------------------------------- sources
 @register("scan_scores", with_curation("SELECT * FROM scores"))
 def scan_scores(spark, sf_dir):
@@ -154,7 +162,9 @@ def q_curated_scores_by_year(spark, sf_dir):
 
 @register("curate_dataset", with_curation("SELECT * FROM export"))
 def q_curate_dataset(spark, sf_dir):
-    return stages(spark, sf_dir).export
+    """The flagship: always computed from the source tables, then published
+    under its configuration name for the jobs that read the training set."""
+    return export(spark, sf_dir, refresh=True)
 
 
 @register("curation_funnel", with_curation(
@@ -205,7 +215,7 @@ def q_null_report(spark, sf_dir):
     "count(DISTINCT uid) * count(DISTINCT mid) - count(DISTINCT (uid, mid)) AS n_unplayed_pairs "
     "FROM export"))
 def q_dataset_summary(spark, sf_dir):
-    e = stages(spark, sf_dir).export
+    e = export(spark, sf_dir)
     return e.agg(F.count(F.lit(1)).alias("n_rows"),
                  F.count_distinct("uid").alias("n_users"),
                  F.count_distinct("mid").alias("n_items"),

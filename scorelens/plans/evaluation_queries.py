@@ -20,6 +20,7 @@ from ..operators import head as HD
 from ..operators import model as MD
 from ..session import shared_path
 from ..sources.tables import read_table
+from .curation_queries import export as curated_export
 from .curation_queries import stages
 from .curation_sql import with_curation
 from .modeling import (evaluation_report, head_predictions, holdout_predictions, train,
@@ -33,7 +34,7 @@ ev AS (SELECT e.mid, e.uid, CAST(e.accuracy AS DOUBLE) AS y, m.pred
 
 
 def eval_frame(spark, sf_dir):
-    e = stages(spark, sf_dir).export
+    e = curated_export(spark, sf_dir)
     means = e.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred"))
     return e.join(means, "mid").select("mid", "uid", F.col("accuracy").cast("double").alias("y"),
                                        "pred")
@@ -215,7 +216,7 @@ _TRAIN_CFG = TrainConfig(max_iter=8)
 
 @lru_cache(maxsize=4)
 def _trained(spark, sf_dir):
-    return train(stages(spark, sf_dir).export, _TRAIN_CFG)
+    return train(curated_export(spark, sf_dir), _TRAIN_CFG)
 
 
 @register("factor_model")

@@ -10,6 +10,7 @@ from ..functions.normal import (BOUNDS_THRESHOLD, CLIP_HIGH, CLIP_LOW, cdf_sql,
                                 inv_cdf_sql)
 from ..functions.numeric import dlit, fixed_sql
 from ..operators import features as FT
+from .curation_queries import export as curated_export
 from .curation_queries import stages
 from .curation_sql import with_curation
 from .registry import register
@@ -22,7 +23,7 @@ _T = dlit(BOUNDS_THRESHOLD)
 
 
 def _export(spark, sf_dir):
-    return stages(spark, sf_dir).export
+    return curated_export(spark, sf_dir)
 
 
 def _quantile_ctes(src: str = "export") -> str:

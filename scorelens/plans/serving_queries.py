@@ -17,6 +17,7 @@ from ..operators import model as MD
 from ..operators import serve as SV
 from ..sources import fixture
 from ..sources.tables import read_table
+from .curation_queries import export as curated_export
 from .curation_queries import stages
 from .curation_sql import curation_ctes, with_curation
 from .evaluation_queries import _trained
@@ -67,7 +68,7 @@ def _grid(spark, sf_dir, export):
 
 
 def _scored(spark, sf_dir):
-    export = stages(spark, sf_dir).export
+    export = curated_export(spark, sf_dir)
     uids, mids = _labels(export)
     known = SV.known_pairs(_grid(spark, sf_dir, export), uids, mids)
     means = export.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred"))
@@ -84,7 +85,7 @@ def q_request_grid(spark, sf_dir):
 
 @register("known_pairs", _with_grid(f"SELECT {_GRID_COLS} FROM known"))
 def q_known_pairs(spark, sf_dir):
-    export = stages(spark, sf_dir).export
+    export = curated_export(spark, sf_dir)
     uids, mids = _labels(export)
     return SV.known_pairs(_grid(spark, sf_dir, export), uids, mids)
 
@@ -126,7 +127,7 @@ def q_prediction_count(spark, sf_dir):
 @register("unknown_keys", _with_grid(
     "SELECT DISTINCT uid_key FROM grid WHERE uid_key NOT IN (SELECT uid FROM export)"))
 def q_unknown_keys(spark, sf_dir):
-    export = stages(spark, sf_dir).export
+    export = curated_export(spark, sf_dir)
     uids, _ = _labels(export)
     g = _grid(spark, sf_dir, export).select("uid_key")
     return FT.unknown_labels(g, "uid_key", uids)
@@ -137,14 +138,14 @@ def q_unknown_keys(spark, sf_dir):
     "(SELECT count(DISTINCT mid) FROM export) - count(DISTINCT mid) AS n_unplayed "
     "FROM export GROUP BY uid"))
 def q_unplayed_pairs(spark, sf_dir):
-    return SV.unplayed_counts(stages(spark, sf_dir).export)
+    return SV.unplayed_counts(curated_export(spark, sf_dir))
 
 
 @register("decode_keys", with_curation(
     "SELECT DISTINCT uid, CAST(split_part(uid, '/', 1) AS INTEGER) AS user_id, "
     "split_part(uid, '/', 2) AS year FROM export"))
 def q_decode_keys(spark, sf_dir):
-    e = stages(spark, sf_dir).export
+    e = curated_export(spark, sf_dir)
     return e.select("uid", key_part("uid", 1, as_int=True).alias("user_id"),
                     key_part("uid", 2).alias("year")).distinct()
 
@@ -187,7 +188,7 @@ def q_resolve_user(spark, sf_dir):
 
 @register("random_label")
 def q_random_label(spark, sf_dir):
-    uids, _ = _labels(stages(spark, sf_dir).export)
+    uids, _ = _labels(curated_export(spark, sf_dir))
     return SV.random_label(uids, 42)
 
 

@@ -13,6 +13,7 @@ from ..session import shared_path
 from ..sources import files, sinks
 from ..sources.tables import TABLES, read_table, table_path
 from ..streaming import scoring as ST
+from .curation_queries import export as curated_export
 from .curation_queries import stages
 from .curation_sql import curation_ctes, with_curation
 from .registry import register
@@ -25,7 +26,7 @@ _ITEM_MEAN_SQL = (",\nitem_mean AS (SELECT mid, avg(CAST(accuracy AS DOUBLE)) AS
 
 
 def _scored_stream(spark, sf_dir):
-    export = stages(spark, sf_dir).export
+    export = curated_export(spark, sf_dir)
     means = sinks.stage(export.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred")),
                         "item_mean")
     schema = read_table(spark, sf_dir, "events").schema
@@ -57,7 +58,7 @@ def q_stream_prediction_count(spark, sf_dir):
 @register("csv_roundtrip", with_curation("SELECT * FROM export"))
 def q_csv_roundtrip(spark, sf_dir):
     """Export as headered CSV, read back with the explicit training schema."""
-    e = stages(spark, sf_dir).export
+    e = curated_export(spark, sf_dir)
     path = sinks.write_csv(e, shared_path(spark, "export_csv"))
     return sinks.read_csv(spark, path, "mid string, uid string, accuracy float")
 
@@ -65,7 +66,7 @@ def q_csv_roundtrip(spark, sf_dir):
 @register("export_dataset")
 def q_export_dataset(spark, sf_dir):
     """The exported text itself: a header line, then ``mid,uid,accuracy``."""
-    e = stages(spark, sf_dir).export
+    e = curated_export(spark, sf_dir)
     path = sinks.write_csv(e.coalesce(1), shared_path(spark, "export_text"))
     return spark.read.text(path)
 

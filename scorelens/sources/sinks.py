@@ -58,3 +58,26 @@ def dataset_exists(spark, path: str) -> bool:
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
     return p.getFileSystem(hconf).exists(p)
+
+
+def publish(spark, build, path: str, refresh: bool = False) -> DataFrame:
+    """Read the dataset at ``path`` if a completed write is there (unless
+    ``refresh``); otherwise call ``build()``, write the result next to
+    ``path`` and rename it into place.  A concurrent builder that loses the
+    rename reads its own copy."""
+    import uuid
+
+    if not refresh and dataset_exists(spark, path):
+        return spark.read.parquet(path)
+    tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:12]}"
+    build().write.mode("errorifexists").parquet(tmp)
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(hconf)
+    fs.mkdirs(dst.getParent())
+    if refresh and fs.exists(dst):
+        fs.delete(dst, True)
+    if not fs.exists(dst) and fs.rename(src, dst):
+        return spark.read.parquet(path)
+    return spark.read.parquet(path if dataset_exists(spark, path) else tmp)

@@ -87,3 +87,16 @@ def test_prepared_keeps_nulls_out(spark):
                               "enabled_mods int, countgeki bigint, count300 bigint, countkatu bigint, "
                               "count100 bigint, count50 bigint, countmiss bigint")
     assert C.prepare_scores(s.withColumn("date", F.current_timestamp()), FIXTURE_CURATION).count() == 0
+
+
+def test_scan_pruning_and_pushdown(spark, sf_dir):
+    from scorelens.operators import curate as C2
+    prep = C2.prepare_scores(fixture.scores(spark, sf_dir), FIXTURE_CURATION)
+    plan = prep._jdf.queryExecution().executedPlan().toString()
+    # only the used lineitem columns are read; the accuracy filter sits below the join
+    assert "l_shipdate" not in plan and "l_comment" not in plan
+    assert "PushedFilters" in plan or "Filter" in plan
+    lines = prep._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join_at = next(i for i, ln in enumerate(lines) if "Join" in ln)
+    filt_at = next(i for i, ln in enumerate(lines) if "Filter" in ln and "<= 1.0" in ln)
+    assert filt_at > join_at  # the accuracy bound is evaluated below the join, on the scan side

@@ -21,7 +21,6 @@ from ..operators import model as MD
 from ..session import shared_path
 from ..sources.tables import read_table
 from .curation_queries import export as curated_export
-from .curation_queries import stages
 from .curation_sql import with_curation
 from .modeling import (evaluation_report, head_predictions, holdout_predictions, train,
                        train_two_branch)

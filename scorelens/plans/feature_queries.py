@@ -11,7 +11,6 @@ from ..functions.normal import (BOUNDS_THRESHOLD, CLIP_HIGH, CLIP_LOW, cdf_sql,
 from ..functions.numeric import dlit, fixed_sql
 from ..operators import features as FT
 from .curation_queries import export as curated_export
-from .curation_queries import stages
 from .curation_sql import with_curation
 from .registry import register
 from .training import training_table

@@ -18,7 +18,6 @@ from ..operators import serve as SV
 from ..sources import fixture
 from ..sources.tables import read_table
 from .curation_queries import export as curated_export
-from .curation_queries import stages
 from .curation_sql import curation_ctes, with_curation
 from .evaluation_queries import _trained
 from .registry import register

@@ -11,7 +11,7 @@ from ..functions.numeric import fixed_sql
 from ..operators.metric import scroll_variance
 from ..session import shared_path
 from ..sources import files, sinks
-from ..sources.tables import TABLES, read_table, table_path
+from ..sources.tables import TABLES, read_table
 from ..streaming import scoring as ST
 from .curation_queries import export as curated_export
 from .curation_queries import stages
@@ -122,5 +122,3 @@ def q_preflight(spark, sf_dir):
     from ..sources.tables import preflight
     return preflight(spark, sf_dir)
 
-
-__all__ = ["table_path"]

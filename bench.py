@@ -41,7 +41,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from scorelens.plans.registry import queries
-    from scorelens.session import get_spark
+    from scorelens.session import cleanup_scratch, get_spark
 
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     qs = queries()
@@ -56,6 +56,7 @@ def main() -> None:
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus)}))
+    cleanup_scratch(spark)  # this run's intermediate tables; the published dataset stays
     spark.stop()
 
 

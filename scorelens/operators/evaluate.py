@@ -108,16 +108,14 @@ def histogram(df: DataFrame, col: str, n: int = 25, series: str | None = None) -
     mn, mx = bnd.getField("lo"), bnd.getField("hi")
     binned = _with_bins(x, "_x", mn, mx, n, "bin")
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    bounds = (spark.range(1).select(mn.alias("_lo"), mx.alias("_hi"))
-              .withColumn("_first", F.when(F.col("_hi") == F.col("_lo"), F.col("_lo") - 0.5)
-                          .otherwise(F.col("_lo")))
-              .withColumn("_last", F.when(F.col("_hi") == F.col("_lo"), F.col("_hi") + 0.5)
-                          .otherwise(F.col("_hi")))
-              .withColumn("_step", (F.col("_last") - F.col("_first")) / F.lit(float(n))))
+    # bin edges straight from the (reused) scalar subquery: no join with the bounds row
+    first = F.when(mx == mn, mn - 0.5).otherwise(mn)
+    last = F.when(mx == mn, mx + 0.5).otherwise(mx)
     b = F.col("bin")
-    # n bins x one bounds row: both sides have a size fixed by the parameters
-    bins = spark.range(n).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(bounds), how="cross")
-    out = (bins.join(counts, "bin", "left")
+    bins = spark.range(n).select(F.col("id").cast("int").alias("bin"))
+    edges = bins.select("bin", first.alias("_first"), last.alias("_last"))
+    edges = edges.withColumn("_step", (F.col("_last") - F.col("_first")) / F.lit(float(n)))
+    out = (edges.join(counts, "bin", "left")
            .select("bin", (b * F.col("_step") + F.col("_first")).alias("lo"),
                    F.when(b + 1 >= n, F.col("_last")).otherwise((b + 1) * F.col("_step") + F.col("_first"))
                    .alias("hi"),

@@ -78,3 +78,19 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     tail = list(parts) + ([uuid.uuid4().hex[:12]] if unique else [])
     return "/".join([base, *tail]) if "://" in base else os.path.join(base, *tail)
+
+
+def scratch_path(spark: SparkSession, *parts: str) -> str:
+    """A fresh path for this application's intermediate tables:
+    ``<shared>/stage/<application id>/<parts>/<run id>``."""
+    return shared_path(spark, "stage", spark.sparkContext.applicationId, *parts)
+
+
+def cleanup_scratch(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables (call when its jobs are
+    done; published datasets and models live elsewhere and stay)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{base}/stage/{spark.sparkContext.applicationId}")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.delete(p, True))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..session import shared_path
+from ..session import scratch_path
 
 STAGE_MODES = ("table", "persist", "none")
 
@@ -25,7 +25,7 @@ def stage(df: DataFrame, name: str, mode: str = "table") -> DataFrame:
     if mode != "table":
         raise ValueError(f"stage mode must be one of {STAGE_MODES}")
     spark = df.sparkSession
-    path = shared_path(spark, "stage", name)
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

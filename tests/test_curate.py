@@ -100,3 +100,10 @@ def test_scan_pruning_and_pushdown(spark, sf_dir):
     join_at = next(i for i, ln in enumerate(lines) if "Join" in ln)
     filt_at = next(i for i, ln in enumerate(lines) if "Filter" in ln and "<= 1.0" in ln)
     assert filt_at > join_at  # the accuracy bound is evaluated below the join, on the scan side
+
+
+def test_stage_writes_under_application_scratch(spark):
+    from scorelens.sources.sinks import stage
+    df = stage(spark.range(10), "probe")
+    assert spark.sparkContext.applicationId in df.inputFiles()[0]
+    assert df.count() == 10

@@ -238,13 +238,19 @@ def exact_split(df: DataFrame, fractions=(0.8, 0.1, 0.1), seed: int = 373,
     the split does not depend on partitioning or input order; identical rows
     are interchangeable."""
     cols = df.columns
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]))
-    idx = row_index(h, ["_h"], "_i", n_partitions)
+    # Identical rows share a hash; the position tie-breaker lets the range
+    # partitioner split a large group of copies (a third of the rows in one
+    # task otherwise).  Copies are interchangeable, so which copy lands in
+    # which part does not change the result; on a table scan the position is
+    # deterministic as well.
+    h = (df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]))
+         .withColumn("_t", F.monotonically_increasing_id()))
+    idx = row_index(h, ["_h", "_t"], "_i", n_partitions)
     n = df.count()
     n_train, n_test, _ = split_sizes(n, fractions)
     part = (F.when(F.col("_i") < n_train, F.lit("train"))
             .when(F.col("_i") < n_train + n_test, F.lit("test")).otherwise(F.lit("val")))
-    return idx.withColumn("part", part).drop("_h", "_i")
+    return idx.withColumn("part", part).drop("_h", "_t", "_i")
 
 
 def hash_split(df: DataFrame, fractions=(0.8, 0.1, 0.1), seed: int = 373) -> DataFrame:

@@ -75,3 +75,15 @@ def test_exact_split_sizes_disjoint_complete(spark):
 def test_split_fractions_must_sum_to_one():
     with pytest.raises(ValueError):
         FT.split_sizes(10, (0.5, 0.1, 0.1))
+
+
+def test_split_spreads_a_hot_group_of_copies(spark):
+    # a third of the rows are one repeated row: sizes stay exact and the
+    # copies are not confined to one range partition
+    hot = spark.range(0, 3000).select(F.lit(1).alias("x"), F.lit(1).alias("y"))
+    rest = spark.range(0, 6000).select(F.col("id").alias("x"), (F.col("id") % 5).alias("y"))
+    df = hot.unionByName(rest)
+    s = FT.exact_split(df, (0.8, 0.1, 0.1), seed=9, n_partitions=8)
+    sizes = {r.part: r["count"] for r in s.groupBy("part").count().collect()}
+    assert sizes == {"train": 7200, "test": 900, "val": 900}
+    assert s.where((F.col("x") == 1) & (F.col("y") == 1)).count() == 3000 + 1

@@ -43,10 +43,10 @@ def label_codes(df: DataFrame, col: str, n_partitions: int | None = None) -> Dat
     return row_index(labels, ["label"], "code", n_partitions)
 
 
-def encode(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:
-    """Replace labels by codes (inner join: rows with unknown labels drop;
-    use ``unknown_labels`` first to raise instead)."""
-    return df.join(codes.select(F.col("label").alias(col), F.col("code").alias(out)), col)
+def encode(df: DataFrame, col: str, codes: DataFrame, out: str, how: str = "inner") -> DataFrame:
+    """Add codes for labels (``inner``: rows with unknown labels drop; ``left``:
+    they keep a NULL code; use ``unknown_labels`` first to raise instead)."""
+    return df.join(codes.select(F.col("label").alias(col), F.col("code").alias(out)), col, how)
 
 
 def decode(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:

@@ -30,8 +30,10 @@ def train(export: DataFrame, cfg: TrainConfig = TrainConfig(), stage_mode: str =
     uid_codes = stage(FT.label_codes(fit_rows, "uid"), "uid_codes", stage_mode)
     mid_codes = stage(FT.label_codes(fit_rows, "mid"), "mid_codes", stage_mode)
     rows = FT.normalize(split, "accuracy", qm, "y")
-    rows = FT.encode(rows, "uid", uid_codes, "uid_le")
-    rows = FT.encode(rows, "mid", mid_codes, "mid_le")
+    # left: with fit_on="train" a val/test key unseen in training keeps a NULL
+    # code (a cold-start row) instead of vanishing
+    rows = FT.encode(rows, "uid", uid_codes, "uid_le", "left")
+    rows = FT.encode(rows, "mid", mid_codes, "mid_le", "left")
     rows = stage(rows.select("mid", "uid", "accuracy", "y", "uid_le", "mid_le", "part"),
                  "training_rows", stage_mode)
     tt = TrainingTable(rows, qm, uid_codes, mid_codes)

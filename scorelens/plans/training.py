@@ -29,7 +29,9 @@ def training_table(export: DataFrame, cfg: TrainConfig = TrainConfig()) -> Train
     uid_codes = FT.label_codes(fit_rows, "uid")
     mid_codes = FT.label_codes(fit_rows, "mid")
     rows = FT.normalize(split, "accuracy", qm, "y")
-    rows = FT.encode(rows, "uid", uid_codes, "uid_le")
-    rows = FT.encode(rows, "mid", mid_codes, "mid_le")
+    # left: with fit_on="train" a val/test key unseen in training keeps a NULL
+    # code (a cold-start row) instead of vanishing
+    rows = FT.encode(rows, "uid", uid_codes, "uid_le", "left")
+    rows = FT.encode(rows, "mid", mid_codes, "mid_le", "left")
     return TrainingTable(rows.select("mid", "uid", "accuracy", "y", "uid_le", "mid_le", "part"),
                          qm, uid_codes, mid_codes)

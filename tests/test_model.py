@@ -73,3 +73,14 @@ def test_head_trains_and_scores(spark, trained):
     assert pred.count() == n_val  # cold-start rows are kept with NULL
     ok = pred.where(F.col("pred").isNotNull()).agg(F.min("pred"), F.max("pred")).first()
     assert 0.0 < ok[0] <= ok[1] <= 1.0
+
+
+def test_fit_on_train_keeps_every_row(spark, sf_dir):
+    st = curation_stages(fixture.scores(spark, sf_dir), fixture.items(spark, sf_dir),
+                         fixture.steps(spark, sf_dir), FIXTURE_CURATION)
+    tr = train(st.export, TrainConfig(max_iter=2, fit_on="train"))
+    assert tr.table.rows.count() == st.export.count()
+    assert tr.table.rows.where(F.col("part") == "train").where(F.col("uid_le").isNull()).count() == 0
+    pred = MD.predict(tr.model, tr.table.rows.where(F.col("part") == "val").select("uid", "mid"),
+                      on_unknown="null")
+    assert pred.count() == tr.table.rows.where(F.col("part") == "val").count()

@@ -54,6 +54,26 @@ def q_stream_prediction_count(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@register("stream_model_scoring")
+def q_stream_model_scoring(spark, sf_dir):
+    """T1 with the factor model: each streamed request (user at the model
+    year, item at normal speed) joins the static code and factor tables and
+    goes back to the accuracy scale; unknown keys keep a NULL prediction."""
+    from ..functions.scores import composite_key
+    from ..operators import model as MD
+    from .evaluation_queries import _trained
+    from .serving_queries import MODEL_YEAR
+
+    tr = _trained(spark, sf_dir)
+    schema = read_table(spark, sf_dir, "events").schema
+    req = ST.request_stream(spark, sf_dir, "events.parquet", schema)
+    keyed = req.select("event_id", composite_key("user_id", F.lit(MODEL_YEAR)).alias("uid"),
+                       composite_key("beatmap_id", F.lit(0)).alias("mid"))
+    scored = MD.predict(tr.model, keyed, on_unknown="null")
+    out = ST.run_to_table(scored.select("event_id", "uid", "mid", "pred"), "model_scoring")
+    return spark.read.parquet(out)
+
+
 # ---------------------------------------------------------------- sources / sinks
 @register("csv_roundtrip", with_curation("SELECT * FROM export"))
 def q_csv_roundtrip(spark, sf_dir):

@@ -84,3 +84,19 @@ def test_fit_on_train_keeps_every_row(spark, sf_dir):
     pred = MD.predict(tr.model, tr.table.rows.where(F.col("part") == "val").select("uid", "mid"),
                       on_unknown="null")
     assert pred.count() == tr.table.rows.where(F.col("part") == "val").count()
+
+
+def test_model_stream_equals_batch(spark, sf_dir):
+    import __spark_entry__ as E
+    from scorelens.functions.scores import composite_key
+    from scorelens.plans.evaluation_queries import _trained
+    from scorelens.plans.serving_queries import MODEL_YEAR, requests
+    s = E.queries()["stream_model_scoring"](spark, sf_dir)
+    tr = _trained(spark, sf_dir)
+    req = requests(spark, sf_dir).select(
+        "event_id", composite_key("user_id", F.lit(MODEL_YEAR)).alias("uid"),
+        composite_key("beatmap_id", F.lit(0)).alias("mid"))
+    b = MD.predict(tr.model, req, on_unknown="null")
+    j = s.alias("s").join(b.alias("b"), "event_id")
+    assert j.count() == s.count() == b.count()
+    assert j.where(~F.col("s.pred").eqNullSafe(F.col("b.pred"))).count() == 0

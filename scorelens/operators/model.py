@@ -80,8 +80,12 @@ def predict(model: FactorModel, pairs: DataFrame, uid_col: str = "uid", mid_col:
     uf = model.als.userFactors.select(F.col("id").alias("_u"), F.col("features").alias("_uf"))
     itf = model.als.itemFactors.select(F.col("id").alias("_m"), F.col("features").alias("_mf"))
     scored = coded.join(uf, "_u", "left").join(itf, "_m", "left")
-    dot = F.aggregate(F.zip_with("_uf", "_mf", lambda a, b: a.cast("double") * b.cast("double")),
-                      F.lit(0.0), lambda acc, x: acc + x)
+    # The rank is fixed by the model, so the dot product is written out term
+    # by term (left to right from 0.0): plain arithmetic stays inside
+    # whole-stage codegen, where aggregate/zip_with would be interpreted.
+    dot = F.lit(0.0)
+    for i in range(model.als.rank):
+        dot = dot + F.col("_uf")[i].cast("double") * F.col("_mf")[i].cast("double")
     z = scored.withColumn("_z", dot)
     back = FT.inverse(z, "_z", model.quantiles, out)
     return back.drop("_u", "_m", "_uf", "_mf", "_z")

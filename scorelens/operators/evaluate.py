@@ -176,8 +176,11 @@ def pca(df: DataFrame, vec_col: str, k: int = 6, id_col: str | None = None):
         F.array(*[F.lit(s) for s in signs]), i + 1)))
     keep = [id_col] if id_col else []
     comp = proj.select(*keep, *[F.col("_a")[j].alias(f"pc{j}") for j in range(k)])
-    mins = [comp.select(F.min(f"pc{j}")).scalar() for j in range(k)]
-    maxs = [comp.select(F.max(f"pc{j}")).scalar() for j in range(k)]
+    # one struct-valued scalar subquery: every component's min and max in one pass
+    bnd = comp.select(F.struct(*[F.min(f"pc{j}").alias(f"mn{j}") for j in range(k)],
+                               *[F.max(f"pc{j}").alias(f"mx{j}") for j in range(k)])).scalar()
+    mins = [bnd.getField(f"mn{j}") for j in range(k)]
+    maxs = [bnd.getField(f"mx{j}") for j in range(k)]
     cols = []
     for j in range(k):
         rng = maxs[j] - mins[j]

@@ -107,3 +107,10 @@ def test_stage_writes_under_application_scratch(spark):
     df = stage(spark.range(10), "probe")
     assert spark.sparkContext.applicationId in df.inputFiles()[0]
     assert df.count() == 10
+
+
+def test_null_metric_drops_the_item(spark):
+    active = spark.createDataFrame([(1, 0), (2, 0), (3, -1)], "mid bigint, speed int")
+    metric = spark.createDataFrame([(1, 0.01), (2, None), (3, 0.08)], "mid bigint, svness double")
+    low = C.low_variance_items(active, metric, _cfg(max_svness=0.08)).collect()
+    assert [(r.mid, r.speed) for r in low] == [(1, 0)]  # NULL and the bound itself are out

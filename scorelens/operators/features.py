@@ -43,6 +43,22 @@ def label_codes(df: DataFrame, col: str, n_partitions: int | None = None) -> Dat
     return row_index(labels, ["label"], "code", n_partitions)
 
 
+def label_codes_many(df: DataFrame, cols: list[str], n_partitions: int | None = None) -> dict:
+    """Code tables for several label columns from one ranking pass: the
+    labels of all columns are ranked together by ``(column, label)`` and each
+    column's codes start at 0 (its smallest rank is subtracted)."""
+    parts = [df.select(F.lit(c).alias("kind"), F.col(c).cast("string").alias("label"))
+             .where(F.col("label").isNotNull()) for c in cols]
+    labels = parts[0]
+    for p in parts[1:]:
+        labels = labels.unionByName(p)
+    ranked = row_index(labels.distinct(), ["kind", "label"], "idx", n_partitions)
+    first = ranked.groupBy("kind").agg(F.min("idx").alias("_first"))  # one row per column
+    coded = ranked.join(F.broadcast(first), "kind").select(
+        "kind", "label", (F.col("idx") - F.col("_first")).alias("code"))
+    return {c: coded.where(F.col("kind") == c).select("label", "code") for c in cols}
+
+
 def encode(df: DataFrame, col: str, codes: DataFrame, out: str, how: str = "inner") -> DataFrame:
     """Add codes for labels (``inner``: rows with unknown labels drop; ``left``:
     they keep a NULL code; use ``unknown_labels`` first to raise instead)."""
@@ -245,9 +261,13 @@ def exact_split(df: DataFrame, fractions=(0.8, 0.1, 0.1), seed: int = 373,
     # deterministic as well.
     h = (df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]))
          .withColumn("_t", F.monotonically_increasing_id()))
+    if abs(sum(fractions) - 1.0) > 1e-9:
+        raise ValueError("train/test/val fractions must sum to 1")
     idx = row_index(h, ["_h", "_t"], "_i", n_partitions)
-    n = df.count()
-    n_train, n_test, _ = split_sizes(n, fractions)
+    # n from the (staged) ranked rows in the same plan; int(n * f) as floor
+    n = idx.select(F.count(F.lit(1)).cast("double")).scalar()
+    n_train = F.floor(n * F.lit(float(fractions[0])))
+    n_test = F.floor(n * F.lit(float(fractions[1])))
     part = (F.when(F.col("_i") < n_train, F.lit("train"))
             .when(F.col("_i") < n_train + n_test, F.lit("test")).otherwise(F.lit("val")))
     return idx.withColumn("part", part).drop("_h", "_t", "_i")

@@ -27,8 +27,9 @@ def train(export: DataFrame, cfg: TrainConfig = TrainConfig(), stage_mode: str =
     split = stage(FT.exact_split(export, cfg.split, cfg.seed), "split", stage_mode)
     fit_rows = split if cfg.fit_on == "all" else split.where(F.col("part") == "train")
     qm = FT.fit_quantiles(fit_rows, "accuracy", cfg.n_quantiles)
-    uid_codes = stage(FT.label_codes(fit_rows, "uid"), "uid_codes", stage_mode)
-    mid_codes = stage(FT.label_codes(fit_rows, "mid"), "mid_codes", stage_mode)
+    codes = stage(_both_codes(fit_rows), "codes", stage_mode)
+    uid_codes = codes.where(F.col("kind") == "uid").select("label", "code")
+    mid_codes = codes.where(F.col("kind") == "mid").select("label", "code")
     rows = FT.normalize(split, "accuracy", qm, "y")
     # left: with fit_on="train" a val/test key unseen in training keeps a NULL
     # code (a cold-start row) instead of vanishing
@@ -40,6 +41,13 @@ def train(export: DataFrame, cfg: TrainConfig = TrainConfig(), stage_mode: str =
     return Trained(tt, MD.fit(rows, qm, uid_codes, mid_codes, cfg, part="train"))
 
 
+def _both_codes(rows: DataFrame) -> DataFrame:
+    """``(kind, label, code)`` for user and item keys from one ranking pass."""
+    c = FT.label_codes_many(rows, ["uid", "mid"])
+    return (c["uid"].select(F.lit("uid").alias("kind"), "label", "code")
+            .unionByName(c["mid"].select(F.lit("mid").alias("kind"), "label", "code")))
+
+
 def holdout_predictions(tr: Trained, part: str = "val") -> DataFrame:
     """Predictions for one part of the split with the truth on both scales."""
     rows = tr.table.rows.where(F.col("part") == part).select("mid", "uid", "accuracy")

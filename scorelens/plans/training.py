@@ -26,8 +26,8 @@ def training_table(export: DataFrame, cfg: TrainConfig = TrainConfig()) -> Train
     split = FT.exact_split(export, cfg.split, cfg.seed)
     fit_rows = split if cfg.fit_on == "all" else split.where(F.col("part") == "train")
     qm = FT.fit_quantiles(fit_rows, "accuracy", cfg.n_quantiles)
-    uid_codes = FT.label_codes(fit_rows, "uid")
-    mid_codes = FT.label_codes(fit_rows, "mid")
+    codes = FT.label_codes_many(fit_rows, ["uid", "mid"])
+    uid_codes, mid_codes = codes["uid"], codes["mid"]
     rows = FT.normalize(split, "accuracy", qm, "y")
     # left: with fit_on="train" a val/test key unseen in training keeps a NULL
     # code (a cold-start row) instead of vanishing

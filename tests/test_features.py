@@ -87,3 +87,12 @@ def test_split_spreads_a_hot_group_of_copies(spark):
     sizes = {r.part: r["count"] for r in s.groupBy("part").count().collect()}
     assert sizes == {"train": 7200, "test": 900, "val": 900}
     assert s.where((F.col("x") == 1) & (F.col("y") == 1)).count() == 3000 + 1
+
+
+def test_label_codes_many_equals_separate(spark):
+    df = spark.createDataFrame([("b", "z/1"), ("a", "y/0"), ("b", "x/-1"), ("c", "y/0")], "u string, m string")
+    many = FT.label_codes_many(df, ["u", "m"])
+    for col in ("u", "m"):
+        a = sorted(tuple(r) for r in many[col].collect())
+        b = sorted(tuple(r) for r in FT.label_codes(df, col).collect())
+        assert a == b

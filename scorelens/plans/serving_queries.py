@@ -61,7 +61,7 @@ def _labels(export):
             export.select(F.col("mid").alias("label")).distinct())
 
 
-def _grid(spark, sf_dir, export):
+def _grid(spark, sf_dir):
     g = SV.request_grid(requests(spark, sf_dir), "user_id", "beatmap_id", MODEL_YEAR)
     return g.withColumn("year", F.col("year").cast("int")).withColumn("speed", F.col("speed").cast("int"))
 
@@ -69,7 +69,7 @@ def _grid(spark, sf_dir, export):
 def _scored(spark, sf_dir):
     export = curated_export(spark, sf_dir)
     uids, mids = _labels(export)
-    known = SV.known_pairs(_grid(spark, sf_dir, export), uids, mids)
+    known = SV.known_pairs(_grid(spark, sf_dir), uids, mids)
     means = export.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred"))
     return SV.truthy(known.join(means.withColumnRenamed("mid", "mid_key"), "mid_key"))
 
@@ -79,14 +79,14 @@ _GRID_COLS = "event_id, user_id, beatmap_id, event_type, speed, year, uid_key, m
 
 @register("request_grid", _with_grid(f"SELECT {_GRID_COLS} FROM grid"))
 def q_request_grid(spark, sf_dir):
-    return _grid(spark, sf_dir, None)
+    return _grid(spark, sf_dir)
 
 
 @register("known_pairs", _with_grid(f"SELECT {_GRID_COLS} FROM known"))
 def q_known_pairs(spark, sf_dir):
     export = curated_export(spark, sf_dir)
     uids, mids = _labels(export)
-    return SV.known_pairs(_grid(spark, sf_dir, export), uids, mids)
+    return SV.known_pairs(_grid(spark, sf_dir), uids, mids)
 
 
 @register("latest_year", _with_grid(
@@ -128,7 +128,7 @@ def q_prediction_count(spark, sf_dir):
 def q_unknown_keys(spark, sf_dir):
     export = curated_export(spark, sf_dir)
     uids, _ = _labels(export)
-    g = _grid(spark, sf_dir, export).select("uid_key")
+    g = _grid(spark, sf_dir).select("uid_key")
     return FT.unknown_labels(g, "uid_key", uids)
 
 
@@ -196,7 +196,7 @@ def q_prediction_grid(spark, sf_dir):
     """C5 with the factor model: grid -> known pairs -> scores -> truthy ->
     latest year -> HT/NT/DT comparison, one row per request."""
     tr = _trained(spark, sf_dir)
-    g = _grid(spark, sf_dir, None)
+    g = _grid(spark, sf_dir)
     known = SV.known_pairs(g, tr.table.uid_codes, tr.table.mid_codes)
     scored = SV.truthy(MD.predict(tr.model, known, "uid_key", "mid_key", on_unknown="drop"))
     return SV.speed_comparison(SV.latest_year(scored, ["event_id"]), ["event_id"])

@@ -22,8 +22,8 @@ from ..session import shared_path
 from ..sources.tables import read_table
 from .curation_queries import export as curated_export
 from .curation_sql import with_curation
-from .modeling import (evaluation_report, head_predictions, holdout_predictions, train,
-                       train_two_branch)
+from .modeling import (evaluation_report, head_predictions, holdout_predictions, predict_head,
+                       train, train_two_branch)
 from .registry import register
 
 EV_CTE = """,
@@ -320,3 +320,11 @@ def q_latest_run(spark, sf_dir):
     for name in ("run_a", "run_b"):
         MD.save(tr.model, shared_path(spark, "models", name), run_log=log)
     return MD.latest(spark.read.parquet(log))
+
+
+@register("head_predict_pairs")
+def q_head_predict_pairs(spark, sf_dir):
+    """M7 with the network: every test-part pair scored by the two-branch head."""
+    tr = _trained(spark, sf_dir)
+    pairs = tr.table.rows.where(F.col("part") == "test").select("uid", "mid")
+    return predict_head(tr, _head(spark, sf_dir), pairs, on_unknown="error")

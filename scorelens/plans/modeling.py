@@ -83,11 +83,25 @@ def train_two_branch(tr: Trained, cfg=None):
     return HD.train_head(rows, cfg or HD.HeadConfig(), quantiles=tr.table.quantiles)
 
 
+def predict_head(tr: Trained, head, pairs: DataFrame, uid_col: str = "uid", mid_col: str = "mid",
+                 out: str = "pred", on_unknown: str = "error") -> DataFrame:
+    """Score ``(uid key, mid key)`` rows with the two-branch head: codes, then
+    factors (left joins), forward pass, inverse transform.  ``on_unknown`` as
+    in ``operators.model.predict``."""
+    from ..operators import head as HD
+    if on_unknown == "error":
+        FT.check_known(pairs, {uid_col: tr.table.uid_codes, mid_col: tr.table.mid_codes})
+    how = "inner" if on_unknown == "drop" else "left"
+    u = tr.table.uid_codes.select(F.col("label").alias(uid_col), F.col("code").alias("uid_le"))
+    m = tr.table.mid_codes.select(F.col("label").alias(mid_col), F.col("code").alias("mid_le"))
+    coded = pairs.join(u, uid_col, how).join(m, mid_col, how)
+    z = HD.forward(with_factors(tr, coded), head, "_z")
+    back = FT.inverse(z, "_z", tr.model.quantiles, out)
+    return back.drop("uid_le", "mid_le", "eu", "em", "_z")
+
+
 def head_predictions(tr: Trained, head, part: str = "val") -> DataFrame:
     """Holdout rows scored by the head, back on the accuracy scale."""
-    from ..operators import head as HD
-    rows = with_factors(tr, tr.table.rows.where(F.col("part") == part)
-                        .select("uid", "mid", "uid_le", "mid_le", "accuracy"))
-    z = HD.forward(rows, head, "z")
-    back = FT.inverse(z, "z", tr.model.quantiles, "pred")
-    return back.select("mid", "uid", F.col("accuracy").cast("double").alias("y"), "pred")
+    rows = tr.table.rows.where(F.col("part") == part).select("uid", "mid", "accuracy")
+    pred = predict_head(tr, head, rows, on_unknown="null")
+    return pred.select("mid", "uid", F.col("accuracy").cast("double").alias("y"), "pred")

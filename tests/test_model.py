@@ -100,3 +100,15 @@ def test_model_stream_equals_batch(spark, sf_dir):
     j = s.alias("s").join(b.alias("b"), "event_id")
     assert j.count() == s.count() == b.count()
     assert j.where(~F.col("s.pred").eqNullSafe(F.col("b.pred"))).count() == 0
+
+
+def test_head_predict_unknown_keys(spark, trained):
+    from scorelens.plans.modeling import predict_head
+    head = train_two_branch(trained, HD.HeadConfig(epochs=1))
+    known = trained.table.rows.where(F.col("part") == "train").select("uid", "mid").limit(5)
+    unknown = spark.createDataFrame([("999999/1990", "1/0")], "uid string, mid string")
+    assert predict_head(trained, head, known).where(F.col("pred").isNull()).count() == 0
+    with pytest.raises(ValueError):
+        predict_head(trained, head, unknown)
+    assert predict_head(trained, head, unknown, on_unknown="drop").count() == 0
+    assert predict_head(trained, head, unknown, on_unknown="null").first().pred is None

@@ -4,9 +4,10 @@
 
 Runs each query end to end on ``local[$BENCH_CPUS]`` and forces full
 execution with the ``noop`` sink (every row computed, nothing collected).
-``curate_dataset`` always recomputes curation from the source tables and
-publishes the training set under its configuration name; the later queries
-read that dataset, as the reference's jobs read its exported file.
+``curate_dataset`` always recomputes curation from the source tables (and
+publishes the training set under its configuration name if no copy exists);
+the later queries read that dataset, as the reference's jobs read its
+exported file.
 Prints one JSON line: total seconds and per-query seconds.
 """
 

@@ -97,8 +97,8 @@ def dataset_name(source: str, cfg: CurationConfig) -> str:
 def curated_dataset(spark, source: str, build, cfg: CurationConfig,
                     refresh: bool = False) -> DataFrame:
     """The curated export for ``source``: reused when a completed copy with
-    the same name exists under the shared folder (``refresh`` rebuilds it),
-    else built and published."""
+    the same name exists under the shared folder (``refresh`` recomputes it
+    anyway), else built and published."""
     from ..session import shared_path
     from ..sources.sinks import publish
 

@@ -63,8 +63,10 @@ def dataset_exists(spark, path: str) -> bool:
 def publish(spark, build, path: str, refresh: bool = False) -> DataFrame:
     """Read the dataset at ``path`` if a completed write is there (unless
     ``refresh``); otherwise call ``build()``, write the result next to
-    ``path`` and rename it into place.  A concurrent builder that loses the
-    rename reads its own copy."""
+    ``path`` and rename it into place.  A builder that finds the path taken
+    (a concurrent builder, or ``refresh`` of an existing dataset) reads its
+    own copy; a published dataset is never deleted, since a reader in another
+    job may be using it (its name pins the content)."""
     import uuid
 
     if not refresh and dataset_exists(spark, path):
@@ -76,8 +78,6 @@ def publish(spark, build, path: str, refresh: bool = False) -> DataFrame:
     src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
     fs = dst.getFileSystem(hconf)
     fs.mkdirs(dst.getParent())
-    if refresh and fs.exists(dst):
-        fs.delete(dst, True)
     if not fs.exists(dst) and fs.rename(src, dst):
         return spark.read.parquet(path)
-    return spark.read.parquet(path if dataset_exists(spark, path) else tmp)
+    return spark.read.parquet(tmp)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -58,8 +59,28 @@ def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so a job works from
+    any folder and on machines that do not have the package installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scorelens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    path = os.path.join(tempfile.mkdtemp(prefix="scorelens-code-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
+    sc.addPyFile(path)  # Spark's own file server; the local copy is only its source
+    sc._scorelens_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder; create a private one only for local sessions."""
+    ship_package(spark)
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
         if not _is_local(spark):

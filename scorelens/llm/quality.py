@@ -11,8 +11,9 @@ scores all unlabelled documents, and those it is confident of become pseudo-labe
 of the *other* view.  Each view is calibrated on held-out labels, and a logistic model of
 both calibrated views gives the final probabilities.  Labelled copies of one text count once.
 
-What reaches the driver is bounded by parameters: ``2 ** TEXT_BITS + 2 ** META_BITS`` rows of
-class counts and the cells of fixed score grids; documents never do.
+What reaches the driver is bounded by parameters: the weights that are chosen, of at most
+``2 ** TEXT_BITS + 2 ** META_BITS`` features, and the cells of fixed score grids; documents
+and counts never do.
 
 Null or empty texts have no words and are judged by metadata; null sources, languages and
 lengths are values of their own; a document with several labels takes the least quality and
@@ -69,7 +70,7 @@ def meta_features(text: str | None, source, lang, n_chars, n_words: int, n_kinds
     line = (b == 10).sum() / n
     lower = ((b >= 97) & (b <= 122)).sum() / n
     mark = ((b > 32) & (b < 128)).sum() / n - upper - digit - lower
-    length = None if n_chars is None or n_chars != n_chars else int(math.log2(max(int(n_chars), 0) + 1))
+    length = None if n_chars is None else int(math.log2(max(n_chars, 0) + 1))
     names = [f"source={source}", f"lang={lang}", f"length={length}", f"upper={int(upper * 20)}",
              f"digit={int(digit * 20)}", f"mark={int(mark * 25)}", f"line={int(line * 200)}",
              f"word={min(int(1 / max(space, 0.02)), 30)}",
@@ -78,8 +79,8 @@ def meta_features(text: str | None, source, lang, n_chars, n_words: int, n_kinds
     return np.unique([zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in names]).astype(np.uint32)
 
 
-def _featurize(f, cols):
-    for text, source, lang, n_chars in zip(*[f[c] for c in cols]):
+def _featurize(batch, cols):
+    for text, source, lang, n_chars in zip(*[batch[c].to_pylist() for c in cols]):
         ids, n_words, n_kinds = text_features(text)
         yield text, ids, meta_features(text, source, lang, n_chars, n_words, n_kinds)
 
@@ -121,20 +122,21 @@ def _logistic(x: np.ndarray, y1: np.ndarray, y0: np.ndarray, ridge: float = 1e-2
     return w
 
 
-def _count(rows: DataFrame, model=None) -> np.ndarray:
-    """Class counts ``(view, target, class, feature)``, the last feature being the rows.
+CELLS = (1 << TEXT_BITS) + (1 << META_BITS) + 2  # the last two count rows, by view
+
+
+def _count(rows: DataFrame, model=None) -> DataFrame:
+    """Class counts ``(k, f, n0, n1)`` by target and feature (metadata after text).
 
     Without a model: labelled rows.  With one: unlabelled rows, each view counting those
     that the other view is confident of."""
-    cells = (1 << TEXT_BITS) + (1 << META_BITS) + 2
-
     def run(frames):
         import pandas as pd
-        n = np.zeros((2, 2, cells))
+        n = np.zeros((2, 2, CELLS))
         for f in frames:
             for t, m, q, x in zip(f["ids"], f["meta"], f["quality"], f["toxic"]):
                 ids, meta = np.frombuffer(t, dtype="<u4"), np.frombuffer(m, dtype="<u4")
-                at = (np.append(ids, cells - 2), np.append(meta + (1 << TEXT_BITS), cells - 1))
+                at = (np.append(ids, CELLS - 2), np.append(meta + (1 << TEXT_BITS), CELLS - 1))
                 if model is None:
                     for k, label in enumerate((q, x)):
                         if label in (0, 1):
@@ -150,38 +152,38 @@ def _count(rows: DataFrame, model=None) -> np.ndarray:
                             if sure >= CONFIDENT or sure <= 1 - CONFIDENT:
                                 n[k, int(sure > 0.5), at[v]] += PSEUDO_WEIGHT
         for k in range(2):
-            for c in range(2):
-                at = np.flatnonzero(n[k, c])
-                if len(at):
-                    yield pd.DataFrame({"k": k, "c": c, "f": at, "n": n[k, c, at]})
+            at = np.flatnonzero(n[k].any(axis=0))
+            yield pd.DataFrame({"k": k, "f": at, "n0": n[k, 0, at], "n1": n[k, 1, at]})
 
-    got = rows.mapInPandas(run, "k int, c int, f int, n double").groupBy("k", "c", "f").agg(F.sum("n").alias("n"))
-    out = np.zeros((2, 2, cells))
-    pdf = got.toPandas()  # at most 4 rows per feature
-    out[pdf["k"], pdf["c"], pdf["f"]] = pdf["n"]
-    return out
+    return rows.mapInPandas(run, "k int, f int, n0 double, n1 double")
 
 
-def _weights(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _weights(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Naive Bayes log odds of the text and the metadata features, and the prior logits."""
-    text, meta = [], []
+    counts = stage(counts.groupBy("k", "f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "quality_counts")
+    text = np.zeros((2, 1 << TEXT_BITS), dtype=np.float32)
+    meta = np.zeros((2, 1 << META_BITS), dtype=np.float32)
+    total = np.zeros((2, 2, 2))  # target, view, class
+    for r in counts.where(F.col("f") >= CELLS - 2).collect():  # at most four rows
+        total[r["k"], r["f"] - (CELLS - 2)] = r["n0"], r["n1"]
     for k in range(2):
-        each = []
-        for own, total, least in ((n[k][:, :1 << TEXT_BITS], n[k][:, -2], MIN_WEIGHT[0]),
-                                  (n[k][:, 1 << TEXT_BITS:-2], n[k][:, -1], MIN_WEIGHT[1])):
-            rate = (own + 0.5) / (total[:, None] + 1)
-            w = np.log(rate[1] / rate[0])
-            # Likelihood ratio of the feature's class counts against the share of the classes.
-            expected = own.sum(axis=0) * (total / max(total.sum(), 1))[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                g = 2 * np.where(own > 0, own * np.log(own / expected), 0.0).sum(axis=0)
-            chosen = (g >= MIN_G) & (np.abs(w) >= least) & (total.min() > 0)
-            each.append(np.where(chosen, w, 0.0))
-        text.append(each[0])
-        meta.append(each[1])
-    labelled = n[:, :, -2]
-    prior = np.log((labelled[:, 1] + 0.5) / (labelled[:, 0] + 0.5))
-    return np.array(text, dtype=np.float32), np.array(meta, dtype=np.float32), prior
+        for v, (own, lo, hi) in enumerate(((text, 0, 1 << TEXT_BITS), (meta, 1 << TEXT_BITS, CELLS - 2))):
+            t0, t1 = total[k, v].tolist()
+            if not t0 or not t1:
+                continue
+            n0, n1 = F.col("n0"), F.col("n1")
+            w = F.log((n1 + 0.5) / (t1 + 1)) - F.log((n0 + 0.5) / (t0 + 1))
+
+            def part(n, t, t0=t0, t1=t1):  # of the likelihood ratio against the classes' shares
+                return F.when(n > 0, n * F.log(n / ((n0 + n1) * (t / (t0 + t1))))).otherwise(0.0)
+
+            chosen = (counts.where((F.col("k") == k) & (F.col("f") >= lo) & (F.col("f") < hi))
+                      .select("f", w.alias("w"), (2 * (part(n0, t0) + part(n1, t1))).alias("g"))
+                      .where((F.col("g") >= MIN_G) & (F.abs("w") >= MIN_WEIGHT[v])))
+            for r in chosen.select("f", "w").collect():  # at most one row per feature
+                own[k, r["f"] - lo] = r["w"]
+    prior = np.log((total[:, 0, 1] + 0.5) / (total[:, 0, 0] + 0.5))
+    return text, meta, prior
 
 
 def _grid(rows: DataFrame, model) -> dict:
@@ -224,19 +226,22 @@ def features(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     """``(id, h, ids, meta)``: both views of every row, packed; ``h`` is a hash of the text."""
     cols = ["text", "source", "lang", "n_chars"]
 
-    def run(frames):
-        import pandas as pd
-        for f in frames:
-            rows = [(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1,
-                     a.astype("<u4").tobytes(), b.astype("<u4").tobytes()) for t, a, b in _featurize(f, cols)]
-            out = pd.DataFrame(rows, columns=["h", "ids", "meta"])
-            out["id"] = f["id"].to_numpy()
-            yield out[["id", "h", "ids", "meta"]]
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            h, ids, meta = [], [], []
+            for t, a, b in _featurize(batch, cols):
+                h.append(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1)
+                ids.append(a.astype("<u4").tobytes())
+                meta.append(b.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], pa.array(h, pa.int64()), pa.array(ids, pa.binary()), pa.array(meta, pa.binary())],
+                names=["id", "h", "ids", "meta"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
-                       F.col(chars_col).cast("double").alias("n_chars")).mapInPandas(
+                       F.col(chars_col).cast("double").alias("n_chars")).mapInArrow(
         run, f"id {kind}, h bigint, ids binary, meta binary")
 
 
@@ -249,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", rounds: int = ROUND
     known = stage(known.dropDuplicates(["h", "quality", "toxic"]).select("h", "ids", "meta", "quality", "toxic"), "quality_known")
     open_rows = rows.where("quality is null and toxic is null")
     held = known.where(f"pmod(h, {HOLDOUT}) = 0")
-    base = _count(known.where(f"pmod(h, {HOLDOUT}) <> 0"))
+    base = stage(_count(known.where(f"pmod(h, {HOLDOUT}) <> 0")), "quality_base")
     parts = _weights(base)
 
     def calibrated(parts):
@@ -259,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", rounds: int = ROUND
     model = calibrated(parts)
     for _ in range(rounds):
         extra = _count(open_rows, spark.sparkContext.broadcast(model))
-        text, meta, _ = _weights(base + extra)
+        text, meta, _ = _weights(base.unionByName(extra))
         model = calibrated((text, meta, parts[2]))
     return model
 
@@ -271,15 +276,17 @@ def score(docs: DataFrame, model: Model, text_col="text", source_col="source", l
     shared = spark.sparkContext.broadcast(model)
     names = [f"_{i}" for i in range(4)]
 
-    def run(frames):
-        import pandas as pd
-        for f in frames:
-            p = np.array([shared.value.probabilities(shared.value.logits(a, b)) for _, a, b in _featurize(f, names)]).reshape(-1, 2)
-            out = f.drop(columns=names)
-            yield out.assign(quality_score=p[:, 0], toxic_score=p[:, 1],
-                             keep=(p[:, 0] >= min_quality) & (p[:, 1] < max_toxic))
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            p = np.array([shared.value.probabilities(shared.value.logits(a, b))
+                          for _, a, b in _featurize(batch, names)]).reshape(-1, 2)
+            keep = (p[:, 0] >= min_quality) & (p[:, 1] < max_toxic)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-4], pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(keep)],
+                names=[*batch.schema.names[:-4], "quality_score", "toxic_score", "keep"])
 
     given = docs.select("*", *[F.col(c).cast(t).alias(n) for c, t, n in zip(
         (text_col, source_col, lang_col, chars_col), ("string", "string", "string", "double"), names)])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return given.mapInPandas(run, f"{kinds}, quality_score double, toxic_score double, keep boolean")
+    return given.mapInArrow(run, f"{kinds}, quality_score double, toxic_score double, keep boolean")

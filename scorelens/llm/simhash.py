@@ -63,14 +63,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, fp)``: one row per row of ``docs``, ``fp`` as a signed 64-bit integer."""
     prepare(docs.sparkSession)
 
-    def run(frames):
-        import pandas as pd
-        for f in frames:
-            fp = np.array([simhash64(t, n, seed) for t in f["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": f["id"], "fp": fp.view(np.int64)})
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            fp = np.array([simhash64(t, n, seed) for t in b["text"].to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {kind}, fp bigint")
 
 

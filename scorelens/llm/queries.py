@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (decontaminate, fingerprint, html_extract, mixing, quality, repeats, secret_scan,
-               simhash, url_filter)
+from . import (decontaminate, fingerprint, html_extract, lm_score, mixing, quality, repeats,
+               secret_scan, simhash, url_filter)
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_score", "toxic_score", "keep")
 
 
+@_register
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the documents labelled good and not toxic."""
+    docs = read_table(spark, sf_dir, "documents")
+    target = lm_score.labelled_target(docs, read_table(spark, sf_dir, "labels"))
+    scored = lm_score.score(docs.select("doc_id", "text"), lm_score.fit(target, docs))
+    return scored.select("doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference")
+
+
 @_register
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampled documents with their cell, raked weight and probability."""

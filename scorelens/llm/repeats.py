@@ -79,7 +79,7 @@ def _common(keys: list[bytes]) -> np.ndarray:
 def intervals(lcp: list[int]):
     """``(depth, first, last)`` of the interval tree of a common-prefix array, by one stack
     scan; children come before their parents."""
-    stack = [(0, 0)]
+    stack: list[tuple[int, int]] = []
     n = len(lcp)
     for i in range(1, n + 1):
         here = lcp[i] if i < n else -1

@@ -75,12 +75,10 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tol: float
     for d in DIMS:
         there = cells.where("tokens > 0").groupBy(F.col(d).alias("value")).agg(F.lit(1).alias("one"))
         t = targets.where(F.col("dim") == d).groupBy("value").agg(F.sum("share").alias("share")).join(there, "value")
-        one = t.agg(F.sum("share").alias("all"))
-        margins[d] = stage(t.join(F.broadcast(one), F.lit(True)).select(  # one row
-            F.col("value").alias(d), (F.col("share") / F.col("all")).alias("target")), "mix_margin")
-    whole = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    cur = cells.join(F.broadcast(whole), F.lit(True)).select(  # one row
-        *DIMS, "tokens", F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).otherwise(0.0).alias("share"))
+        one = t.agg(F.sum("share")).scalar()
+        margins[d] = stage(t.select(F.col("value").alias(d), (F.col("share") / one).alias("target")), "mix_margin")
+    whole = cells.agg(F.sum("tokens").cast("double")).scalar()
+    cur = cells.select(*DIMS, "tokens", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("share"))
 
     def fitted(df, d):
         now = df.groupBy(d).agg(F.sum("share").alias("now"))
@@ -120,10 +118,10 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id
     cells = stage(noted.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(
         F.sum("_tokens").alias("tokens")), "mix_base")
     raked = rake(cells, tempered_targets(cells, temper) if targets is None else targets, rounds, tol)
-    whole = raked.agg(F.sum("tokens").cast("double").alias("all"))
-    weighed = raked.join(F.broadcast(whole), F.lit(True)).select(  # one row
+    whole = raked.agg(F.sum("tokens").cast("double")).scalar()
+    weighed = raked.select(
         *[F.col(d).alias(f"_{d}") for d in DIMS],
-        F.when(F.col("tokens") > 0, F.round(F.col("share") * F.col("all") / F.col("tokens"), 6))
+        F.when(F.col("tokens") > 0, F.round(F.col("share") * whole / F.col("tokens"), 6))
         .otherwise(0.0).alias("weight"))
     weighed = weighed.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * rate))
     out = noted.join(weighed, [f"_{d}" for d in DIMS])

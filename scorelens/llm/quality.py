@@ -1,6 +1,6 @@
 """Quality classifier by co-training of two views of a document.
 
-* text view: the set of words and of four-letter word beginnings, and its marks;
+* text view: the set of words and of word beginnings (four bytes), and its marks;
 * metadata view: source, language, length and layout (shares of capitals, digits, marks and
   line ends, mean word length, share of distinct words).
 
@@ -25,7 +25,6 @@ label); empty tables give no rows; other columns are kept.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stage
+from .common import prefix_hashes, prepare, span_hashes, stage
 
 TEXT_BITS = 18
 META_BITS = 12
@@ -46,43 +45,54 @@ CONFIDENT = 0.98   # a view's calibrated probability for a pseudo-label
 PSEUDO_WEIGHT = 0.5
 HOLDOUT = 5        # one labelled text in so many calibrates, the others train
 CLIP = 30          # logits are kept within, in grid cells of one half
-TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
-
-
-def text_features(text: str | None) -> tuple[np.ndarray, int, int]:
-    """Sorted feature numbers of the text view, words and distinct words."""
-    words = TOKEN.findall((text or "").lower())
-    kinds = set(words)
-    mask = (1 << TEXT_BITS) - 1
-    ids = {zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask for w in kinds}
-    ids |= {zlib.crc32(("~" + w[:4]).encode("utf-8", "surrogatepass")) & mask
-            for w in kinds if len(w) > 4}
-    return np.array(sorted(ids), dtype=np.uint32), len(words), len(kinds)
-
-
-def meta_features(text: str | None, source, lang, n_chars, n_words: int, n_kinds: int) -> np.ndarray:
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    n = max(len(b), 1)
+# Byte classes: 1 letters (with all of UTF-8's upper bytes), 2 marks, 0 white space, digits and others.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 2
+_KIND[127:] = 1
+_KIND[48:58] = 0
+for _a, _b in ((65, 91), (97, 123)):
+    _KIND[_a:_b] = 1
+BEGINNING = 4  # bytes
+
+
+def text_features(b: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Sorted feature numbers of the text view (runs of letters and of marks, and the
+    beginnings of longer words), tokens and distinct tokens; ``b`` are the lower-cased bytes."""
+    if not len(b):
+        return np.zeros(0, dtype=np.uint32), 0, 0
+    kind = _KIND[b]
+    at = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
+    keep = kind[at[:-1]] > 0
+    start, end = at[:-1][keep], at[1:][keep]
+    prefix = prefix_hashes(b)
+    words = np.unique(span_hashes(prefix, start, end))
+    long = (kind[start] == 1) & (end - start > BEGINNING)
+    heads = span_hashes(prefix, start[long], start[long] + BEGINNING) ^ np.uint64(0x5555555555555555)
+    ids = np.unique(np.concatenate([words, heads]) & np.uint64((1 << TEXT_BITS) - 1))
+    return ids.astype(np.uint32), len(start), len(words)
+
+
+def meta_features(b: np.ndarray, source, lang, n_chars, n_words: int, n_kinds: int) -> np.ndarray:
+    """Feature numbers of the metadata view; ``b`` are the bytes as they are."""
+    n, count = max(len(b), 1), np.bincount(b, minlength=256)
     size = int(math.log2(n))
-    upper = ((b >= 65) & (b <= 90)).sum() / n
-    digit = ((b >= 48) & (b <= 57)).sum() / n
-    space = (b <= 32).sum() / n
-    line = (b == 10).sum() / n
-    lower = ((b >= 97) & (b <= 122)).sum() / n
-    mark = ((b > 32) & (b < 128)).sum() / n - upper - digit - lower
+    upper, lower, digit = count[65:91].sum() / n, count[97:123].sum() / n, count[48:58].sum() / n
+    space, line = count[:33].sum() / n, count[10] / n
+    mark = count[33:128].sum() / n - upper - digit - lower
     length = None if n_chars is None else int(math.log2(max(n_chars, 0) + 1))
     names = [f"source={source}", f"lang={lang}", f"length={length}", f"upper={int(upper * 20)}",
              f"digit={int(digit * 20)}", f"mark={int(mark * 25)}", f"line={int(line * 200)}",
              f"word={min(int(1 / max(space, 0.02)), 30)}",
              f"kinds={size}:{int(10 * n_kinds / max(n_words, 1))}"]
     mask = (1 << META_BITS) - 1
-    return np.unique([zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in names]).astype(np.uint32)
+    return np.array(sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in names}), dtype=np.uint32)
 
 
 def _featurize(batch, cols):
     for text, source, lang, n_chars in zip(*[batch[c].to_pylist() for c in cols]):
-        ids, n_words, n_kinds = text_features(text)
-        yield text, ids, meta_features(text, source, lang, n_chars, n_words, n_kinds)
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        ids, n_words, n_kinds = text_features(np.frombuffer(raw.lower(), dtype=np.uint8))
+        yield raw, ids, meta_features(np.frombuffer(raw, dtype=np.uint8), source, lang, n_chars, n_words, n_kinds)
 
 
 @dataclass
@@ -231,7 +241,7 @@ def features(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
         for batch in batches:
             h, ids, meta = [], [], []
             for t, a, b in _featurize(batch, cols):
-                h.append(xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1)
+                h.append(xxhash.xxh64_intdigest(t) >> 1)
                 ids.append(a.astype("<u4").tobytes())
                 meta.append(b.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(

@@ -187,31 +187,53 @@ def _groups(batches):
         yield key, held
 
 
-def repeat_groups(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(h, c, part, l, r)``: maximal repeats by anchor string ``h``, numbered ``part``; one
-    row per occurrence (a context ``c``), covering ``l`` bytes before its anchor and ``r`` from it."""
+def _over_groups(contexts: DataFrame, length: int, rows_of, schema: str) -> DataFrame:
+    """Rows that ``rows_of(h, group, repeats)`` makes of each anchor string's contexts and
+    their maximal repeats."""
     def run(batches):
         import pyarrow as pa
-        rows = []
+        names = [x.split()[0] for x in schema.split(", ")]
+        kinds = [{"bigint": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in schema.split(", ")]
+        rows: list[tuple] = []
 
         def made():
-            cols = zip(*rows) if rows else ([],) * 5
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
-                names=["h", "c", "part", "l", "r"])
+            cols = list(zip(*rows)) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
 
         for h, group in _groups(batches):
             lefts = [x[:left][::-1] for _, left, x in group]
             rights = [x[left:] for _, left, x in group]
-            for part, (members, left, right) in enumerate(maximal_repeats(lefts, rights, length)):
-                rows += [(h, group[i][0], part, left, right) for i in members]
+            rows += rows_of(h, group, maximal_repeats(lefts, rights, length))
             if len(rows) > 20_000:
                 yield made()
                 rows = []
         yield made()
 
-    return (contexts.repartition("h").sortWithinPartitions("h")
-            .mapInArrow(run, "h bigint, c bigint, part int, l int, r int"))
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
+
+
+def repeat_groups(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(h, c, part, l, r)``: maximal repeats by anchor string ``h``, numbered ``part``; one
+    row per occurrence (a context ``c``), covering ``l`` bytes before its anchor and ``r`` from it."""
+    def rows_of(h, group, repeats):
+        return [(h, group[i][0], part, left, right)
+                for part, (members, left, right) in enumerate(repeats) for i in members]
+
+    return _over_groups(contexts, length, rows_of, "h bigint, c bigint, part int, l int, r int")
+
+
+def repeat_covers(contexts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``(h, c, l, r)``: the union of all occurrences of maximal repeats in each context, a
+    row per context that has any (each occurrence holds the anchor, so they overlap)."""
+    def rows_of(h, group, repeats):
+        most: dict[int, tuple[int, int]] = {}
+        for members, left, right in repeats:
+            for i in members:
+                a, b = most.get(i, (0, 0))
+                most[i] = max(a, left), max(b, right)
+        return [(h, group[i][0], a, b) for i, (a, b) in most.items()]
+
+    return _over_groups(contexts, length, rows_of, "h bigint, c bigint, l int, r int")
 
 
 def _window_covers(contexts: DataFrame, length: int) -> DataFrame:
@@ -247,6 +269,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stage(_anchor_rows(texts, length, gram), "repeat_anchors")
     by_h = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"))
             .where("n > 1").select("h", (F.col("c1") != F.col("c2")).alias("mixed")))
+    by_h = stage(by_h, "repeat_strings")  # a table, so that AQE can split a hot string's join
     shared = stage(rows.join(by_h, "h"), "repeat_shared")
     mixed = shared.where("mixed")
     first = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"),
@@ -263,8 +286,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hot = _contexts(placed, wanted.join(crowd, "h", "left_semi"))
         covers = covers.unionByName(stage(_window_covers(stage(hot, "repeat_hot"), length), "repeat_hot_covers"))
         wanted = wanted.join(crowd, "h", "left_anti")
-    found = repeat_groups(_contexts(placed, wanted), length).select("h", "c", "l", "r")
-    covers = covers.unionByName(found).groupBy("h", "c").agg(F.max("l").alias("cl"), F.max("r").alias("cr"))
+    covers = covers.unionByName(repeat_covers(_contexts(placed, wanted), length)).groupBy("h", "c").agg(F.max("l").alias("cl"), F.max("r").alias("cr"))
     some = mixed.join(covers, ["h", "c"]).select("id", "t", (F.col("pos") - F.col("cl")).alias("lo"),
                                                 (F.col("pos") + F.col("cr")).alias("hi"))
     same = shared.where("not mixed").select("id", "t", (F.col("pos") - F.col("l")).alias("lo"),

@@ -8,10 +8,7 @@ keep rows (see FIXTURES.md).
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -50,21 +47,23 @@ class TrainConfig:
     # "all" fits the target transform and the encoders before the split (the
     # reference); "train" fits them on the training part only.
     fit_on: str = "all"
-    extra: dict = field(default_factory=dict)
+    # Blocks of the factorisation; None: one for about 10 million ratings.
+    n_blocks: int | None = None
 
     def __post_init__(self):
         if abs(sum(self.split) - 1.0) > 1e-9:
             raise ValueError("train/test/val fractions must sum to 1")
 
 
-def config_key_columns(source: Column, params: list[Column], query_text: Column) -> Column:
-    """``<source>_<md5(params)[:8]>_<md5(sql)[:8]>`` with ``|`` between the
-    parameters, so that (2, 15) and (21, 5) do not collide."""
-    p = F.concat_ws("|", *[c.cast("string") for c in params])
-    return F.concat_ws("_", source,
-                       F.substring(F.md5(p), 1, 8),
-                       F.substring(F.md5(query_text), 1, 8))
+def config_key(source: str, params: list, code: str, inputs: str = "") -> str:
+    """``<tag>_<md5(source|inputs)[:8]>_<md5(params)[:8]>_<md5(code)[:8]>`` with ``|`` between
+    the parts, so that (2, 15) and (21, 5) do not collide; the tag is for reading only."""
+    import hashlib
+    import re
 
+    def digest(text: str) -> str:
+        return hashlib.md5(text.encode()).hexdigest()[:8]
 
-def as_dict(cfg) -> dict:
-    return asdict(cfg)
+    whole = source.rstrip("/")
+    tag = re.sub(r"[^A-Za-z0-9.]+", "-", whole.strip("/"))[-40:]
+    return "_".join([tag, digest(f"{whole}|{inputs}"), digest("|".join(str(v) for v in params)), digest(code)])

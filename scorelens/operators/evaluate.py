@@ -14,8 +14,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import fixed
-
 # The error-by-accuracy report covers [0.70, 1.00) in 30 bins.
 ERROR_BIN_START = 0.7
 ERROR_BIN_STOP = 1.0
@@ -35,7 +33,8 @@ def percent_label(x: float) -> str:
 
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """n, MAE, RMSE, R2 and the reference's R2 with the arguments swapped
-    (prediction as the truth)."""
+    (prediction as the truth), unrounded; a NaN makes the figures NaN, NULL
+    errors count in ``n`` only, no rows give NULL figures."""
     err = F.col(pred) - F.col(y)
     a = df.agg(F.count(F.lit(1)).alias("n"),
                F.avg(F.abs(err)).alias("mae"),
@@ -43,11 +42,9 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataF
                F.sum(err * err).alias("sse"),
                F.var_pop(y).alias("var_y"),
                F.var_pop(pred).alias("var_p"))
-    return a.select("n", fixed(F.col("mae")).alias("mae"),
-                    fixed(F.sqrt("mse")).alias("rmse"),
-                    fixed(F.lit(1.0) - F.try_divide(F.col("sse"), F.col("var_y") * F.col("n"))).alias("r2"),
-                    fixed(F.lit(1.0) - F.try_divide(F.col("sse"), F.col("var_p") * F.col("n")))
-                    .alias("r2_swapped"))
+    return a.select("n", "mae", F.sqrt("mse").alias("rmse"),
+                    (F.lit(1.0) - F.try_divide(F.col("sse"), F.col("var_y") * F.col("n"))).alias("r2"),
+                    (F.lit(1.0) - F.try_divide(F.col("sse"), F.col("var_p") * F.col("n"))).alias("r2_swapped"))
 
 
 def error_bins(start=ERROR_BIN_START, stop=ERROR_BIN_STOP, n=ERROR_BIN_COUNT) -> list[tuple]:
@@ -62,7 +59,7 @@ def error_by_bin(df: DataFrame, y: str = "y", pred: str = "pred", start=ERROR_BI
     bins = error_bins(start, stop, n)
     splits = [float("-inf")] + [b[1] for b in bins] + [bins[-1][2], float("inf")]
     src = df.select(F.col(y).cast("double").alias("_y"), F.col(pred).cast("double").alias("_p"))
-    src = src.where(F.col("_y").isNotNull())
+    src = src.where(F.col("_y").isNotNull() & ~F.isnan("_y"))
     b = Bucketizer(splits=splits, inputCol="_y", outputCol="_b").transform(src)
     err = F.col("_p") - F.col("_y")
     agg = (b.where((F.col("_b") >= 1) & (F.col("_b") <= n))
@@ -70,9 +67,10 @@ def error_by_bin(df: DataFrame, y: str = "y", pred: str = "pred", start=ERROR_BI
            .agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"),
                 F.avg(err * err).alias("mse")))
     table = spark.createDataFrame(bins, "bin int, lo double, hi double, bound string")
-    return (F.broadcast(table).join(agg, "bin", "left")
-            .select("bin", "lo", "hi", "bound", F.coalesce("n", F.lit(0)).alias("n"),
-                    fixed(F.col("mae")).alias("mae"), fixed(F.sqrt("mse")).alias("rmse")))
+    # agg has a row per bin at most: it is the side to broadcast in this left join
+    return (table.join(F.broadcast(agg), "bin", "left")
+            .select("bin", "lo", "hi", "bound", F.coalesce("n", F.lit(0)).alias("n"), "mae",
+                    F.sqrt("mse").alias("rmse")))
 
 
 def _with_bins(df: DataFrame, x: str, lo, hi, n: int, out: str) -> DataFrame:
@@ -98,32 +96,49 @@ def _with_bins(df: DataFrame, x: str, lo, hi, n: int, out: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, n: int = 25, series: str | None = None) -> DataFrame:
-    """``(bin, lo, hi, count)`` for n equal bins between the column's min and
-    max; every bin is present.  Min and max come from scalar subqueries, so
-    the whole histogram is one plan."""
+    """``(bin, lo, hi, count)`` for n equal bins between the column's least and greatest
+    finite value; every bin is present.  NaN and infinite values are counted in one more
+    row, bin -1 with NULL edges, if there are any; NULLs are not values.  Without a finite
+    value the edges are NULL and the counts 0."""
+    out = histograms(df.select(F.lit(series or "").alias("series"), F.col(col).cast("double").alias("x")), [series or ""], n)
+    return out if series is not None else out.drop("series")
+
+
+def histograms(df: DataFrame, names: list[str], n: int = 25) -> DataFrame:
+    """Histograms of the series ``names`` of ``(series, x)``, in one pass for the bounds and
+    one for the counts: ``(series, bin, lo, hi, count)``, as ``histogram``."""
     spark = df.sparkSession
-    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    # one scalar subquery (a struct) so min and max cost a single pass
-    bnd = x.select(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar()
-    mn, mx = bnd.getField("lo"), bnd.getField("hi")
-    binned = _with_bins(x, "_x", mn, mx, n, "bin")
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    # bin edges straight from the (reused) scalar subquery: no join with the bounds row
-    first = F.when(mx == mn, mn - 0.5).otherwise(mn)
-    last = F.when(mx == mn, mx + 0.5).otherwise(mx)
-    b = F.col("bin")
-    bins = spark.range(n).select(F.col("id").cast("int").alias("bin"))
-    edges = bins.select("bin", first.alias("_first"), last.alias("_last"))
-    edges = edges.withColumn("_step", (F.col("_last") - F.col("_first")) / F.lit(float(n)))
-    out = (edges.join(counts, "bin", "left")
-           .select("bin", (b * F.col("_step") + F.col("_first")).alias("lo"),
-                   F.when(b + 1 >= n, F.col("_last")).otherwise((b + 1) * F.col("_step") + F.col("_first"))
-                   .alias("hi"),
-                   F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
-    if series is not None:
-        out = out.select(F.lit(series).alias("series"), "*")
-    return out.select(*[c if c in ("bin", "count", "series") else fixed(F.col(c)).alias(c)
-                        for c in out.columns])
+    x = df.select("series", F.col("x").cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    finite = ~F.isnan("_x") & (F.abs("_x") < float("inf"))
+    good = F.when(finite, F.col("_x"))
+    # one scalar subquery with the bounds of all series: one pass, no join
+    bounds = x.agg(F.struct(*[f(F.when(F.col("series") == s, good)).alias(f"{side}{k}") for k, s in enumerate(names)
+                              for side, f in (("mn", F.min), ("mx", F.max))])).scalar()
+
+    def bound(side):
+        out = None
+        for k, s in enumerate(names):
+            v = bounds.getField(f"{side}{k}")
+            out = F.when(F.col("series") == s, v) if out is None else out.when(F.col("series") == s, v)
+        return out
+
+    binned = _with_bins(x.where(finite), "_x", bound("mn"), bound("mx"), n, "bin").select("series", "bin")
+    counts = binned.groupBy("series", "bin").agg(F.count(F.lit(1)).alias("count"))
+    table = (spark.createDataFrame([(s, i) for s in names for i in range(n)], "series string, bin int")
+             .withColumn("mn", bound("mn")).withColumn("mx", bound("mx")))
+    mn, mx, i = F.col("mn"), F.col("mx"), F.col("bin")
+    table = (table.withColumn("_first", F.when(mx == mn, mn - 0.5).otherwise(mn))
+             .withColumn("_last", F.when(mx == mn, mx + 0.5).otherwise(mx))
+             .withColumn("_step", (F.col("_last") - F.col("_first")) / F.lit(float(n))))
+    table = table.select("series", "bin", (i * F.col("_step") + F.col("_first")).alias("lo"),
+                         F.when(i + 1 >= n, F.col("_last")).otherwise((i + 1) * F.col("_step") + F.col("_first")).alias("hi"))
+    # counts has a row per bin at most: the side to broadcast
+    out = (table.join(F.broadcast(counts), ["series", "bin"], "left")
+           .select("series", "bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
+    none = F.lit(None).cast("double")
+    odd = (x.where(~finite).groupBy("series").agg(F.count(F.lit(1)).alias("count"))
+           .select("series", F.lit(-1).alias("bin"), none.alias("lo"), none.alias("hi"), "count"))
+    return out.unionByName(odd)
 
 
 def histogram_2d(df: DataFrame, xcol: str, ycol: str, n: int = 25) -> DataFrame:
@@ -138,17 +153,24 @@ def histogram_2d(df: DataFrame, xcol: str, ycol: str, n: int = 25) -> DataFrame:
     return t.groupBy("bin_x", "bin_y").agg(F.count(F.lit(1)).alias("count"))
 
 
+def minmax_scaled(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, scaled)``: each dimension of an array column scaled to [0, 1] by its least and
+    greatest value; a constant dimension gives 0, NULL and NaN elements stay as they are."""
+    v = df.select(id_col, F.transform(vec_col, lambda e: e.cast("double")).alias("_v"))
+    real = F.when(~F.isnan("x"), F.col("x"))
+    # a scalar subquery: one entry per dimension, bounded by the vector width
+    stats = (v.select(F.posexplode("_v").alias("dim", "x")).groupBy("dim")
+             .agg(F.min(real).alias("mn"), F.max(real).alias("mx"))
+             .agg(F.sort_array(F.collect_list(F.struct("dim", "mn", "mx"))).alias("s"))).scalar()
+    scaled = F.zip_with("_v", "_s", lambda x, s: F.when(x.isNull() | F.isnan(x), x).when(s["mx"] == s["mn"], F.lit(0.0)).otherwise(
+        (x - s["mn"]) / (s["mx"] - s["mn"])))
+    return v.withColumn("_s", stats).select(id_col, F.slice(scaled, F.lit(1), F.size("_v")).alias("scaled"))
+
+
 def minmax_long(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Per-dimension min-max scaling of an array column, long format
-    ``(id, dim, value)``; a constant dimension scales to 0."""
-    long = df.select(id_col, F.posexplode(vec_col).alias("dim", "v")) \
-        .withColumn("v", F.col("v").cast("double"))
-    stats = long.groupBy("dim").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))
-    # one row per dimension: bounded by the vector width
-    j = long.join(F.broadcast(stats), "dim")
-    rng = F.col("mx") - F.col("mn")
-    val = F.when(rng == 0, F.lit(0.0)).otherwise((F.col("v") - F.col("mn")) / rng)
-    return j.select(id_col, F.col("dim").cast("int").alias("dim"), fixed(val).alias("value"))
+    """``minmax_scaled`` in long format ``(id, dim, value)``."""
+    return (minmax_scaled(df, id_col, vec_col)
+            .select(id_col, F.posexplode("scaled").alias("dim", "value")))
 
 
 def pca(df: DataFrame, vec_col: str, k: int = 6, id_col: str | None = None):

@@ -75,12 +75,16 @@ def unknown_labels(df: DataFrame, col: str, codes: DataFrame) -> DataFrame:
 
 
 def check_known(df: DataFrame, cols_codes: dict[str, DataFrame]) -> None:
-    """Raise ValueError when any label is not in its code table (one small job
-    per column; only the first few unknown labels reach the driver)."""
+    """Raise ValueError when any label is NULL or not in its code table (two small jobs per
+    column; their counts and the five smallest unknown labels reach the driver)."""
     for col, codes in cols_codes.items():
-        bad = unknown_labels(df, col, codes).limit(5).collect()
-        if bad:
-            raise ValueError(f"unknown {col} labels: {[r[0] for r in bad]}")
+        n_null = df.where(F.col(col).isNull()).count()
+        if n_null:
+            raise ValueError(f"{n_null} rows with a NULL {col}")
+        bad = unknown_labels(df, col, codes)
+        n = bad.count()
+        if n:
+            raise ValueError(f"{n} unknown {col} labels, among them {[r[0] for r in bad.orderBy(col).limit(5).collect()]}")
 
 
 # ---------------------------------------------------------------- quantiles
@@ -247,10 +251,18 @@ def split_sizes(n: int, fractions=(0.8, 0.1, 0.1)) -> tuple[int, int, int]:
     return n_train, n_test, n - n_train - n_test
 
 
+def split_hash(df: DataFrame, seed: int):
+    """Seeded 60-bit hash of a row's text columns (all columns if it has none); md5, so that
+    other engines can repeat it."""
+    cols = [f.name for f in df.schema if f.dataType.simpleString() == "string"] or df.columns
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def exact_split(df: DataFrame, fractions=(0.8, 0.1, 0.1), seed: int = 373,
                 n_partitions: int | None = None) -> DataFrame:
     """Add ``part`` in {train, test, val} with exact sizes int(.8n), int(.1n),
-    rest.  Rows are ordered by a seeded 64-bit hash of all their columns, so
+    rest.  Rows are ordered by ``split_hash`` and then by all their columns, so
     the split does not depend on partitioning or input order; identical rows
     are interchangeable."""
     cols = df.columns
@@ -259,11 +271,10 @@ def exact_split(df: DataFrame, fractions=(0.8, 0.1, 0.1), seed: int = 373,
     # task otherwise).  Copies are interchangeable, so which copy lands in
     # which part does not change the result; on a table scan the position is
     # deterministic as well.
-    h = (df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]))
-         .withColumn("_t", F.monotonically_increasing_id()))
+    h = df.withColumn("_h", split_hash(df, seed)).withColumn("_t", F.monotonically_increasing_id())
     if abs(sum(fractions) - 1.0) > 1e-9:
         raise ValueError("train/test/val fractions must sum to 1")
-    idx = row_index(h, ["_h", "_t"], "_i", n_partitions)
+    idx = row_index(h, ["_h", *cols, "_t"], "_i", n_partitions)
     # n from the (staged) ranked rows in the same plan; int(n * f) as floor
     n = idx.select(F.count(F.lit(1)).cast("double")).scalar()
     n_train = F.floor(n * F.lit(float(fractions[0])))
@@ -271,11 +282,3 @@ def exact_split(df: DataFrame, fractions=(0.8, 0.1, 0.1), seed: int = 373,
     part = (F.when(F.col("_i") < n_train, F.lit("train"))
             .when(F.col("_i") < n_train + n_test, F.lit("test")).otherwise(F.lit("val")))
     return idx.withColumn("part", part).drop("_h", "_t", "_i")
-
-
-def hash_split(df: DataFrame, fractions=(0.8, 0.1, 0.1), seed: int = 373) -> DataFrame:
-    """Cheap split without a sort: parts by a seeded hash bucket (sizes are
-    approximately, not exactly, the fractions)."""
-    u = (F.abs(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])) % 1_000_000) / 1e6
-    a, b = fractions[0], fractions[0] + fractions[1]
-    return df.withColumn("part", F.when(u < a, "train").when(u < b, "test").otherwise("val"))

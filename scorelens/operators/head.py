@@ -10,12 +10,16 @@ shift)::
     out    = w2 . silu(W1 x + b1) + b2
 
 Training is data-parallel local SGD: every epoch is one Spark job.  The current
-parameters (a few hundred numbers) ship with the task; each partition runs
-mini-batch Adam over its rows in a seeded hash order (Arrow batches, numpy);
-the driver averages the returned parameter vectors weighted by rows.  Loss is
-MSE on the normalised target, with Adam weight decay, an exponential learning
-rate per epoch, early stopping on the validation loss, and the best epoch's
-parameters kept.  The embeddings stay in Spark tables (joined to the rows);
+parameters (a few hundred numbers) ship with the task; each partition is sorted
+by a seeded hash and runs mini-batch Adam over it (rows that an Arrow batch
+leaves over go into the next mini-batch, so only the partition's last one is
+short); the driver averages the returned parameter vectors weighted by rows.
+The result depends on the number of partitions, as local SGD does, and on
+nothing else of the layout.  Loss is MSE on the normalised target, with Adam
+weight decay, an exponential learning rate per epoch, a stop on divergence,
+early stopping on the validation loss, and the best parameters kept: those of
+an epoch or the average over all epochs.  The output is weighted by its
+least-squares weight on the validation rows, from 0 to 1.  The embeddings stay in Spark tables (joined to the rows);
 only the head's parameters reach the driver.
 
 Scoring (``forward``) is an Arrow-batched pandas UDF: one numpy matrix
@@ -24,6 +28,7 @@ product per batch, parameters shipped with the function.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,7 +49,7 @@ class HeadConfig:
     weight_decay: float = 1e-3
     patience: int = 2
     min_delta: float = 1e-4
-    divergence_threshold: float | None = None
+    divergence_factor: float | None = 10.0  # stop when a loss exceeds this many times the first
     seed: int = 373
 
 
@@ -57,6 +62,7 @@ class Head:
     sd_m: np.ndarray
     params: np.ndarray
     log: list = field(default_factory=list)
+    scale: float = 1.0
 
     def unpack(self):
         return unpack(self.params, self.dim)
@@ -137,7 +143,7 @@ def forward(rows: DataFrame, head: Head, out: str = "z", eu: str = "eu", em: str
     Catalyst inline the arrays into every element access).  Rows without an
     embedding (a key unseen in training) get NULL."""
     p = head.unpack()
-    mu_u, sd_u, mu_m, sd_m = head.mu_u, head.sd_u, head.mu_m, head.sd_m
+    mu_u, sd_u, mu_m, sd_m, scale = head.mu_u, head.sd_u, head.mu_m, head.sd_m, head.scale
 
     @F.pandas_udf("double")
     def _fwd(eu_s: pd.Series, em_s: pd.Series) -> pd.Series:
@@ -146,7 +152,7 @@ def forward(rows: DataFrame, head: Head, out: str = "z", eu: str = "eu", em: str
         if ok.any():
             zu = (np.stack(eu_s[ok].to_numpy()).astype(np.float64) - mu_u) / sd_u
             zm = (np.stack(em_s[ok].to_numpy()).astype(np.float64) - mu_m) / sd_m
-            res[ok] = forward_np(p, zu, zm)[0]
+            res[ok] = scale * forward_np(p, zu, zm)[0]
         return pd.Series(res)
 
     z = _fwd(F.col(eu), F.col(em))
@@ -161,26 +167,34 @@ def _local_epoch(params: np.ndarray, d: int, cfg: HeadConfig, lr: float):
         v = np.zeros_like(p)
         t, n, sq = 0, 0, 0.0
         b1, b2, eps = 0.9, 0.999, 1e-8
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            pdf = pdf.sort_values("_o")
-            zu = np.stack(pdf["zu"].to_numpy()).astype(np.float64)
-            zm = np.stack(pdf["zm"].to_numpy()).astype(np.float64)
-            y = pdf["y"].to_numpy(dtype=np.float64)
-            for s in range(0, len(y), cfg.batch_size):
-                sl = slice(s, s + cfg.batch_size)
-                g, loss = grad_np(unpack(p, d), zu[sl], zm[sl], y[sl])
-                g = g + cfg.weight_decay * p
-                t += 1
-                m = b1 * m + (1 - b1) * g
-                v = b2 * v + (1 - b2) * g * g
-                mh = m / (1 - b1 ** t)
-                vh = v / (1 - b2 ** t)
-                p = p - lr * mh / (np.sqrt(vh) + eps)
-                k = len(y[sl])
-                n += k
-                sq += loss * k
+
+        def minibatches():
+            """Batches of exactly ``batch_size`` rows (the last one may be short)."""
+            left = None
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                new = (np.stack(pdf["zu"].to_numpy()).astype(np.float64),
+                       np.stack(pdf["zm"].to_numpy()).astype(np.float64), pdf["y"].to_numpy(dtype=np.float64))
+                left = new if left is None else tuple(np.concatenate(x) for x in zip(left, new))
+                k = cfg.batch_size
+                while len(left[2]) >= k:
+                    yield tuple(x[:k] for x in left)
+                    left = tuple(x[k:] for x in left)
+            if left is not None and len(left[2]):
+                yield left
+
+        for zu, zm, y in minibatches():
+            g, loss = grad_np(unpack(p, d), zu, zm, y)
+            g = g + cfg.weight_decay * p
+            t += 1
+            m = b1 * m + (1 - b1) * g
+            v = b2 * v + (1 - b2) * g * g
+            mh = m / (1 - b1 ** t)
+            vh = v / (1 - b2 ** t)
+            p = p - lr * mh / (np.sqrt(vh) + eps)
+            n += len(y)
+            sq += loss * len(y)
         if n:
             yield pd.DataFrame({"n": [n], "sq": [sq], "params": [p.tolist()]})
 
@@ -189,9 +203,9 @@ def _local_epoch(params: np.ndarray, d: int, cfg: HeadConfig, lr: float):
 
 def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str = "train",
                val_part: str = "val", quantiles=None) -> Head:
-    """``rows``: ``(eu array, em array, y, part, uid_le, mid_le)`` and, for a
-    validation MAE on the original scale, ``accuracy`` plus the fitted
-    ``quantiles`` (the loss itself is on the normalised scale)."""
+    """``rows``: ``(eu array, em array, y, part, uid, mid)`` and, for MAEs on the original
+    scale, ``accuracy`` and ``_base`` (what ``y`` is measured from) plus the fitted
+    ``quantiles`` (the losses are on the normalised scale)."""
     d = cfg.dim
     tr = rows.where(F.col("part") == train_part)
     stats = tr.agg(*[F.avg(F.col("eu")[i].cast("double")).alias(f"mu_u{i}") for i in range(d)],
@@ -209,14 +223,27 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
     head = Head(d, vec("mu_u"), sd_u, vec("mu_m"), sd_m,
                 init_params(d, cfg.seed, float(stats["y_mean"] or 0.0)))
     # Every epoch reads the same standardised rows: write them once.
-    feats = stage(features(tr, head).select("zu", "zm", "y", "uid_le", "mid_le"), "head_train")
+    feats = stage(features(tr, head).select("zu", "zm", "y", "uid", "mid"), "head_train")
     with_mae = quantiles is not None and "accuracy" in rows.columns
-    val_cols = ["eu", "em", "y"] + (["accuracy"] if with_mae else [])
-    val = stage(rows.where(F.col("part") == val_part).select(*val_cols), "head_val")
-    best, best_loss, bad, lr = head.params, None, 0, cfg.lr
+    seen = stage(rows.where(F.col("part").isin(train_part, val_part)).select(
+        "eu", "em", "y", "part", *(["accuracy", "_base"] if with_mae else [])), "head_rows")
+
+    def measured() -> dict:
+        """Losses and MAEs of both parts, and the sums for the output's weight: one job."""
+        z = forward(seen, head)
+        own = [F.avg((F.col("z") - F.col("y")) ** 2).alias("loss"), F.sum(F.col("z") * F.col("y")).alias("zy"),
+               F.sum(F.col("z") * F.col("z")).alias("zz")]
+        if with_mae:
+            from .features import inverse
+            z = inverse(z.withColumn("_all", F.col("z") + F.col("_base")), "_all", quantiles, "_pred")
+            own.append(F.avg(F.abs(F.col("_pred") - F.col("accuracy"))).alias("mae"))
+        return {r["part"]: r for r in z.groupBy("part").agg(*own).collect()}
+
+    best, best_loss, first_loss, bad, lr, total = head.params, None, None, 0, cfg.lr, np.zeros_like(head.params)
     schema = "n long, sq double, params array<double>"
     for epoch in range(cfg.epochs):
-        ordered = feats.withColumn("_o", F.xxhash64(F.lit(cfg.seed), F.lit(epoch), "uid_le", "mid_le"))
+        ordered = (feats.withColumn("_o", F.xxhash64(F.lit(cfg.seed), F.lit(epoch), "uid", "mid"))
+                   .sortWithinPartitions("_o", "uid", "mid"))
         parts = ordered.mapInPandas(_local_epoch(head.params, d, cfg, lr), schema)
         # Row-weighted average of the partitions' parameters, summed on the
         # executors: one row per parameter reaches the driver, whatever the
@@ -225,34 +252,53 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
                .groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"),
                                  F.sum("n").alias("n"), F.sum("sq").alias("sq"))
                .orderBy("i").collect())
+        if not avg:
+            break  # no training rows: the initial parameters stay
         head.params = np.array([r["v"] for r in avg], dtype=np.float64)
-        train_loss = avg[0]["sq"] / avg[0]["n"]
-        scored = forward(val, head)
-        val_loss = scored.select(F.avg((F.col("z") - F.col("y")) ** 2)).first()[0]
-        val_mae = None
-        if with_mae:
-            from .features import inverse
-            back = inverse(scored, "z", quantiles, "_pred")
-            val_mae = back.select(F.avg(F.abs(F.col("_pred") - F.col("accuracy")))).first()[0]
-        head.log.append((epoch, lr, float(train_loss), float(val_loss),
-                         None if val_mae is None else float(val_mae)))
-        if best_loss is None or val_loss < best_loss - cfg.min_delta:
-            best, best_loss, bad = head.params.copy(), val_loss, 0
+        total += head.params
+        m = measured()
+        loss = m[val_part]["loss"] if val_part in m else m[train_part]["loss"]
+        head.log.append((epoch, lr, float(m[train_part]["loss"]), float(loss),
+                         *[float(m[p]["mae"]) if with_mae and p in m else None for p in (train_part, val_part)]))
+        first_loss = first_loss if first_loss is not None else loss
+        if best_loss is None or loss < best_loss - cfg.min_delta:
+            best, best_loss, bad = head.params.copy(), loss, 0
         else:
             bad += 1
-        if cfg.divergence_threshold is not None and val_loss > cfg.divergence_threshold:
+        if cfg.divergence_factor is not None and not loss <= cfg.divergence_factor * max(first_loss, 1e-12):
             break
         if bad >= cfg.patience:
             break
         lr *= cfg.lr_gamma
-    head.params = best
+    if head.log:
+        head.params = total / len(head.log)
+        m = measured()
+        if not m.get(val_part, m[train_part])["loss"] < best_loss:
+            head.params = best
+            m = measured()
+        w = m.get(val_part, m[train_part])
+        head.scale = min(max(w["zy"] / w["zz"], 0.0), 1.0) if w["zz"] else 0.0
     return head
 
 
+def save_head(spark, head: Head, path: str) -> str:
+    """The head as one JSON row."""
+    own = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in head.__dict__.items()}
+    spark.createDataFrame([(json.dumps(own),)], "head string").coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def load_head(spark, path: str) -> Head:
+    own = json.loads(spark.read.json(path).first()["head"])
+    return Head(**{k: np.array(v) if k.startswith(("mu", "sd", "params")) else v for k, v in own.items()})
+
+
 def epoch_log(spark, head: Head) -> DataFrame:
     return spark.createDataFrame(
-        head.log, "epoch int, lr double, train_loss double, val_loss double, val_mae double")
+        head.log, "epoch int, lr double, train_loss double, val_loss double, "
+        "train_mae double, val_mae double")
 
 
 def best_epoch(log: DataFrame) -> DataFrame:
-    return log.agg(F.min_by("epoch", "val_loss").alias("epoch"), F.min("val_loss").alias("val_loss"))
+    """The epoch with the lowest validation loss; of equal ones the first."""
+    return log.agg(F.min_by("epoch", F.struct("val_loss", "epoch")).alias("epoch"), F.min("val_loss").alias("val_loss"))

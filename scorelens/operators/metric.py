@@ -10,12 +10,14 @@ deviation curve over the key's span::
 single offset give 0/0, which is NULL here.  Ties in ``offset`` are ordered by
 ``speed``.
 
-The "next offset" is a ``lead`` window.  A plain ``partitionBy(key)`` window
-would put every step of a key into one task, so a hot key would serialise the
-job.  Here each key is first cut into offset buckets of about
-``rows_per_bucket`` steps (sizes come from a per-key pre-aggregate, which
-combines map-side), the lead runs per (key, bucket), and one more lead over the
-small per-bucket summary adds the step that crosses each bucket boundary.
+Steps are first summed per (key, offset), which combines map-side: of equal
+offsets only the last speed has a length.  The "next offset" is a ``lead``
+window.  A plain ``partitionBy(key)`` window would put every step of a key into
+one task, so a hot key would serialise the job.  Here a key with more than
+``rows_per_bucket`` offsets is cut into ``BUCKETS`` buckets at its own offset
+quantiles (so a burst of steps is split like any other part), the lead runs per
+(key, bucket), and one more lead over the small per-bucket summary adds the
+step that crosses each bucket boundary.
 """
 
 from __future__ import annotations
@@ -24,35 +26,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.curves import speed_deviation
+from ..sources.sinks import stage
 
 DEFAULT_ROWS_PER_BUCKET = 1 << 20
+BUCKETS = 256
 
 
 def scroll_variance(steps: DataFrame, key: str = "mid",
-                    rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    s = steps.select(F.col(key).alias("k"), F.col("offset").cast("double").alias("o"),
-                     F.col("speed").cast("double").alias("v")).where(F.col("o").isNotNull())
-
+                    rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET,
+                    stage_mode: str = "none") -> DataFrame:
+    """``stage_mode`` as in ``sources.sinks.stage``: the summed steps feed both the cuts and
+    the windows."""
+    s = (steps.select(F.col(key).alias("k"), F.col("offset").cast("double").alias("o"),
+                      F.col("speed").cast("double").alias("v")).where(F.col("o").isNotNull())
+         .groupBy("k", "o").agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("n")))
     if rows_per_bucket:
-        span = s.groupBy("k").agg(F.min("o").alias("o_min"), F.max("o").alias("o_max"),
-                                  F.count(F.lit(1)).alias("n_k"))
-        nb = F.ceil(F.col("n_k") / F.lit(float(rows_per_bucket)))
-        width = (F.col("o_max") - F.col("o_min")) / nb
-        bucket = F.when((nb <= 1) | (width <= 0), F.lit(0)).otherwise(
-            F.least(F.floor((F.col("o") - F.col("o_min")) / width), nb - 1)).cast("long")
-        s = s.join(span, "k").select("k", "o", "v", bucket.alias("b"))
+        s = stage(s, "steps", stage_mode)
+        hot = s.groupBy("k").agg(F.count(F.lit(1)).alias("n_k")).where(F.col("n_k") > rows_per_bucket).select("k")
+        cuts = (s.join(hot, "k", "left_semi").groupBy("k")
+                .agg(F.array_distinct(F.percentile_approx("o", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).alias("cuts")))
+        s = s.join(cuts, "k", "left")
+        bucket = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("o"))))
+        s = s.select("k", "o", "v", "n", bucket.cast("long").alias("b"))
     else:
         s = s.withColumn("b", F.lit(0).cast("long"))
 
-    w1 = Window.partitionBy("k", "b").orderBy("o", "v")
+    w1 = Window.partitionBy("k", "b").orderBy("o")
     nxt = F.lead("o").over(w1)
     inner = (s.withColumn("len", nxt - F.col("o"))
              .groupBy("k", "b")
              .agg(F.sum(F.when(F.col("len").isNotNull(), speed_deviation("v") * F.col("len")))
                   .alias("part"),
                   F.min("o").alias("lo"), F.max("o").alias("hi"),
-                  F.max_by("v", F.struct("o", "v")).alias("last_v"),
-                  F.count(F.lit(1)).alias("n")))
+                  F.max_by("v", "o").alias("last_v"),
+                  F.sum("n").alias("n")))
 
     w2 = Window.partitionBy("k").orderBy("b")
     cross = speed_deviation("last_v") * (F.lead("lo").over(w2) - F.col("hi"))
@@ -69,9 +76,10 @@ def scroll_variance(steps: DataFrame, key: str = "mid",
 
 
 def item_metric(keys: DataFrame, steps: DataFrame, key: str = "mid",
-                rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET,
+                stage_mode: str = "none") -> DataFrame:
     """Metric for every requested key; keys without step data keep a NULL
     metric (the reference reports the missing input and leaves it empty)."""
     k = keys.select(key).distinct()
     relevant = steps.join(k, key, "left_semi")
-    return k.join(scroll_variance(relevant, key, rows_per_bucket), key, "left")
+    return k.join(scroll_variance(relevant, key, rows_per_bucket, stage_mode), key, "left")

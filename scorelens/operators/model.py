@@ -1,104 +1,196 @@
 """Factor model: fit, predict, save, load.
 
-The reference learns one embedding per user key and per item key and scores a
-pair from the two embeddings.  Here the embeddings are Spark ML ALS factors
-(rank 6 by default) fitted on the quantile-normalised target: factors stay
-distributed (blocked by user and item), training is alternating least squares
-over shuffles, and scoring is a pair of joins from the request rows to the
-factor tables, never a driver-side lookup.  Predictions go back to the
-accuracy scale through the inverse quantile transform.
+A pair's value on the normalised scale is ``mean + user bias + item bias + shrink * <user
+factors, item factors>``.  The biases are grouped means, shrunk by the share of variance
+that lies between the groups (none: all biases are zero).  The factors are Spark ML ALS
+factors of what the biases leave (rank 6 by default), fitted without a seeded slice of the
+training rows; on that slice ``shrink`` is the least-squares weight of their product, from 0
+to 1, so factors that only memorise noise get no weight.  Factors stay distributed.
+
+``fit`` joins each label to its code, bias and factors once; scoring is one join per side on
+the label, never a driver-side lookup.  A known key without training rows or factors falls
+back on the mean and on what is known of the other side, so every known key has a
+prediction.  Predictions go back to the accuracy scale through the inverse quantile
+transform.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
-from pyspark.ml.recommendation import ALS, ALSModel
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TrainConfig
+from ..sources.sinks import stage
 from . import features as FT
 
+HELD = 10  # one training row in so many weighs the factors and does not fit them
+
 
 @dataclass
 class FactorModel:
-    als: ALSModel
+    users: DataFrame   # label, code, bias, n (training rows, NULL if none), emb (NULL if no factors)
+    items: DataFrame
+    mean: float
+    shrink: float
     quantiles: FT.QuantileModel
-    uid_codes: DataFrame
-    mid_codes: DataFrame
     params: dict
 
     @property
     def user_factors(self) -> DataFrame:
-        """``(code, emb array<float>)`` per user key."""
-        return self.als.userFactors.select(F.col("id").cast("bigint").alias("code"),
-                                           F.col("features").alias("emb"))
+        """``(code, emb array<float>)`` per user key that has factors."""
+        return self.users.where(F.col("emb").isNotNull()).select("code", "emb")
 
     @property
     def item_factors(self) -> DataFrame:
-        return self.als.itemFactors.select(F.col("id").cast("bigint").alias("code"),
-                                           F.col("features").alias("emb"))
+        return self.items.where(F.col("emb").isNotNull()).select("code", "emb")
+
+    @property
+    def uid_codes(self) -> DataFrame:
+        return self.users.select("label", "code")
+
+    @property
+    def mid_codes(self) -> DataFrame:
+        return self.items.select("label", "code")
+
+
+def held_out(seed: int):
+    """Rows of the slice that the factors are not fitted on."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("held"), "uid", "mid"), F.lit(HELD)) == 0
+
+
+def shrunk_means(rows: DataFrame, key: str, value) -> DataFrame:
+    """``(key, bias, n)``: group means of ``value`` shrunk towards zero by n / (n + k), where k
+    is the variance within groups over the variance between them (method of moments)."""
+    per = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("ss"))
+    a = per.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"),
+                F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b")).first()
+    k, n = a["k"], a["n"] or 0
+    ratio = None
+    if k > 1 and n > k:
+        within = max(a["ss"] - a["b"], 0.0) / (n - k)
+        between = (a["b"] - a["s"] ** 2 / n) / (k - 1)
+        size = (n - a["nn"] / n) / (k - 1)
+        spread = (between - within) / size if size > 0 else 0.0
+        ratio = within / spread if spread > 0 else None
+    bias = F.lit(0.0) if ratio is None else F.col("s") / (F.col("n") + F.lit(float(ratio)))
+    return per.select(key, bias.alias("bias"), "n")
 
 
 def fit(rows: DataFrame, quantiles: FT.QuantileModel, uid_codes: DataFrame, mid_codes: DataFrame,
         cfg: TrainConfig = TrainConfig(), part: str = "train") -> FactorModel:
     """Fit on the rows of ``part`` (``None``: all rows).  ``rows`` is a
-    training table (``uid_le``, ``mid_le``, ``y``)."""
-    spark = rows.sparkSession
+    training table (``uid``, ``mid``, ``uid_le``, ``mid_le``, ``y``)."""
     train = rows if part is None else rows.where(F.col("part") == part)
-    cores = spark.sparkContext.defaultParallelism
+    size = train.agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n")).first()
+    mean = float(size["mean"] or 0.0)
+    items = stage(shrunk_means(train, "mid_le", F.col("y") - mean), "item_bias")
+    rest = train.join(items.select("mid_le", F.col("bias").alias("_mb")), "mid_le")
+    users = stage(shrunk_means(rest, "uid_le", F.col("y") - mean - F.col("_mb")), "user_bias")
+    rest = stage(rest.join(users.select("uid_le", F.col("bias").alias("_ub")), "uid_le").select(
+        F.col("uid_le").cast("int"), F.col("mid_le").cast("int"),
+        (F.col("y") - mean - F.col("_mb") - F.col("_ub")).cast("float").alias("r"), held_out(cfg.seed).alias("held")),
+        "residuals")
+    blocks = cfg.n_blocks or max(2, min(size["n"] // 10_000_000 + 1, 1000))
     als = ALS(rank=cfg.rank, maxIter=cfg.max_iter, regParam=cfg.reg_param,
-              userCol="uid_le", itemCol="mid_le", ratingCol="y", nonnegative=False,
+              userCol="uid_le", itemCol="mid_le", ratingCol="r", nonnegative=False,
               implicitPrefs=False, coldStartStrategy="nan", seed=cfg.seed,
-              numUserBlocks=max(cores, 2), numItemBlocks=max(cores, 2),
+              numUserBlocks=blocks, numItemBlocks=blocks,
               checkpointInterval=5, intermediateStorageLevel="MEMORY_AND_DISK",
               finalStorageLevel="MEMORY_AND_DISK")
-    model = als.fit(train.select(F.col("uid_le").cast("int"), F.col("mid_le").cast("int"),
-                                 F.col("y").cast("float")))
+    model = als.fit(rest.where(~F.col("held")).select("uid_le", "mid_le", "r"))
+
+    def table(codes, bias, key, factors):
+        f = factors.select(F.col("id").alias("code"), F.col("features").alias("emb"))
+        return stage(codes.select("label", F.col("code").cast("int"))
+                     .join(bias.select(F.col(key).cast("int").alias("code"), "bias", "n"), "code", "left")
+                     .join(f, "code", "left")
+                     .select("label", F.col("code").cast("bigint").alias("code"),
+                             F.coalesce("bias", F.lit(0.0)).alias("bias"), "n", "emb"), f"model_{key}")
+
+    u = table(uid_codes, users, "uid_le", model.userFactors)
+    m = table(mid_codes, items, "mid_le", model.itemFactors)
+    pair = (rest.where("held").join(u.where(F.col("emb").isNotNull()).select(F.col("code").cast("int").alias("uid_le"), F.col("emb").alias("_uf")), "uid_le")
+            .join(m.where(F.col("emb").isNotNull()).select(F.col("code").cast("int").alias("mid_le"), F.col("emb").alias("_mf")), "mid_le")
+            .select("r", _dot(cfg.rank).alias("d")))
+    w = pair.agg(F.sum(F.col("r") * F.col("d")).alias("rd"), F.sum(F.col("d") * F.col("d")).alias("dd")).first()
+    shrink = min(max(w["rd"] / w["dd"], 0.0), 1.0) if w["dd"] else 0.0
+    model.userFactors.unpersist()
+    model.itemFactors.unpersist()
     params = {"rank": cfg.rank, "max_iter": cfg.max_iter, "reg_param": cfg.reg_param,
-              "seed": cfg.seed, "fit_part": part, "n_quantiles": quantiles.n}
-    return FactorModel(model, quantiles, uid_codes, mid_codes, params)
+              "seed": cfg.seed, "fit_part": part, "n_quantiles": quantiles.n, "mean": mean, "shrink": shrink}
+    return FactorModel(u, m, mean, shrink, quantiles, params)
 
 
-def predict(model: FactorModel, pairs: DataFrame, uid_col: str = "uid", mid_col: str = "mid",
-            out: str = "pred", on_unknown: str = "error") -> DataFrame:
-    """Score ``(uid key, mid key)`` rows; one output row per input row.
-
-    ``on_unknown``: ``"error"`` raises ValueError if any key is not in the
-    model (checked by an anti join before scoring), ``"null"`` keeps the row
-    with a NULL prediction, ``"drop"`` removes it.
-    """
-    if on_unknown == "error":
-        FT.check_known(pairs, {uid_col: model.uid_codes, mid_col: model.mid_codes})
-    how = "left" if on_unknown in ("null", "error") else "inner"
-    u = model.uid_codes.select(F.col("label").alias(uid_col), F.col("code").cast("int").alias("_u"))
-    m = model.mid_codes.select(F.col("label").alias(mid_col), F.col("code").cast("int").alias("_m"))
-    coded = pairs.join(u, uid_col, how).join(m, mid_col, how)
-    uf = model.als.userFactors.select(F.col("id").alias("_u"), F.col("features").alias("_uf"))
-    itf = model.als.itemFactors.select(F.col("id").alias("_m"), F.col("features").alias("_mf"))
-    scored = coded.join(uf, "_u", "left").join(itf, "_m", "left")
-    # The rank is fixed by the model, so the dot product is written out term
-    # by term (left to right from 0.0): plain arithmetic stays inside
-    # whole-stage codegen, where aggregate/zip_with would be interpreted.
+def _dot(rank: int):
+    """The dot product term by term (left to right from 0.0): plain arithmetic stays inside
+    whole-stage codegen, where aggregate/zip_with would be interpreted."""
     dot = F.lit(0.0)
-    for i in range(model.als.rank):
+    for i in range(rank):
         dot = dot + F.col("_uf")[i].cast("double") * F.col("_mf")[i].cast("double")
-    z = scored.withColumn("_z", dot)
-    back = FT.inverse(z, "_z", model.quantiles, out)
-    return back.drop("_u", "_m", "_uf", "_mf", "_z")
+    return dot
+
+
+def keyed(model: FactorModel, pairs: DataFrame, uid_col: str, mid_col: str, on_unknown: str) -> DataFrame:
+    """``pairs`` with ``_ub, _mb`` (biases), ``_uf, _mf`` (factors or NULL), ``_known`` and
+    ``_cold`` (a key without training rows): one join per side on the label.
+
+    ``on_unknown``: ``"error"`` raises ValueError if a key is NULL or not in the model,
+    ``"null"`` keeps the row with ``_known`` false, ``"drop"`` removes it.  Rows with a NULL
+    key go around the joins."""
+    if on_unknown not in ("error", "null", "drop"):
+        raise ValueError("on_unknown must be error, null or drop")
+    if on_unknown == "error":
+        FT.check_known(pairs, {uid_col: model.users, mid_col: model.items})
+    how = "left" if on_unknown == "null" else "inner"
+    whole = F.col(uid_col).isNotNull() & F.col(mid_col).isNotNull()
+
+    def side(table, col, a, b, n, k):
+        return table.select(F.col("label").alias(col), F.col("bias").alias(a), F.col("emb").alias(b), F.col("n").alias(n), F.lit(True).alias(k))
+
+    out = (pairs.where(whole).join(side(model.users, uid_col, "_ub", "_uf", "_un", "_uk"), uid_col, how)
+           .join(side(model.items, mid_col, "_mb", "_mf", "_mn", "_mk"), mid_col, how))
+    known = F.col("_uk").isNotNull() & F.col("_mk").isNotNull()
+    out = out.select(*pairs.columns, "_ub", "_mb", "_uf", "_mf", known.alias("_known"),
+                     (F.col("_un").isNull() | F.col("_mn").isNull()).alias("_cold"))
+    if on_unknown == "null":
+        none = pairs.where(~whole).select("*", *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("_ub", "_mb", "_uf", "_mf")],
+                                          F.lit(False).alias("_known"), F.lit(True).alias("_cold"))
+        out = out.unionByName(none)
+    return out
+
+
+def base_value(model: FactorModel):
+    """Mean and biases; NULL where a key is unknown."""
+    return F.when(F.col("_known"), F.lit(model.mean) + F.col("_ub") + F.col("_mb"))
+
+
+def predict(model: FactorModel, pairs: DataFrame, uid_col: str = "uid", mid_col: str = "mid",
+            out: str = "pred", on_unknown: str = "error", cold: str | None = None) -> DataFrame:
+    """Score ``(uid key, mid key)`` rows; one output row per input row (``on_unknown`` as in
+    ``keyed``).  ``cold`` names a column that tells the pairs with a key without training rows."""
+    j = keyed(model, pairs, uid_col, mid_col, on_unknown)
+    z = base_value(model) + F.lit(model.shrink) * F.coalesce(_dot(model.params["rank"]), F.lit(0.0))
+    back = FT.inverse(j.withColumn("_z", z), "_z", model.quantiles, out)
+    return back.select(*pairs.columns, out, *([F.col("_cold").alias(cold)] if cold else []))
+
+
+def summary(pred: DataFrame, col: str = "pred", cold: str = "cold") -> DataFrame:
+    """``(n_rows, n_null, n_cold)`` of predictions."""
+    return pred.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(col).isNull()).alias("n_null"),
+                    F.count_if(F.col(cold)).alias("n_cold"))
 
 
 def save(model: FactorModel, path: str, run_log: str | None = None) -> str:
-    """Directory of parts: ALS factors, code tables, quantile table, params.
+    """Directory of parts: user and item tables, quantile table, params.
     With ``run_log``, one row ``(path, trained_at, params)`` is appended to
     that table, so the newest artifact is a query (``latest``)."""
-    model.als.write().overwrite().save(f"{path}/als")
-    model.uid_codes.write.mode("overwrite").parquet(f"{path}/uid_codes")
-    model.mid_codes.write.mode("overwrite").parquet(f"{path}/mid_codes")
-    spark = model.uid_codes.sparkSession
+    spark = model.users.sparkSession
+    model.users.write.mode("overwrite").parquet(f"{path}/users")
+    model.items.write.mode("overwrite").parquet(f"{path}/items")
     model.quantiles.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/quantiles")
     spark.createDataFrame([(json.dumps(model.params),)], "params string") \
         .coalesce(1).write.mode("overwrite").json(f"{path}/params")
@@ -110,19 +202,14 @@ def save(model: FactorModel, path: str, run_log: str | None = None) -> str:
 
 
 def load(spark: SparkSession, path: str) -> FactorModel:
-    als = ALSModel.load(f"{path}/als")
     q = spark.read.parquet(f"{path}/quantiles").orderBy("k").collect()  # <= 1,000 rows
     qm = FT.QuantileModel(tuple(r["reference"] for r in q), tuple(r["quantile"] for r in q))
     params = json.loads(spark.read.json(f"{path}/params").first()["params"])
-    return FactorModel(als, qm, spark.read.parquet(f"{path}/uid_codes"),
-                       spark.read.parquet(f"{path}/mid_codes"), params)
+    return FactorModel(spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items"),
+                       params["mean"], params["shrink"], qm, params)
 
 
 def latest(paths_with_time: DataFrame) -> DataFrame:
-    """Newest artifact of a run log ``(path, trained_at)``."""
-    return paths_with_time.agg(F.max_by("path", "trained_at").alias("path"),
+    """Newest artifact of a run log ``(path, trained_at)``; of equal times the last path."""
+    return paths_with_time.agg(F.max_by("path", F.struct("trained_at", "path")).alias("path"),
                                F.max("trained_at").alias("trained_at"))
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(path)

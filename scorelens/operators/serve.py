@@ -31,10 +31,37 @@ def request_grid(requests: DataFrame, uid_col: str, mid_col: str, model_year: in
                           "speed_label": speed_label("speed")})
 
 
-def known_pairs(grid: DataFrame, uid_labels: DataFrame, mid_labels: DataFrame) -> DataFrame:
-    """Grid rows whose user key and item key are both known (semi joins)."""
-    return (grid.join(uid_labels.select(F.col("label").alias("uid_key")), "uid_key", "left_semi")
-            .join(mid_labels.select(F.col("label").alias("mid_key")), "mid_key", "left_semi"))
+def user_years(uid_labels: DataFrame, model_year: int, years_search: int = YEARS_SEARCH) -> DataFrame:
+    """``(user_id, years)``: the years of the window that each known user key has (at most
+    ``years_search + 1``)."""
+    year = F.split_part("label", F.lit("/"), F.lit(2)).cast("int")
+    return (uid_labels.select(F.split_part("label", F.lit("/"), F.lit(1)).cast("bigint").alias("user_id"), year.alias("year"))
+            .where(F.col("year").between(model_year - years_search, model_year))
+            .groupBy("user_id").agg(F.sort_array(F.collect_set("year")).alias("years")))
+
+
+def item_speeds(mid_labels: DataFrame, *payload: str) -> DataFrame:
+    """``(beatmap_id, speeds)``: the speeds that each known item key has (at most three),
+    as ``(speed, *payload)``."""
+    speed = F.split_part("label", F.lit("/"), F.lit(2)).cast("int")
+    return (mid_labels.select(F.split_part("label", F.lit("/"), F.lit(1)).cast("bigint").alias("beatmap_id"),
+                              F.struct(speed.alias("speed"), *payload).alias("s"))
+            .where(F.col("s.speed").isin(*SPEEDS)).groupBy("beatmap_id").agg(F.sort_array(F.collect_set("s")).alias("speeds")))
+
+
+def known_pairs(requests: DataFrame, years: DataFrame, speeds: DataFrame, uid_col: str = "user_id",
+                mid_col: str = "beatmap_id") -> DataFrame:
+    """Grid rows whose user key and item key are both known: each request is joined once to
+    its user's years and its item's speeds, so only known combinations are ever made.  Works
+    on a stream of requests too."""
+    y = years.select(F.col("user_id").alias(uid_col), "years")
+    s = speeds.select(F.col("beatmap_id").alias(mid_col), "speeds")
+    g = requests.join(y, uid_col).join(s, mid_col)
+    g = g.select(*requests.columns, "years", F.explode("speeds").alias("_s")).select(
+        *requests.columns, "_s.*", F.explode("years").alias("year"))
+    return g.withColumns({"uid_key": composite_key(uid_col, "year"),
+                          "mid_key": composite_key(mid_col, "speed"),
+                          "speed_label": speed_label("speed")})
 
 
 def truthy(df: DataFrame, pred: str = "pred") -> DataFrame:
@@ -63,18 +90,25 @@ def speed_comparison(latest: DataFrame, group: list[str], pred: str = "pred") ->
 
 def resolve_user(requests: DataFrame, text_col: str, users: DataFrame,
                  id_col: str = "user_id", name_col: str = "username") -> DataFrame:
-    """Digits resolve by id, anything else by name; unresolved stay NULL."""
-    is_id = F.col(text_col).rlike("^[0-9]+$")
-    r = requests.withColumn("_id", F.when(is_id, F.col(text_col).cast("bigint")))
-    by_id = users.select(F.col(id_col).alias("_id"), F.col(name_col).alias("_name_by_id"))
-    by_name = users.select(F.col(name_col).alias("_name"), F.col(id_col).alias("_id_by_name"))
-    r = (r.join(by_id, "_id", "left")
-         .withColumn("_name", F.when(~is_id, F.col(text_col)))
-         .join(by_name, "_name", "left"))
-    return (r.withColumn("uid", F.coalesce(F.col("_id_by_name"), F.col("_id").cast("bigint")))
-            .withColumn("username", F.coalesce(F.col("_name_by_id"),
-                                               F.when(F.col("_id_by_name").isNotNull(), F.col("_name"))))
-            .drop("_id", "_name", "_name_by_id", "_id_by_name"))
+    """Digits resolve by id, anything else by name; unresolved stay NULL, numbers beyond
+    the id range too.  Of users with one name (or id) the smallest id (name) counts, so a
+    request stays one row.  Each request is joined by the key it has, and requests without
+    one are not joined at all: no NULL key gathers rows."""
+    text = F.col(text_col)
+    is_id = text.rlike("^[0-9]+$")
+    own = requests.columns
+    by_id = (users.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("_id"))
+             .agg(F.min(name_col).alias("username")))
+    by_name = (users.where(F.col(name_col).isNotNull()).groupBy(F.col(name_col).alias("_name"))
+               .agg(F.min(F.col(id_col).cast("bigint")).alias("uid")))
+    number = F.expr(f"try_cast(`{text_col}` AS bigint)")
+    ids = (requests.where(is_id & number.isNotNull()).withColumn("_id", number).join(by_id, "_id", "left")
+           .select(*own, F.col("_id").alias("uid"), "username"))
+    names = (requests.where(~is_id).withColumn("_name", text).join(by_name, "_name", "left")
+             .select(*own, "uid", F.when(F.col("uid").isNotNull(), F.col("_name")).alias("username")))
+    rest = requests.where(text.isNull() | (is_id & number.isNull())).select(
+        *own, F.lit(None).cast("bigint").alias("uid"), F.lit(None).cast("string").alias("username"))
+    return ids.unionByName(names).unionByName(rest)
 
 
 def unplayed_counts(export: DataFrame, uid: str = "uid", mid: str = "mid") -> DataFrame:
@@ -86,5 +120,5 @@ def unplayed_counts(export: DataFrame, uid: str = "uid", mid: str = "mid") -> Da
 
 
 def random_label(labels: DataFrame, seed: int) -> DataFrame:
-    """One label picked by a seeded hash order (reproducible)."""
-    return labels.orderBy(F.xxhash64(F.lit(seed), "label"), "label").limit(1)
+    """One label picked by a seeded hash order (reproducible, also by other engines)."""
+    return labels.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "label")), "label").limit(1)

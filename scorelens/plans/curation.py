@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CurationConfig
+from ..config import CurationConfig, config_key
 from ..operators import curate as C
 from ..operators.metric import DEFAULT_ROWS_PER_BUCKET, item_metric
 from ..sources.sinks import stage
@@ -38,8 +38,8 @@ def curation_stages(scores: DataFrame, items: DataFrame, steps: DataFrame,
     scored = stage(C.item_scores(prepared, eligible), "item_scores", stage_mode)
     act_items = C.active_items(scored, cfg)
     act_users = C.active_users(scored, cfg)
-    metric = item_metric(act_items, steps, "mid", rows_per_bucket)
-    low_var = C.low_variance_items(act_items, metric, cfg)
+    metric = item_metric(act_items, steps, "mid", rows_per_bucket, stage_mode)
+    low_var = stage(C.low_variance_items(act_items, metric, cfg), "low_variance", stage_mode)
     curated = C.curated_scores(scored, low_var, act_users, cfg)
     # The export feeds every later job (fit, split, evaluation), which read it
     # several times each: it is written once, like the reference's dataset file.
@@ -55,17 +55,20 @@ def curate(scores: DataFrame, items: DataFrame, steps: DataFrame, cfg: CurationC
     return curation_stages(scores, items, steps, cfg, stage_mode).export
 
 
-def funnel(st: CurationStages, scores: DataFrame) -> DataFrame:
-    """Row count after each stage, one row per stage (A14)."""
-    parts = [("0_scores", scores), ("1_accuracy_in_range", st.prepared),
-             ("2_eligible_items", st.eligible), ("3_item_scores", st.scored),
+def funnel(st: CurationStages, scores: DataFrame, cfg: CurationConfig) -> DataFrame:
+    """Row count after each stage, one row per stage (A14).  All scores and those in range
+    come from one pass over the score log."""
+    head = C.derived_columns(scores).select(F.stack(F.lit(2), *[x for name, c in (
+        ("0_scores", F.lit(1)),
+        ("1_accuracy_in_range", F.when(F.col("accuracy_320").between(cfg.acc_min, cfg.acc_max), 1))) for x in (F.lit(name), c)])
+        .alias("stage", "hit")).groupBy("stage").agg(F.count("hit").alias("n_rows"))
+    parts = [("2_eligible_items", st.eligible), ("3_item_scores", st.scored),
              ("4_active_items", st.active_items), ("5_active_users", st.active_users),
              ("6_low_variance_items", st.low_variance), ("7_curated", st.curated)]
-    out = None
+    names = head.sparkSession.createDataFrame([("0_scores",), ("1_accuracy_in_range",)], "stage string")
+    out = names.join(F.broadcast(head), "stage", "left").select("stage", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))
     for name, df in parts:
-        c = df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select(
-            F.lit(name).alias("stage"), "n_rows")
-        out = c if out is None else out.unionByName(c)
+        out = out.unionByName(df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows"))
     return out
 
 
@@ -75,32 +78,58 @@ _DEFINING = ("operators/curate.py", "operators/metric.py", "plans/curation.py",
              "sources/fixture.py", "functions/scores.py", "functions/curves.py", "config.py")
 
 
-def dataset_name(source: str, cfg: CurationConfig) -> str:
-    """``<source tag>_<md5(params)[:8]>_<md5(code)[:8]>``: the dataset is named
-    after its configuration, with ``|`` between parameters (no collisions such
-    as (2, 15) vs (21, 5))."""
+def code_hash() -> str:
+    """md5 of the modules that define the curated dataset."""
     import hashlib
     import os
-    import re
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = hashlib.md5()
     for rel in _DEFINING:
         with open(os.path.join(root, rel), "rb") as fh:
             code.update(fh.read())
-    params = "|".join(str(v) for v in [*cfg.params(), cfg.user_key, cfg.playmode, cfg.key_counts])
-    tag = re.sub(r"[^A-Za-z0-9.]+", "-", source.strip("/"))[-60:]
-    return (f"{tag}_{hashlib.md5(params.encode()).hexdigest()[:8]}_"
-            f"{code.hexdigest()[:8]}")
+    return code.hexdigest()
+
+
+# Tables that the curated dataset is made of.
+INPUT_TABLES = ("lineitem", "orders", "part")
+
+
+def input_fingerprint(spark, sf_dir: str, tables=INPUT_TABLES) -> str:
+    """Hash of the inputs' files (path, length, modification time), summed in Spark: a
+    changed, added or removed file gives another name.  No column is read."""
+    from ..sources.tables import read_table
+
+    rows = None
+    for t in tables:
+        m = read_table(spark, sf_dir, t).select(
+            F.lit(t).alias("t"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"),
+            F.col("_metadata.file_modification_time").alias("m")).distinct()
+        rows = m if rows is None else rows.unionByName(m)
+    found = rows.agg(F.count(F.lit(1)).alias("n"),
+                     F.sum(F.xxhash64("t", "p", "n", "m").cast("decimal(38,0)")).alias("h")).first()
+    return f"{found['n']}:{found['h'] or 0}"
+
+
+def dataset_name(source: str, cfg: CurationConfig, inputs: str = "", code: str | None = None) -> str:
+    """Name of the curated dataset: a readable tag of the source, then 8 hex digits each of
+    the md5 of the whole source path and the inputs' fingerprint, of the parameters and of
+    the code (see ``config.config_key``)."""
+    return config_key(source, [*cfg.params(), cfg.user_key, cfg.playmode, cfg.key_counts],
+                      code_hash() if code is None else code, inputs)
+
+
+def curated_name(spark, sf_dir: str, cfg: CurationConfig) -> str:
+    return dataset_name(sf_dir, cfg, input_fingerprint(spark, sf_dir))
 
 
 def curated_dataset(spark, source: str, build, cfg: CurationConfig,
                     refresh: bool = False) -> DataFrame:
-    """The curated export for ``source``: reused when a completed copy with
-    the same name exists under the shared folder (``refresh`` recomputes it
-    anyway), else built and published."""
+    """The curated export for ``source``: reused when a copy with the same name is
+    published under the shared folder (``refresh`` recomputes and replaces it, and leaves
+    the copy before it for its readers), else built and published."""
     from ..session import shared_path
     from ..sources.sinks import publish
 
-    path = shared_path(spark, "datasets", dataset_name(source, cfg), unique=False)
-    return publish(spark, build, path, refresh)
+    path = shared_path(spark, "datasets", curated_name(spark, source, cfg), unique=False)
+    return publish(spark, build, path, refresh, keep_previous=1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FIXTURE_CURATION, CurationConfig, config_key_columns
+from ..config import FIXTURE_CURATION, CurationConfig
 from ..functions import fixed, fixed_sql, speed_deviation, weighted_accuracy
 from ..functions.curves import speed_deviation_sql
 from ..functions.scores import WEIGHT_DENOMINATOR_GAME, WEIGHTS_GAME
@@ -13,7 +13,7 @@ from ..operators import curate as C
 from ..operators.metric import scroll_variance
 from ..sources import fixture
 from ..sources.tables import read_table
-from .curation import curated_dataset, curation_stages, funnel
+from .curation import code_hash, curated_dataset, curation_stages, dataset_name, funnel
 from .curation_sql import accuracy_sql, svness_ctes, with_curation
 from .registry import register
 
@@ -178,7 +178,7 @@ def q_curate_dataset(spark, sf_dir):
     "SELECT '7_curated', count(*) FROM curated"))
 def q_curation_funnel(spark, sf_dir):
     st = stages(spark, sf_dir, export_stage_mode="none")
-    return funnel(st, fixture.scores(spark, sf_dir))
+    return funnel(st, fixture.scores(spark, sf_dir), CFG)
 
 
 # ---------------------------------------------------------------- checks
@@ -225,20 +225,15 @@ def q_dataset_summary(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- naming
-_QUERY_TEXT = "curation:v1"
-
-
 @register("config_key", (
-    "SELECT 'fixture' AS source, concat_ws('_', 'fixture', substr(md5(concat_ws('|', "
-    + ", ".join(f"'{v}'" for v in CFG.params())
-    + f")), 1, 8), substr(md5('{_QUERY_TEXT}'), 1, 8)) AS dataset_name, count(*) AS n_rows "
+    "SELECT 'fixture' AS source, concat_ws('_', 'fixture', substr(md5('fixture|'), 1, 8), "
+    "substr(md5(concat_ws('|', "
+    + ", ".join(f"'{v}'" for v in CFG.params()) + f", '{CFG.user_key}', '{CFG.playmode}', '{CFG.key_counts}'"
+    + f")), 1, 8), substr(md5('{code_hash()}'), 1, 8)) AS dataset_name, count(*) AS n_rows "
     "FROM lineitem"))
 def q_config_key(spark, sf_dir):
-    """Dataset name for the fixture configuration: source + 8 hex of md5 of
-    the '|'-joined parameters + 8 hex of md5 of the query version text; one
-    row, with the row count of the source it names."""
+    """The name that the jobs give the curated dataset of a source called ``fixture``,
+    without its inputs' fingerprint (file times differ); one row, with the rows of its
+    largest table."""
     li = read_table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"))
-    params = [F.lit(str(v)) for v in CFG.params()]
-    return li.select(F.lit("fixture").alias("source"),
-                     config_key_columns(F.lit("fixture"), params, F.lit(_QUERY_TEXT))
-                     .alias("dataset_name"), "n_rows")
+    return li.select(F.lit("fixture").alias("source"), F.lit(dataset_name("fixture", CFG)).alias("dataset_name"), "n_rows")

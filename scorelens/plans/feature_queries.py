@@ -131,12 +131,31 @@ def q_split_sizes(spark, sf_dir):
     return s.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("exact_split")
+def split_ctes(src: str = "export", seed: int = 373) -> str:
+    """``split``: rows of ``src`` with their part, as ``features.exact_split``."""
+    return f""",
+sh AS (SELECT *, row_number() OVER (ORDER BY CAST('0x' || substr(md5(concat_ws('|', '{seed}', mid, uid)), 1, 15) AS BIGINT),
+              mid, uid, accuracy) - 1 AS i, count(*) OVER () AS c FROM {src}),
+split AS (SELECT * EXCLUDE (i, c), CASE WHEN i < floor(CAST(c AS DOUBLE) * {dlit(0.8)}) THEN 'train'
+          WHEN i < floor(CAST(c AS DOUBLE) * {dlit(0.8)}) + floor(CAST(c AS DOUBLE) * {dlit(0.1)}) THEN 'test'
+          ELSE 'val' END AS part FROM sh)"""
+
+
+def codes_ctes() -> str:
+    return "".join(f""",
+{x}_codes AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS code
+              FROM (SELECT DISTINCT {x} AS label FROM export))""" for x in ("uid", "mid"))
+
+
+@register("exact_split", with_curation(split_ctes() + "\nSELECT mid, uid, accuracy, part FROM split"))
 def q_exact_split(spark, sf_dir):
     """Every curated row with its part (seeded, exact sizes)."""
     return FT.exact_split(_export(spark, sf_dir), (0.8, 0.1, 0.1), 373)
 
 
-@register("training_table")
+@register("training_table", _qsql("").rstrip() + split_ctes("xz") + codes_ctes() + f"""
+SELECT s.mid, s.uid, s.accuracy, {fixed_sql('s.y')} AS y, u.code AS uid_le, m.code AS mid_le, s.part
+FROM split s JOIN uid_codes u ON u.label = s.uid JOIN mid_codes m ON m.label = s.mid""")
 def q_training_table(spark, sf_dir):
-    return training_table(_export(spark, sf_dir), TrainConfig()).rows
+    rows = training_table(_export(spark, sf_dir), TrainConfig()).rows
+    return rows.withColumn("y", fixed(F.col("y")))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..config import TrainConfig
 from ..operators import evaluate as EV
 from ..operators import features as FT
+from ..operators import head as HD
 from ..operators import model as MD
-from ..sources.sinks import stage
-from .training import TrainingTable
+from .training import TrainingTable, training_table
 
 
 @dataclass
@@ -22,82 +22,64 @@ class Trained:
 
 
 def train(export: DataFrame, cfg: TrainConfig = TrainConfig(), stage_mode: str = "table") -> Trained:
-    """Split, fit the transform and encoders, stage the coded training rows
-    once (ALS iterates over them), fit the factor model on the train part."""
-    split = stage(FT.exact_split(export, cfg.split, cfg.seed), "split", stage_mode)
-    fit_rows = split if cfg.fit_on == "all" else split.where(F.col("part") == "train")
-    qm = FT.fit_quantiles(fit_rows, "accuracy", cfg.n_quantiles)
-    codes = stage(_both_codes(fit_rows), "codes", stage_mode)
-    uid_codes = codes.where(F.col("kind") == "uid").select("label", "code")
-    mid_codes = codes.where(F.col("kind") == "mid").select("label", "code")
-    rows = FT.normalize(split, "accuracy", qm, "y")
-    # left: with fit_on="train" a val/test key unseen in training keeps a NULL
-    # code (a cold-start row) instead of vanishing
-    rows = FT.encode(rows, "uid", uid_codes, "uid_le", "left")
-    rows = FT.encode(rows, "mid", mid_codes, "mid_le", "left")
-    rows = stage(rows.select("mid", "uid", "accuracy", "y", "uid_le", "mid_le", "part"),
-                 "training_rows", stage_mode)
-    tt = TrainingTable(rows, qm, uid_codes, mid_codes)
-    return Trained(tt, MD.fit(rows, qm, uid_codes, mid_codes, cfg, part="train"))
-
-
-def _both_codes(rows: DataFrame) -> DataFrame:
-    """``(kind, label, code)`` for user and item keys from one ranking pass."""
-    c = FT.label_codes_many(rows, ["uid", "mid"])
-    return (c["uid"].select(F.lit("uid").alias("kind"), "label", "code")
-            .unionByName(c["mid"].select(F.lit("mid").alias("kind"), "label", "code")))
-
-
-def holdout_predictions(tr: Trained, part: str = "val") -> DataFrame:
+    """Split, transform, codes and training rows, then the factor model on the train part."""
+    tt = training_table(export, cfg, stage_mode)
+    return Trained(tt, MD.fit(tt.rows, tt.quantiles, tt.uid_codes, tt.mid_codes, cfg, part="train"))
+
+
+def holdout_predictions(tr: Trained, part: str = "val", cold: str | None = None) -> DataFrame:
     """Predictions for one part of the split with the truth on both scales."""
     rows = tr.table.rows.where(F.col("part") == part).select("mid", "uid", "accuracy")
-    pred = MD.predict(tr.model, rows, on_unknown="null")
-    return pred.select("mid", "uid", F.col("accuracy").cast("double").alias("y"), "pred")
+    pred = MD.predict(tr.model, rows, on_unknown="null", cold=cold)
+    return pred.select("mid", "uid", F.col("accuracy").cast("double").alias("y"), "pred", *([cold] if cold else []))
 
 
 def evaluation_report(pred: DataFrame) -> DataFrame:
-    """Metrics and error bins as one long table ``(section, key, value)``."""
-    m = EV.regression_metrics(pred.where(F.col("pred").isNotNull()), "y", "pred")
-    metrics = m.select(F.lit("metrics").alias("section"), F.explode(F.create_map(
-        *[x for c in ("n", "mae", "rmse", "r2", "r2_swapped")
-          for x in (F.lit(c), F.col(c).cast("double"))])).alias("key", "value"))
-    bins = EV.error_by_bin(pred.where(F.col("pred").isNotNull()), "y", "pred")
-    bins = bins.select(F.lit("mae_by_bin").alias("section"), F.col("bound").alias("key"),
-                       F.col("mae").alias("value"))
-    return metrics.unionByName(bins)
-
-
-def with_factors(tr: Trained, rows: DataFrame, how: str = "left") -> DataFrame:
-    """Attach the user and item factors (arrays) to coded rows: two joins on
-    the codes (``left``: a key without a factor keeps NULL); AQE broadcasts a
-    factor table only after measuring it."""
-    uf = tr.model.user_factors.select(F.col("code").alias("uid_le"), F.col("emb").alias("eu"))
-    itf = tr.model.item_factors.select(F.col("code").alias("mid_le"), F.col("emb").alias("em"))
-    return rows.join(uf, "uid_le", how).join(itf, "mid_le", how)
+    """Metrics, errors and counts by truth bin, and 25-bin histograms of truth and prediction
+    as one long table ``(section, key, value)``; rows without a prediction are counted."""
+    def long(df, section, key, cols):
+        return df.select(F.lit(section).alias("section"), F.explode(F.array(*[
+            F.struct(key(c).alias("key"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x")).select("section", "x.*")
+
+    out = long(EV.regression_metrics(pred, "y", "pred"), "metrics", F.lit, ("n", "mae", "rmse", "r2", "r2_swapped"))
+    out = out.unionByName(long(pred.agg(F.count_if(F.col("pred").isNull()).alias("n_without_prediction")), "metrics", F.lit, ("n_without_prediction",)))
+    bins = EV.error_by_bin(pred, "y", "pred")
+    for c in ("mae", "rmse", "n"):
+        out = out.unionByName(long(bins, f"{c}_by_bin", lambda _: F.col("bound"), (c,)))
+    both = pred.select(F.explode(F.array(
+        F.struct(F.lit("histogram_truth").alias("series"), F.col("y").alias("x")),
+        F.struct(F.lit("histogram_pred").alias("series"), F.col("pred").alias("x")))).alias("s")).select("s.*")
+    hist = EV.histograms(both, ["histogram_truth", "histogram_pred"], 25)
+    return out.unionByName(hist.select(F.col("series").alias("section"), F.col("bin").cast("string").alias("key"),
+                                       F.col("count").cast("double").alias("value")))
+
+
+def _head_rows(tr: Trained, pairs: DataFrame, uid_col: str, mid_col: str, on_unknown: str) -> DataFrame:
+    """``pairs`` with both factor arrays (zeros for a known key without factors) and ``_base``."""
+    j = MD.keyed(tr.model, pairs, uid_col, mid_col, on_unknown)
+    zero = F.array_repeat(F.lit(0.0).cast("float"), tr.model.params["rank"])
+    return j.select(*pairs.columns, MD.base_value(tr.model).alias("_base"), "_cold",
+                    F.when(F.col("_known"), F.coalesce("_uf", zero)).alias("eu"), F.when(F.col("_known"), F.coalesce("_mf", zero)).alias("em"))
 
 
 def train_two_branch(tr: Trained, cfg=None):
-    """Fit the two-branch head (``operators.head``) on the ALS factors."""
-    from ..operators import head as HD
-    rows = with_factors(tr, tr.table.rows.select("uid_le", "mid_le", "y", "part", "accuracy"), "inner")
+    """Fit the two-branch head (``operators.head``) on what the biases leave.  Its training
+    rows are the slice that the factors were not fitted on, so it sees factors as they are
+    for new pairs."""
+    rows = tr.table.rows.where(F.col("part").isin("train", "val")).select("uid", "mid", "y", "part", "accuracy")
+    rows = rows.where((F.col("part") == "val") | MD.held_out(tr.model.params["seed"]))
+    rows = _head_rows(tr, rows, "uid", "mid", "drop").withColumn("y", F.col("y") - F.col("_base"))
     return HD.train_head(rows, cfg or HD.HeadConfig(), quantiles=tr.table.quantiles)
 
 
 def predict_head(tr: Trained, head, pairs: DataFrame, uid_col: str = "uid", mid_col: str = "mid",
-                 out: str = "pred", on_unknown: str = "error") -> DataFrame:
-    """Score ``(uid key, mid key)`` rows with the two-branch head: codes, then
-    factors (left joins), forward pass, inverse transform.  ``on_unknown`` as
-    in ``operators.model.predict``."""
-    from ..operators import head as HD
-    if on_unknown == "error":
-        FT.check_known(pairs, {uid_col: tr.table.uid_codes, mid_col: tr.table.mid_codes})
-    how = "inner" if on_unknown == "drop" else "left"
-    u = tr.table.uid_codes.select(F.col("label").alias(uid_col), F.col("code").alias("uid_le"))
-    m = tr.table.mid_codes.select(F.col("label").alias(mid_col), F.col("code").alias("mid_le"))
-    coded = pairs.join(u, uid_col, how).join(m, mid_col, how)
-    z = HD.forward(with_factors(tr, coded), head, "_z")
+                 out: str = "pred", on_unknown: str = "error", cold: str | None = None) -> DataFrame:
+    """Score ``(uid key, mid key)`` rows with the two-branch head: keys, forward pass, inverse
+    transform.  ``on_unknown`` as in ``operators.model.predict``."""
+    rows = _head_rows(tr, pairs, uid_col, mid_col, on_unknown)
+    z = HD.forward(rows, head, "_z").withColumn("_z", F.col("_base") + F.col("_z"))
     back = FT.inverse(z, "_z", tr.model.quantiles, out)
-    return back.drop("uid_le", "mid_le", "eu", "em", "_z")
+    return back.select(*pairs.columns, out, *([F.col("_cold").alias(cold)] if cold else []))
 
 
 def head_predictions(tr: Trained, head, part: str = "val") -> DataFrame:

@@ -66,12 +66,16 @@ def _grid(spark, sf_dir):
     return g.withColumn("year", F.col("year").cast("int")).withColumn("speed", F.col("speed").cast("int"))
 
 
-def _scored(spark, sf_dir):
+def serving_tables(spark, sf_dir):
+    """``(years, speeds)`` of the known keys; each speed carries its key's mean accuracy."""
     export = curated_export(spark, sf_dir)
-    uids, mids = _labels(export)
-    known = SV.known_pairs(_grid(spark, sf_dir), uids, mids)
-    means = export.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred"))
-    return SV.truthy(known.join(means.withColumnRenamed("mid", "mid_key"), "mid_key"))
+    uids, _ = _labels(export)
+    means = export.groupBy(F.col("mid").alias("label")).agg(F.avg(F.col("accuracy").cast("double")).alias("pred"))
+    return SV.user_years(uids, MODEL_YEAR), SV.item_speeds(means, "pred")
+
+
+def _scored(spark, sf_dir):
+    return SV.truthy(SV.known_pairs(requests(spark, sf_dir), *serving_tables(spark, sf_dir)))
 
 
 _GRID_COLS = "event_id, user_id, beatmap_id, event_type, speed, year, uid_key, mid_key, speed_label"
@@ -84,9 +88,7 @@ def q_request_grid(spark, sf_dir):
 
 @register("known_pairs", _with_grid(f"SELECT {_GRID_COLS} FROM known"))
 def q_known_pairs(spark, sf_dir):
-    export = curated_export(spark, sf_dir)
-    uids, mids = _labels(export)
-    return SV.known_pairs(_grid(spark, sf_dir), uids, mids)
+    return SV.known_pairs(requests(spark, sf_dir), *serving_tables(spark, sf_dir)).drop("pred")
 
 
 @register("latest_year", _with_grid(
@@ -185,18 +187,54 @@ def q_resolve_user(spark, sf_dir):
     return SV.resolve_user(req, "user_text", users)
 
 
-@register("random_label")
+@register("random_label", with_curation("SELECT label FROM (SELECT DISTINCT uid AS label FROM export) "
+                                        "ORDER BY md5('42|' || label), label LIMIT 1"))
 def q_random_label(spark, sf_dir):
     uids, _ = _labels(curated_export(spark, sf_dir))
     return SV.random_label(uids, 42)
 
 
+def prediction_grid(tr, requests_with_text, users):
+    """C5: resolve the users (J10), make the known (year, speed) pairs of each request, score
+    them, keep real predictions of the latest year and compare the speeds; one row per request
+    that has any, with the number of predictions made for it (A15)."""
+    req = SV.resolve_user(requests_with_text, "user_text", users).withColumnRenamed("uid", "user_id")
+    known = SV.known_pairs(req.where(F.col("user_id").isNotNull()), SV.user_years(tr.model.users, MODEL_YEAR),
+                           SV.item_speeds(tr.model.items))
+    scored = SV.truthy(MD.predict(tr.model, known, "uid_key", "mid_key", on_unknown="drop"))
+    key = ["event_id", "user_id", "username"]
+    made = scored.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_predictions"))
+    return SV.speed_comparison(SV.latest_year(scored, ["event_id"]), key).join(made, "event_id")
+
+
+def _requests_with_text(spark, sf_dir):
+    req = requests(spark, sf_dir)
+    return req.select("event_id", "beatmap_id", F.when(F.col("event_type") == "click", F.format_string("Customer#%09d", "user_id"))
+                      .otherwise(F.col("user_id").cast("string")).alias("user_text"))
+
+
+def _users(spark, sf_dir):
+    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
+
+
 @register("prediction_grid")
 def q_prediction_grid(spark, sf_dir):
-    """C5 with the factor model: grid -> known pairs -> scores -> truthy ->
-    latest year -> HT/NT/DT comparison, one row per request."""
-    tr = _trained(spark, sf_dir)
-    g = _grid(spark, sf_dir)
-    known = SV.known_pairs(g, tr.table.uid_codes, tr.table.mid_codes)
-    scored = SV.truthy(MD.predict(tr.model, known, "uid_key", "mid_key", on_unknown="drop"))
-    return SV.speed_comparison(SV.latest_year(scored, ["event_id"]), ["event_id"])
+    """C5 with the factor model (see ``prediction_grid``)."""
+    return prediction_grid(_trained(spark, sf_dir), _requests_with_text(spark, sf_dir), _users(spark, sf_dir))
+
+
+@register("prediction_grid_summary", "WITH " + curation_ctes() + f""",
+req AS (SELECT event_id, CAST(user_id AS BIGINT) AS user_id, event_type,
+               CAST(json_extract('[' || props || ']', '$[0].k') AS BIGINT) AS beatmap_id FROM events),
+res AS (SELECT req.* FROM req LEFT JOIN customer c ON c.c_custkey = req.user_id
+        WHERE event_type <> 'click' OR c.c_custkey IS NOT NULL),
+pairs AS (SELECT r.event_id, u.uid, m.mid FROM res r
+          JOIN (SELECT DISTINCT uid FROM export) u ON CAST(split_part(u.uid, '/', 1) AS BIGINT) = r.user_id
+           AND CAST(split_part(u.uid, '/', 2) AS INTEGER) BETWEEN {MODEL_YEAR - SV.YEARS_SEARCH} AND {MODEL_YEAR}
+          JOIN (SELECT DISTINCT mid FROM export) m ON CAST(split_part(m.mid, '/', 1) AS BIGINT) = r.beatmap_id)
+SELECT count(DISTINCT event_id) AS n_requests, count(*) AS n_predictions FROM pairs""")
+def q_prediction_grid_summary(spark, sf_dir):
+    """Requests with a prediction and predictions made by the prediction grid: every known pair
+    has one."""
+    g = prediction_grid(_trained(spark, sf_dir), _requests_with_text(spark, sf_dir), _users(spark, sf_dir))
+    return g.agg(F.count(F.lit(1)).alias("n_requests"), F.coalesce(F.sum("n_predictions"), F.lit(0)).cast("bigint").alias("n_predictions"))

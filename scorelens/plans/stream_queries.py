@@ -11,67 +11,64 @@ from ..functions.numeric import fixed_sql
 from ..operators.metric import scroll_variance
 from ..session import shared_path
 from ..sources import files, sinks
-from ..sources.tables import TABLES, read_table
+from ..sources.tables import TABLES, read_table, table_path
 from ..streaming import scoring as ST
+from .curation import curated_name
+from .curation_queries import CFG, stages
 from .curation_queries import export as curated_export
-from .curation_queries import stages
-from .curation_sql import curation_ctes, with_curation
+from .curation_sql import with_curation
 from .registry import register
+from .serving_queries import _with_grid, serving_tables
 
-_ITEM_MEAN_SQL = (",\nitem_mean AS (SELECT mid, avg(CAST(accuracy AS DOUBLE)) AS pred FROM export GROUP BY mid),"
-                  "\nreq AS (SELECT event_id, CAST(user_id AS BIGINT) AS user_id, event_type, "
-                  "CAST(json_extract('[' || props || ']', '$[0].k') AS BIGINT) AS beatmap_id FROM events),"
-                  "\nscored AS (SELECT r.*, CONCAT(CAST(r.beatmap_id AS VARCHAR), '/0') AS mid_key, m.pred "
-                  "FROM req r LEFT JOIN item_mean m ON m.mid = CONCAT(CAST(r.beatmap_id AS VARCHAR), '/0'))")
+def _job(spark, sf_dir, name: str) -> str:
+    """A job's name: one for each source path and version of the curated data (the request
+    table may grow; its files are not part of the name)."""
+    return f"{name}_{curated_name(spark, sf_dir, CFG)}"
 
 
-def _scored_stream(spark, sf_dir):
-    export = curated_export(spark, sf_dir)
-    means = sinks.stage(export.groupBy("mid").agg(F.avg(F.col("accuracy").cast("double")).alias("pred")),
-                        "item_mean")
-    schema = read_table(spark, sf_dir, "events").schema
-    req = ST.request_stream(spark, sf_dir, "events.parquet", schema)
-    return ST.score_requests(req, means)
+def _stream(spark, sf_dir):
+    return ST.request_stream(spark, table_path(sf_dir, "events"), read_table(spark, sf_dir, "events").schema)
 
 
-@register("stream_scoring", "WITH " + curation_ctes() + _ITEM_MEAN_SQL
-          + f"\nSELECT event_id, user_id, mid_key, {fixed_sql('pred')} AS pred FROM scored")
+def _static(spark, sf_dir):
+    return [sinks.stage(t, "serving") for t in serving_tables(spark, sf_dir)]
+
+
+@register("stream_scoring", _with_grid(
+    f"SELECT event_id, user_id, uid_key, mid_key, {fixed_sql('pred')} AS pred FROM scored"))
 def q_stream_scoring(spark, sf_dir):
-    """T1: request stream joined to the static item table (append sink)."""
-    s = _scored_stream(spark, sf_dir)
-    out = ST.run_to_table(s.select("event_id", "user_id", "mid_key", "pred"), "scoring")
-    return spark.read.parquet(out).select("event_id", "user_id", "mid_key",
-                                          fixed(F.col("pred")).alias("pred"))
+    """T1: request stream joined to the static key tables, every known (year, speed) pair
+    scored (append sink)."""
+    s = ST.score_requests(_stream(spark, sf_dir), *_static(spark, sf_dir))
+    out = ST.run_to_table(s.select("event_id", "user_id", "uid_key", "mid_key", "pred"), _job(spark, sf_dir, "scoring"))
+    return out.withColumn("pred", fixed(F.col("pred")))
 
 
-@register("stream_prediction_count", "WITH " + curation_ctes() + _ITEM_MEAN_SQL
-          + "\nSELECT event_type, count(*) AS n_requests, count(pred) AS n_predictions "
-            "FROM scored GROUP BY event_type")
+@register("stream_prediction_count", _with_grid(
+    "SELECT r.event_type, count(*) AS n_requests, CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS n_predictions "
+    "FROM requests r LEFT JOIN (SELECT event_id, count(*) AS n FROM scored GROUP BY event_id) s "
+    "ON s.event_id = r.event_id GROUP BY r.event_type"))
 def q_stream_prediction_count(spark, sf_dir):
     """T2: running counts per request type (stateful aggregate, complete mode)."""
-    s = _scored_stream(spark, sf_dir)
-    out = ST.run_to_table(ST.prediction_counts(s), "prediction_count", "complete")
-    return spark.read.parquet(out)
+    s = ST.prediction_counts(_stream(spark, sf_dir), *_static(spark, sf_dir))
+    return ST.run_to_table(s, _job(spark, sf_dir, "prediction_count"), "complete")
 
 
 @register("stream_model_scoring")
 def q_stream_model_scoring(spark, sf_dir):
-    """T1 with the factor model: each streamed request (user at the model
-    year, item at normal speed) joins the static code and factor tables and
-    goes back to the accuracy scale; unknown keys keep a NULL prediction."""
-    from ..functions.scores import composite_key
+    """T1 with the factor model: the known (year, speed) pairs of each streamed request join
+    the static key tables and go back to the accuracy scale."""
     from ..operators import model as MD
+    from ..operators import serve as SV
     from .evaluation_queries import _trained
     from .serving_queries import MODEL_YEAR
 
     tr = _trained(spark, sf_dir)
-    schema = read_table(spark, sf_dir, "events").schema
-    req = ST.request_stream(spark, sf_dir, "events.parquet", schema)
-    keyed = req.select("event_id", composite_key("user_id", F.lit(MODEL_YEAR)).alias("uid"),
-                       composite_key("beatmap_id", F.lit(0)).alias("mid"))
-    scored = MD.predict(tr.model, keyed, on_unknown="null")
-    out = ST.run_to_table(scored.select("event_id", "uid", "mid", "pred"), "model_scoring")
-    return spark.read.parquet(out)
+    pairs = SV.known_pairs(_stream(spark, sf_dir), SV.user_years(tr.model.users, MODEL_YEAR), SV.item_speeds(tr.model.items))
+    scored = MD.predict(tr.model, pairs.select("event_id", "uid_key", "mid_key"), "uid_key", "mid_key", on_unknown="drop")
+    # a fit is new in every application, and so is the job that uses it
+    job = f"{_job(spark, sf_dir, 'model_scoring')}_{spark.sparkContext.applicationId}"
+    return ST.run_to_table(scored, job)
 
 
 # ---------------------------------------------------------------- sources / sinks
@@ -83,12 +80,15 @@ def q_csv_roundtrip(spark, sf_dir):
     return sinks.read_csv(spark, path, "mid string, uid string, accuracy float")
 
 
-@register("export_dataset")
+@register("export_dataset", with_curation("SELECT mid, uid, accuracy, 3 AS n_fields FROM export"))
 def q_export_dataset(spark, sf_dir):
-    """The exported text itself: a header line, then ``mid,uid,accuracy``."""
+    """The exported text, written in parallel with a header line in each part: every line but
+    the headers split by hand (no CSV reader) into ``mid,uid,accuracy``."""
     e = curated_export(spark, sf_dir)
-    path = sinks.write_csv(e.coalesce(1), shared_path(spark, "export_text"))
-    return spark.read.text(path)
+    path = sinks.write_csv(e, shared_path(spark, "export_text"))
+    f = F.split("value", ",")
+    return spark.read.text(path).where(F.col("value") != ",".join(e.columns)).select(
+        f[0].alias("mid"), f[1].alias("uid"), f[2].cast("float").alias("accuracy"), F.size(f).alias("n_fields"))
 
 
 @register("tsv_roundtrip", "SELECT CAST(c_custkey AS BIGINT) AS user_id, c_name AS username, "
@@ -103,11 +103,11 @@ def q_tsv_roundtrip(spark, sf_dir):
 
 @register("materialize", with_curation("SELECT * FROM curated"))
 def q_materialize(spark, sf_dir):
-    """Replace-a-table: the curated scores written (overwrite) and read back."""
-    cur = stages(spark, sf_dir, export_stage_mode="none").curated
-    path = shared_path(spark, "tables", "active_scores", unique=False)
-    sinks.write_table(cur, path)
-    return spark.read.parquet(path)
+    """Replace-a-table: the curated scores published anew and read back; a reader of the
+    table before keeps its copy."""
+    path = shared_path(spark, "tables", curated_name(spark, sf_dir, CFG), "active_scores", unique=False)
+    return sinks.publish(spark, lambda: stages(spark, sf_dir, export_stage_mode="none").curated, path,
+                         refresh=True, keep_previous=1)
 
 
 @register("key_files_scan", with_curation(

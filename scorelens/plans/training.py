@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import TrainConfig
 from ..operators import features as FT
+from ..sources.sinks import stage
 
 
 @dataclass
@@ -19,19 +20,23 @@ class TrainingTable:
     mid_codes: DataFrame
 
 
-def training_table(export: DataFrame, cfg: TrainConfig = TrainConfig()) -> TrainingTable:
-    """``export`` is the curated ``(mid, uid, accuracy)`` set.  With
-    ``fit_on='all'`` (the reference) the transform and the encoders see every
-    row before the split; with ``'train'`` only the training part."""
-    split = FT.exact_split(export, cfg.split, cfg.seed)
+def training_table(export: DataFrame, cfg: TrainConfig = TrainConfig(), stage_mode: str = "table") -> TrainingTable:
+    """``export`` is the curated ``(mid, uid, accuracy)`` set.  With ``fit_on='all'`` (the
+    reference) the transform and the encoders see every row before the split; with
+    ``'train'`` only the training part.  The split and the codes feed several joins and are
+    staged once, like the rows that a fit iterates over."""
+    split = stage(FT.exact_split(export, cfg.split, cfg.seed), "split", stage_mode)
     fit_rows = split if cfg.fit_on == "all" else split.where(F.col("part") == "train")
     qm = FT.fit_quantiles(fit_rows, "accuracy", cfg.n_quantiles)
-    codes = FT.label_codes_many(fit_rows, ["uid", "mid"])
-    uid_codes, mid_codes = codes["uid"], codes["mid"]
+    c = FT.label_codes_many(fit_rows, ["uid", "mid"])
+    codes = stage(c["uid"].select(F.lit("uid").alias("kind"), "label", "code")
+                  .unionByName(c["mid"].select(F.lit("mid").alias("kind"), "label", "code")), "codes", stage_mode)
+    uid_codes = codes.where(F.col("kind") == "uid").select("label", "code")
+    mid_codes = codes.where(F.col("kind") == "mid").select("label", "code")
     rows = FT.normalize(split, "accuracy", qm, "y")
     # left: with fit_on="train" a val/test key unseen in training keeps a NULL
     # code (a cold-start row) instead of vanishing
     rows = FT.encode(rows, "uid", uid_codes, "uid_le", "left")
     rows = FT.encode(rows, "mid", mid_codes, "mid_le", "left")
-    return TrainingTable(rows.select("mid", "uid", "accuracy", "y", "uid_le", "mid_le", "part"),
-                         qm, uid_codes, mid_codes)
+    rows = rows.select("mid", "uid", "accuracy", "y", "uid_le", "mid_le", "part")
+    return TrainingTable(stage(rows, "training_rows", stage_mode), qm, uid_codes, mid_codes)

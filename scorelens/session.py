@@ -110,8 +110,7 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 def cleanup_scratch(spark: SparkSession) -> bool:
     """Delete this application's intermediate tables (call when its jobs are
     done; published datasets and models live elsewhere and stay)."""
+    from .sources.sinks import delete_path
+
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{base}/stage/{spark.sparkContext.applicationId}")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p) and fs.delete(p, True))
+    return delete_path(spark, f"{base}/stage/{spark.sparkContext.applicationId}")

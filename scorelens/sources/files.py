@@ -2,8 +2,8 @@
 
 ``write_key_files`` lays a step table out as ``<path>/<key>=<value>/part-*``
 text files of ``offset,speed`` lines; ``read_key_files`` reads them back as a
-step table with the key recovered from the directory name.  Keys without a
-directory are the missing inputs: join the requested keys with ``left`` to
+step table with the key recovered from the directory name, and ``read_named_files`` reads a folder of
+``<key>.<ext>`` files.  Keys without a file are the missing inputs: join the requested keys with ``left`` to
 keep them with NULL metrics, or ``left_anti`` to list them.
 """
 
@@ -22,13 +22,24 @@ def write_key_files(steps: DataFrame, key: str, path: str) -> str:
     return path
 
 
-def read_key_files(spark: SparkSession, path: str, key: str) -> DataFrame:
-    raw = spark.read.text(path)
+def _steps(raw: DataFrame, key: str) -> DataFrame:
     parts = F.split("value", ",")
-    return raw.select(F.col(key).cast("bigint").alias(key),
+    return raw.select(F.expr(f"try_cast(`{key}` AS bigint)").alias(key),
                       parts[0].cast("bigint").alias("offset"),
                       parts[1].cast("double").alias("speed"))
 
 
+def read_key_files(spark: SparkSession, path: str, key: str) -> DataFrame:
+    return _steps(spark.read.text(path), key)
+
+
+def read_named_files(spark: SparkSession, path: str, key: str, ext: str = "csv") -> DataFrame:
+    """Steps of a folder of ``<key>.<ext>`` files, the key taken from the file name (files of
+    other names are not read)."""
+    raw = spark.read.option("pathGlobFilter", f"*.{ext}").text(path)
+    return _steps(raw.select("value", F.expr(f"substr(_metadata.file_name, 1, length(_metadata.file_name) - {len(ext) + 1})").alias(key)), key)
+
+
 def missing_keys(keys: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The keys that have no file."""
     return keys.select(key).join(found.select(key).distinct(), key, "left_anti")

@@ -52,32 +52,58 @@ def read_csv(spark, path: str, schema, sep: str = ",") -> DataFrame:
             .option("mode", "FAILFAST").csv(path))
 
 
-def dataset_exists(spark, path: str) -> bool:
-    """True when a completed write (``_SUCCESS`` marker) is at ``path``."""
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return p.getFileSystem(hconf).exists(p)
-
-
-def publish(spark, build, path: str, refresh: bool = False) -> DataFrame:
-    """Read the dataset at ``path`` if a completed write is there (unless
-    ``refresh``); otherwise call ``build()``, write the result next to
-    ``path`` and rename it into place.  A builder that finds the path taken
-    (a concurrent builder, or ``refresh`` of an existing dataset) reads its
-    own copy; a published dataset is never deleted, since a reader in another
-    job may be using it (its name pins the content)."""
+VERSIONS = "version string, generation int, published_at timestamp"
+
+
+def delete_path(spark, path: str) -> bool:
+    """Delete a folder through the cluster's own file system (the only use of the
+    JVM gateway here); where there is no gateway the folder stays, False."""
+    jvm = getattr(getattr(spark, "sparkContext", None), "_jvm", None)
+    if jvm is None:
+        return False
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.delete(p, True))
+
+
+def versions(spark, path: str) -> list:
+    """Published versions of a dataset, the current one first: the highest generation and
+    in it the first to be published (one row for each publication)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(VERSIONS).parquet(f"{path}/versions").collect()
+    except AnalysisException:  # nothing published yet
+        return []
+    return sorted(rows, key=lambda r: (-r["generation"], r["published_at"], r["version"]))
+
+
+def publish(spark, build, path: str, refresh: bool = False, keep_previous: int = 0) -> DataFrame:
+    """The current version of the dataset at ``path``, built and published if there is
+    none or ``refresh``.
+
+    Each version is a folder of its own, complete before one appended row of
+    ``<path>/versions`` makes it known, so there is no rename (object stores have none) and
+    a failed build is never seen.  Of concurrent builders of one generation the first wins;
+    the others delete their copy and read the winner's.  A refresh deletes versions older
+    than the ``keep_previous`` latest before it."""
     import uuid
 
-    if not refresh and dataset_exists(spark, path):
-        return spark.read.parquet(path)
-    tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:12]}"
-    build().write.mode("errorifexists").parquet(tmp)
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    src, dst = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path)
-    fs = dst.getFileSystem(hconf)
-    fs.mkdirs(dst.getParent())
-    if not fs.exists(dst) and fs.rename(src, dst):
-        return spark.read.parquet(path)
-    return spark.read.parquet(tmp)
+    known = versions(spark, path)
+    if known and not refresh:
+        return spark.read.parquet(f"{path}/{known[0]['version']}")
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    build().write.mode("errorifexists").parquet(f"{path}/{version}")
+    generation = known[0]["generation"] + 1 if known else 1
+    (spark.range(1).selectExpr(f"'{version}' AS version", f"{generation} AS generation",
+                               "current_timestamp() AS published_at")
+     .write.mode("append").parquet(f"{path}/versions"))
+    known = versions(spark, path)
+    current = known[0]["version"]
+    if current != version:
+        delete_path(spark, f"{path}/{version}")
+    else:
+        for r in known:
+            if r["generation"] < generation - keep_previous:
+                delete_path(spark, f"{path}/{r['version']}")
+    return spark.read.parquet(f"{path}/{current}")

@@ -1,51 +1,69 @@
 """Structured Streaming jobs: score a request stream against static tables
 (T1) and keep a running count of predictions served (T2).
 
-Both read the request files with the file source, so a restart resumes from
-the checkpoint in the shared folder; ``trigger(availableNow=True)`` drains
-what is there and stops (a long-running deployment uses a processing-time
-trigger instead).  The static side of the stream-static join is staged once,
-so micro-batches do not recompute it.
+Both read the request table's files with the file source.  A job has a stable
+name, and its output and checkpoint live under it in the shared folder, so a
+restart resumes: it reads the files that were added and adds to the counts.
+``trigger(availableNow=True)`` drains what is there and stops (a long-running
+deployment uses a processing-time trigger instead).  The static side of the
+stream-static joins is staged once, so micro-batches do not recompute it.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import composite_key
 from ..functions.text import json_first
+from ..operators import serve as SV
 from ..session import shared_path
 
 
-def request_stream(spark: SparkSession, source_dir: str, file_glob: str, schema,
-                   max_files_per_trigger: int = 1) -> DataFrame:
-    """Requests ``(event_id, user_id, beatmap_id, event_type, ts)`` from files
-    in ``source_dir`` that match ``file_glob``."""
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
+def request_stream(spark: SparkSession, table_path: str, schema,
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """Requests ``(event_id, user_id, beatmap_id, event_type, ts)`` of a table: one parquet
+    file or a folder of them.  Without a limit a trigger takes all new files."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    # A pattern that matches just this path: the file source takes a plain path for a folder.
+    path = table_path.rstrip("/")
+    raw = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     k = json_first(F.concat(F.lit("["), F.col("props"), F.lit("]")), "struct<k:bigint>")["k"]
     return raw.select("event_id", F.col("user_id").cast("bigint").alias("user_id"),
                       k.alias("beatmap_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"))
 
 
-def score_requests(requests: DataFrame, item_scores: DataFrame, speed: int = 0) -> DataFrame:
-    """Stream-static left join: each request scored on its item key at
-    ``speed``; unknown items keep a NULL prediction."""
-    keyed = requests.withColumn("mid_key", composite_key("beatmap_id", F.lit(speed)))
-    return keyed.join(item_scores.select(F.col("mid").alias("mid_key"), "pred"), "mid_key", "left")
+def score_requests(requests: DataFrame, years: DataFrame, speeds: DataFrame) -> DataFrame:
+    """Stream-static joins: every known (year, speed) pair of each request with the
+    prediction that ``speeds`` carries (``operators.serve.item_speeds``)."""
+    return SV.truthy(SV.known_pairs(requests, years, speeds))
 
 
-def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> str:
-    """Drain the stream into parquet under the shared folder; returns the path.
+def prediction_counts(requests: DataFrame, years: DataFrame, speeds: DataFrame) -> DataFrame:
+    """Running totals per request type: requests seen, predictions served.  A request's
+    predictions are its user's years times its item's predicted speeds, so no pair is made."""
+    n_years = years.select("user_id", F.size("years").alias("_y"))
+    n_speeds = speeds.select("beatmap_id", F.size(F.filter(
+        "speeds", lambda s: s["pred"].isNotNull() & (s["pred"] != 0))).alias("_s"))
+    j = requests.join(n_years, "user_id", "left").join(n_speeds, "beatmap_id", "left")
+    return j.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_requests"),
+        F.sum(F.coalesce(F.col("_y") * F.col("_s"), F.lit(0)).cast("bigint")).alias("n_predictions"))
+
+
+def run_to_table(stream: DataFrame, job: str, output_mode: str = "append") -> DataFrame:
+    """Drain the stream of the job named ``job`` into parquet under the shared folder and
+    return the table so far (empty if nothing has arrived).
 
     ``append``: a file sink (exactly-once through its log).  ``complete``:
     each micro-batch's full result replaces the table (foreachBatch), for
     aggregates whose state lives in the checkpoint.
     """
     spark = stream.sparkSession
-    out = shared_path(spark, "streams", name)
-    ckpt = out + "_checkpoint"
+    out = shared_path(spark, "streams", job, "table", unique=False)
+    ckpt = shared_path(spark, "streams", job, "checkpoint", unique=False)
     if output_mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", ckpt).outputMode("append")
@@ -59,10 +77,7 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> s
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return out
-
-
-def prediction_counts(scored: DataFrame) -> DataFrame:
-    """Running totals per request type: requests seen, predictions served."""
-    return scored.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_requests"),
-                                            F.count("pred").alias("n_predictions"))
+    try:
+        return spark.read.schema(stream.schema).parquet(out)
+    except AnalysisException:  # no batch has run yet
+        return spark.createDataFrame([], stream.schema)

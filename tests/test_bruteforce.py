@@ -1,5 +1,6 @@
 """Rows-only keys checked against brute force on the small tables."""
 
+import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -16,14 +17,16 @@ def test_exact_split_equals_sorting_in_python(spark, sf_dir):
                          fixture.steps(spark, sf_dir), FIXTURE_CURATION, stage_mode="none")
     e = st.export
     got = FT.exact_split(e, (0.8, 0.1, 0.1), 373)
-    h = got.withColumn("h", F.xxhash64(F.lit(373), "mid", "uid", "accuracy")).collect()
-    rows = sorted(h, key=lambda r: r.h)
+    def key(r):
+        return int(hashlib.md5(f"373|{r.mid}|{r.uid}".encode()).hexdigest()[:15], 16), r.mid, r.uid, r.accuracy
+
+    rows = sorted(got.collect(), key=key)
     n = len(rows)
     n_train, n_test = int(n * 0.8), int(n * 0.1)
     for i, r in enumerate(rows):
         want = "train" if i < n_train else ("test" if i < n_train + n_test else "val")
-        # identical rows share a hash; only their mutual order is free
-        if 0 < i < n and rows[i - 1].h == r.h:
+        # identical rows share a key; only their mutual order is free
+        if 0 < i < n and key(rows[i - 1]) == key(r):
             continue
         assert r.part == want, (i, r)
 

@@ -8,7 +8,7 @@ from scorelens.config import FIXTURE_CURATION, TrainConfig
 from scorelens.operators import head as HD
 from scorelens.operators import model as MD
 from scorelens.plans.curation import curation_stages
-from scorelens.plans.modeling import head_predictions, train, train_two_branch
+from scorelens.plans.modeling import head_predictions, predict_head, train, train_two_branch
 from scorelens.session import shared_path
 from scorelens.sources import fixture
 
@@ -88,18 +88,73 @@ def test_fit_on_train_keeps_every_row(spark, sf_dir):
 
 def test_model_stream_equals_batch(spark, sf_dir):
     import __spark_entry__ as E
-    from scorelens.functions.scores import composite_key
+    from scorelens.operators import serve as SV
     from scorelens.plans.evaluation_queries import _trained
     from scorelens.plans.serving_queries import MODEL_YEAR, requests
     s = E.queries()["stream_model_scoring"](spark, sf_dir)
     tr = _trained(spark, sf_dir)
-    req = requests(spark, sf_dir).select(
-        "event_id", composite_key("user_id", F.lit(MODEL_YEAR)).alias("uid"),
-        composite_key("beatmap_id", F.lit(0)).alias("mid"))
-    b = MD.predict(tr.model, req, on_unknown="null")
-    j = s.alias("s").join(b.alias("b"), "event_id")
-    assert j.count() == s.count() == b.count()
-    assert j.where(~F.col("s.pred").eqNullSafe(F.col("b.pred"))).count() == 0
+    pairs = SV.known_pairs(requests(spark, sf_dir), SV.user_years(tr.model.users, MODEL_YEAR), SV.item_speeds(tr.model.items))
+    b = MD.predict(tr.model, pairs.select("event_id", "uid_key", "mid_key"), "uid_key", "mid_key")
+    j = s.alias("s").join(b.alias("b"), ["event_id", "uid_key", "mid_key"])
+    assert j.count() == s.count() == b.count() > 0
+    assert j.where(~F.col("s.pred").eqNullSafe(F.col("b.pred")) | F.col("s.pred").isNull()).count() == 0
+
+
+def test_null_keys_raise_and_known_keys_are_never_null(spark, trained):
+    pairs = spark.createDataFrame([("1/2000", None)], "uid string, mid string")
+    with pytest.raises(ValueError, match="NULL"):
+        MD.predict(trained.model, pairs.withColumn("uid", F.lit(trained.model.users.first().label)))
+    assert MD.predict(trained.model, pairs, on_unknown="null").first().pred is None
+    assert MD.predict(trained.model, pairs, on_unknown="drop").count() == 0
+    for part in ("train", "test", "val"):
+        rows = trained.table.rows.where(F.col("part") == part).select("uid", "mid")
+        s = MD.summary(MD.predict(trained.model, rows, cold="cold")).first()
+        assert s.n_rows == rows.count() and s.n_null == 0 and (part != "train" or s.n_cold == 0)
+
+
+def errors_against_mean(tr, head):
+    out = {}
+    mean = tr.table.rows.where(F.col("part") == "train").select(F.avg(F.col("accuracy").cast("double"))).scalar()
+    for part in ("train", "val"):
+        rows = tr.table.rows.where(F.col("part") == part).select("uid", "mid", F.col("accuracy").cast("double").alias("a"))
+        pred = predict_head(tr, head, MD.predict(tr.model, rows), out="h").withColumn("m", mean)
+        r = pred.agg(*[f.alias(f"{k}_{c}") for c in ("pred", "h", "m") for k, f in (
+            ("mae", F.avg(F.abs(F.col(c) - F.col("a")))), ("rmse", F.sqrt(F.avg((F.col(c) - F.col("a")) ** 2))))]).first()
+        out[part] = r
+    return out
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_model_is_as_good_as_the_mean(spark, scale):
+    import __spark_entry__  # noqa: F401
+    from scorelens.plans.evaluation_queries import _head, _trained
+    d = f"/root/testdata/{scale}"
+    for part, r in errors_against_mean(_trained(spark, d), _head(spark, d)).items():
+        # the inverse transform of a mean is a median: better than the mean in absolute error,
+        # and within 3 % of it in squared error
+        for c in ("pred", "h"):
+            assert r[f"mae_{c}"] <= r.mae_m and r[f"rmse_{c}"] <= 1.03 * r.rmse_m, (part, r)
+
+
+def test_biases_find_a_signal_and_noise_gives_none(spark):
+    import random
+    rng = random.Random(2)
+    item = [rng.gauss(0, 1) for _ in range(30)]
+    rows = [(u, i, item[i] + rng.gauss(0, 0.3)) for u in range(60) for i in rng.sample(range(30), 10)]
+    df = spark.createDataFrame(rows, "u int, i int, y double")
+    found = {r.i: r.bias for r in MD.shrunk_means(df, "i", F.col("y")).collect()}
+    assert np.corrcoef([found[i] for i in range(30)], item)[0, 1] > 0.98
+    assert max(abs(r.bias) for r in MD.shrunk_means(df.withColumn("y", F.rand(5) - 0.5), "u", F.col("y")).collect()) < 0.3
+    assert MD.shrunk_means(df.limit(0), "u", F.col("y")).count() == 0
+
+
+def test_head_does_not_depend_on_arrow_batches(spark, trained):
+    out = []
+    for n in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        out.append(train_two_branch(trained, HD.HeadConfig(epochs=2, batch_size=16)).params)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert np.allclose(out[0], out[1], rtol=1e-9)
 
 
 def test_head_predict_unknown_keys(spark, trained):

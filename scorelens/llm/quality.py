@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +89,17 @@ def meta_features(b: np.ndarray, source, lang, n_chars, n_words: int, n_kinds: i
     return np.array(sorted({zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in names}), dtype=np.uint32)
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """Sorted distinct numbers as compressed byte planes of their differences."""
+    d = np.diff(ids.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _featurize(batch, cols):
     for text, source, lang, n_chars in zip(*[batch[c].to_pylist() for c in cols]):
         raw = (text or "").encode("utf-8", "surrogatepass")
@@ -132,6 +144,7 @@ def _logistic(x: np.ndarray, y1: np.ndarray, y0: np.ndarray, ridge: float = 1e-2
     return w
 
 
+BLOCK = 1 << 12
 CELLS = (1 << TEXT_BITS) + (1 << META_BITS) + 2  # the last two count rows, by view
 
 
@@ -145,7 +158,7 @@ def _count(rows: DataFrame, model=None) -> DataFrame:
         n = np.zeros((2, 2, CELLS))
         for f in frames:
             for t, m, q, x in zip(f["ids"], f["meta"], f["quality"], f["toxic"]):
-                ids, meta = np.frombuffer(t, dtype="<u4"), np.frombuffer(m, dtype="<u4")
+                ids, meta = unpack(t), np.frombuffer(m, dtype="<u2").astype(np.uint32)
                 at = (np.append(ids, CELLS - 2), np.append(meta + (1 << TEXT_BITS), CELLS - 1))
                 if model is None:
                     for k, label in enumerate((q, x)):
@@ -161,11 +174,24 @@ def _count(rows: DataFrame, model=None) -> DataFrame:
                             sure = p[k, 1 - v]
                             if sure >= CONFIDENT or sure <= 1 - CONFIDENT:
                                 n[k, int(sure > 0.5), at[v]] += PSEUDO_WEIGHT
-        for k in range(2):
-            at = np.flatnonzero(n[k].any(axis=0))
-            yield pd.DataFrame({"k": k, "f": at, "n0": n[k, 0, at], "n1": n[k, 1, at]})
+        # A task's counts, in compressed blocks of features.
+        out = [(k, i, zstandard.compress(n[k, :, i * BLOCK:(i + 1) * BLOCK].astype("<f4").tobytes(), 1))
+               for k in range(2) for i in range(-(-CELLS // BLOCK)) if n[k, :, i * BLOCK:(i + 1) * BLOCK].any()]
+        yield pd.DataFrame(out, columns=["k", "i", "n"])
+
+    def add(frames):
+        import pandas as pd
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for f in frames:
+            for k, i, blob in zip(f["k"], f["i"], f["n"]):
+                a = np.frombuffer(zstandard.decompress(blob), dtype="<f4").reshape(2, -1).astype(float)
+                total[k, i] = total[k, i] + a if (k, i) in total else a
+        for (k, i), a in total.items():  # one array of each block in this partition
+            at = np.flatnonzero(a.any(axis=0))
+            yield pd.DataFrame({"k": k, "f": at + i * BLOCK, "n0": a[0, at], "n1": a[1, at]})
 
-    return rows.mapInPandas(run, "k int, f int, n0 double, n1 double")
+    return (rows.mapInPandas(run, "k int, i int, n binary").repartition("k", "i")
+            .mapInPandas(add, "k int, f int, n0 double, n1 double"))
 
 
 def _weights(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +230,7 @@ def _grid(rows: DataFrame, model) -> dict:
         n = Counter()
         for f in frames:
             for t, m, q, x in zip(f["ids"], f["meta"], f["quality"], f["toxic"]):
-                z = np.rint(2 * model.value.logits(np.frombuffer(t, dtype="<u4"), np.frombuffer(m, dtype="<u4")))
+                z = np.rint(2 * model.value.logits(unpack(t), np.frombuffer(m, dtype="<u2")))
                 for k, label in enumerate((q, x)):
                     if label in (0, 1):
                         n[k, int(z[k, 0]), int(z[k, 1]), int(label)] += 1
@@ -242,8 +268,8 @@ def features(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
             h, ids, meta = [], [], []
             for t, a, b in _featurize(batch, cols):
                 h.append(xxhash.xxh64_intdigest(t) >> 1)
-                ids.append(a.astype("<u4").tobytes())
-                meta.append(b.astype("<u4").tobytes())
+                ids.append(pack(a))
+                meta.append(b.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(h, pa.int64()), pa.array(ids, pa.binary()), pa.array(meta, pa.binary())],
                 names=["id", "h", "ids", "meta"])
@@ -259,7 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", rounds: int = ROUND
     spark = prepare(docs.sparkSession)
     lab = (labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
            .agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic")))
-    rows = stage(features(docs, id_col, **cols).join(lab, "id", "left"), "quality_rows")
+    # The labels grow with the corpus: their join never depends on their size.
+    rows = stage(features(docs, id_col, **cols).join(lab.hint("merge"), "id", "left"), "quality_rows")
     known = rows.where("quality is not null or toxic is not null")
     known = stage(known.dropDuplicates(["h", "quality", "toxic"]).select("h", "ids", "meta", "quality", "toxic"), "quality_known")
     open_rows = rows.where("quality is null and toxic is null")

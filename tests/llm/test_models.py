@@ -50,7 +50,7 @@ def test_views_teach_each_other(spark):
 
 
 def test_counts_and_weights_are_naive_bayes(spark):
-    rows = [(np.array(sorted(a), dtype="<u4").tobytes(), np.array([3], dtype="<u4").tobytes(), float(q), float(x))
+    rows = [(C.pack(np.array(sorted(a), dtype=np.uint32)), np.array([3], dtype="<u2").tobytes(), float(q), float(x))
             for a, q, x in [({1, 2}, 1, 0)] * 60 + [({2, 5}, 0, 1)] * 40 + [({1}, 1, 1)] * 3]
     df = spark.createDataFrame(rows, "ids binary, meta binary, quality double, toxic double")
     text, meta, prior = C._weights(C._count(df))
@@ -59,6 +59,11 @@ def test_counts_and_weights_are_naive_bayes(spark):
     assert prior[0] == pytest.approx(math.log(63.5 / 40.5))
 
 
+@pytest.mark.parametrize("ids", [[], [0], [5], [0, 1, 2 ** 18 - 1], list(range(0, 2 ** 18, 777))])
+def test_packed_features(ids):
+    assert C.unpack(C.pack(np.array(ids, dtype=np.uint32))).tolist() == ids
+
+
 def test_logistic_fit():
     x = np.linspace(-4, 4, 41)[:, None]
     p = 1 / (1 + np.exp(-(1.5 * x[:, 0] - 0.5)))

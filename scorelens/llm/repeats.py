@@ -275,22 +275,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"),
                                         F.min(F.struct("id", "t", "pos", "l", "r")).alias("at"))
     first = stage(first.select("h", "c", "n", "at.*"), "repeat_contexts")
-    # A context that stands twice is repeated whole, whatever the others are.
-    whole = first.where("n > 1").select("h", "c", F.col("l").cast("int").alias("l"), F.col("r").cast("int").alias("r"))
+    # A context that stands twice is repeated whole, whatever the others are: its rows need no
+    # more than a semi join with a table, which AQE can split for a hot context.
+    twice = mixed.join(first.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+    same = shared.where("not mixed").select("id", "t", "pos", "l", "r").unionByName(twice.select("id", "t", "pos", "l", "r"))
+    same = same.select("id", "t", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r")).alias("hi"))
     crowd = stage(first.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max_contexts).select("h"),
                   "repeat_crowd")
     wanted = first.select("h", "c", "id", "t", "pos", "l", "r")
     placed = texts.repartition("id", "t")  # one shuffle of the texts, for both joins with them
-    covers = whole
+    covers = None
     if crowd.head(1):
         hot = _contexts(placed, wanted.join(crowd, "h", "left_semi"))
-        covers = covers.unionByName(stage(_window_covers(stage(hot, "repeat_hot"), length), "repeat_hot_covers"))
+        covers = stage(_window_covers(stage(hot, "repeat_hot"), length), "repeat_hot_covers")
         wanted = wanted.join(crowd, "h", "left_anti")
-    covers = covers.unionByName(repeat_covers(_contexts(placed, wanted), length)).groupBy("h", "c").agg(F.max("l").alias("cl"), F.max("r").alias("cr"))
-    some = mixed.join(covers, ["h", "c"]).select("id", "t", (F.col("pos") - F.col("cl")).alias("lo"),
-                                                (F.col("pos") + F.col("cr")).alias("hi"))
-    same = shared.where("not mixed").select("id", "t", (F.col("pos") - F.col("l")).alias("lo"),
-                                            (F.col("pos") + F.col("r")).alias("hi"))
+    found = repeat_covers(_contexts(placed, wanted), length)
+    found = found if covers is None else found.unionByName(covers)
+    # The others stand once, so a context is a row.
+    alone = first.where("n = 1").select("h", "c", "id", "t", "pos")
+    some = found.withColumnsRenamed({"l": "cl", "r": "cr"}).join(alone, ["h", "c"]).select(
+        "id", "t", (F.col("pos") - F.col("cl")).alias("lo"), (F.col("pos") + F.col("cr")).alias("hi"))
     spans = (same.unionByName(some).groupBy("id", "t")
              .agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     return placed, spans

@@ -63,6 +63,7 @@ class Head:
     params: np.ndarray
     log: list = field(default_factory=list)
     scale: float = 1.0
+    offset: float = 0.0  # on the original scale: the mean of the training rows' errors
 
     def unpack(self):
         return unpack(self.params, self.dim)
@@ -236,7 +237,8 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
         if with_mae:
             from .features import inverse
             z = inverse(z.withColumn("_all", F.col("z") + F.col("_base")), "_all", quantiles, "_pred")
-            own.append(F.avg(F.abs(F.col("_pred") - F.col("accuracy"))).alias("mae"))
+            own += [F.avg(F.abs(F.col("_pred") - F.col("accuracy"))).alias("mae"),
+                    F.avg(F.col("accuracy").cast("double") - F.col("_pred")).alias("off")]
         return {r["part"]: r for r in z.groupBy("part").agg(*own).collect()}
 
     best, best_loss, first_loss, bad, lr, total = head.params, None, None, 0, cfg.lr, np.zeros_like(head.params)
@@ -278,6 +280,8 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
             m = measured()
         w = m.get(val_part, m[train_part])
         head.scale = min(max(w["zy"] / w["zz"], 0.0), 1.0) if w["zz"] else 0.0
+        if with_mae:
+            head.offset = float(measured()[train_part]["off"] or 0.0)
     return head
 
 

@@ -11,7 +11,8 @@ to 1, so factors that only memorise noise get no weight.  Factors stay distribut
 the label, never a driver-side lookup.  A known key without training rows or factors falls
 back on the mean and on what is known of the other side, so every known key has a
 prediction.  Predictions go back to the accuracy scale through the inverse quantile
-transform.
+transform, which makes a mean a median; ``offset``, the mean of the training rows' errors,
+makes them means again (within the target's range).
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ class FactorModel:
     shrink: float
     quantiles: FT.QuantileModel
     params: dict
+    offset: float = 0.0
 
     @property
     def user_factors(self) -> DataFrame:
@@ -122,7 +124,18 @@ def fit(rows: DataFrame, quantiles: FT.QuantileModel, uid_codes: DataFrame, mid_
     model.itemFactors.unpersist()
     params = {"rank": cfg.rank, "max_iter": cfg.max_iter, "reg_param": cfg.reg_param,
               "seed": cfg.seed, "fit_part": part, "n_quantiles": quantiles.n, "mean": mean, "shrink": shrink}
-    return FactorModel(u, m, mean, shrink, quantiles, params)
+    out = FactorModel(u, m, mean, shrink, quantiles, params)
+    if "accuracy" in train.columns:
+        err = predict(out, train.select("uid", "mid", "accuracy"), on_unknown="drop").agg(
+            F.avg(F.col("accuracy").cast("double") - F.col("pred"))).first()[0]
+        out.offset = params["offset"] = float(err or 0.0)
+    return out
+
+
+def shifted(pred, offset: float, quantiles: FT.QuantileModel):
+    """A prediction with its offset, within the target's range."""
+    lo, hi = float(quantiles.quantiles[0]), float(quantiles.quantiles[-1])
+    return F.when(pred.isNotNull(), F.least(F.greatest(pred + F.lit(offset), F.lit(lo)), F.lit(hi)))
 
 
 def _dot(rank: int):
@@ -175,7 +188,8 @@ def predict(model: FactorModel, pairs: DataFrame, uid_col: str = "uid", mid_col:
     j = keyed(model, pairs, uid_col, mid_col, on_unknown)
     z = base_value(model) + F.lit(model.shrink) * F.coalesce(_dot(model.params["rank"]), F.lit(0.0))
     back = FT.inverse(j.withColumn("_z", z), "_z", model.quantiles, out)
-    return back.select(*pairs.columns, out, *([F.col("_cold").alias(cold)] if cold else []))
+    return back.select(*pairs.columns, shifted(F.col(out), model.offset, model.quantiles).alias(out),
+                       *([F.col("_cold").alias(cold)] if cold else []))
 
 
 def summary(pred: DataFrame, col: str = "pred", cold: str = "cold") -> DataFrame:
@@ -206,7 +220,7 @@ def load(spark: SparkSession, path: str) -> FactorModel:
     qm = FT.QuantileModel(tuple(r["reference"] for r in q), tuple(r["quantile"] for r in q))
     params = json.loads(spark.read.json(f"{path}/params").first()["params"])
     return FactorModel(spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/items"),
-                       params["mean"], params["shrink"], qm, params)
+                       params["mean"], params["shrink"], qm, params, params.get("offset", 0.0))
 
 
 def latest(paths_with_time: DataFrame) -> DataFrame:

@@ -79,7 +79,8 @@ def predict_head(tr: Trained, head, pairs: DataFrame, uid_col: str = "uid", mid_
     rows = _head_rows(tr, pairs, uid_col, mid_col, on_unknown)
     z = HD.forward(rows, head, "_z").withColumn("_z", F.col("_base") + F.col("_z"))
     back = FT.inverse(z, "_z", tr.model.quantiles, out)
-    return back.select(*pairs.columns, out, *([F.col("_cold").alias(cold)] if cold else []))
+    return back.select(*pairs.columns, MD.shifted(F.col(out), head.offset, tr.model.quantiles).alias(out),
+                       *([F.col("_cold").alias(cold)] if cold else []))
 
 
 def head_predictions(tr: Trained, head, part: str = "val") -> DataFrame:

@@ -130,10 +130,8 @@ def test_model_is_as_good_as_the_mean(spark, scale):
     from scorelens.plans.evaluation_queries import _head, _trained
     d = f"/root/testdata/{scale}"
     for part, r in errors_against_mean(_trained(spark, d), _head(spark, d)).items():
-        # the inverse transform of a mean is a median: better than the mean in absolute error,
-        # and within 5 % of it in squared error
         for c in ("pred", "h"):
-            assert r[f"mae_{c}"] <= r.mae_m and r[f"rmse_{c}"] <= 1.05 * r.rmse_m, (part, r)
+            assert r[f"rmse_{c}"] <= 1.01 * r.rmse_m and r[f"mae_{c}"] <= 1.02 * r.mae_m, (part, r)
 
 
 def test_biases_find_a_signal_and_noise_gives_none(spark):

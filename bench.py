@@ -44,7 +44,8 @@ def main() -> None:
     from scorelens.plans.registry import queries
     from scorelens.session import cleanup_scratch, get_spark
 
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+                      extra={"spark.driver.memory": "8g"})
     qs = queries()
     # Warm-up on the smallest tables (JIT, class loading); not counted.
     qs["curate_dataset"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()

@@ -1,4 +1,4 @@
-"""String helpers: display titles, first element of a JSON array, percent labels."""
+"""String helpers: display titles, first element of a JSON array."""
 
 from __future__ import annotations
 
@@ -18,9 +18,3 @@ def json_first(text, element_schema: str) -> Column:
     """First element of a JSON array of objects; NULL for bad text or an empty array."""
     c = F.col(text) if isinstance(text, str) else text
     return F.try_element_at(F.from_json(c, f"array<{element_schema}>"), F.lit(1))
-
-
-def percent_label(x) -> Column:
-    """'85%' for 0.85 (no decimals), as f"{x:.0%}"."""
-    c = F.col(x) if isinstance(x, str) else x
-    return F.format_string("%.0f%%", c * 100)

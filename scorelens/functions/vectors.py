@@ -38,7 +38,3 @@ def affine(a, weights: list[list[float]], bias: list[float]) -> Column:
             acc = acc + F.lit(float(w)) * v[j]
         outs.append(acc)
     return F.array(*outs)
-
-
-def element(a, i: int) -> Column:
-    return _col(a)[i]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import TrainConfig
-from ..functions import fixed, hadamard, silu, vector_concat
+from ..functions import affine, fixed, hadamard, silu, vector_concat
 from ..functions.numeric import dlit, fixed_sql
 from ..operators import evaluate as EV
 from ..operators import head as HD
@@ -206,6 +206,20 @@ def q_silu_vector(spark, sf_dir):
     return e.select("vec_id", act.alias("act"))
 
 
+# A fixed small layer for the affine query: two outputs over the first four elements.
+AFFINE_W = [[1.0, 0.5, -0.25, 2.0], [0.0, 1.0, 0.0, -1.0]]
+AFFINE_B = [0.1, -0.2]
+_AFFINE_SQL = ", ".join(fixed_sql(" + ".join([dlit(b)] + [f"{dlit(w)} * CAST(embedding[{j + 1}] AS DOUBLE)" for j, w in enumerate(row)]))
+                        for row, b in zip(AFFINE_W, AFFINE_B))
+
+
+@register("affine_vector", f"SELECT vec_id, [{_AFFINE_SQL}] AS v FROM embeddings")
+def q_affine_vector(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    v = affine(F.transform("embedding", lambda x: x.cast("double")), AFFINE_W, AFFINE_B)
+    return e.select("vec_id", F.transform(v, lambda x: fixed(x)).alias("v"))
+
+
 @register("minmax_dims", """WITH l AS (
   SELECT vec_id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS dim,
          CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),

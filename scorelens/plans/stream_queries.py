@@ -11,7 +11,7 @@ from ..functions.numeric import fixed_sql
 from ..operators.metric import scroll_variance
 from ..session import shared_path
 from ..sources import files, sinks
-from ..sources.tables import TABLES, read_table, table_path
+from ..sources.tables import TABLES, read_table, register_tables, table_path
 from ..streaming import scoring as ST
 from .curation import curated_name
 from .curation_queries import CFG, stages
@@ -135,6 +135,13 @@ def st_steps(spark, sf_dir):
     return fixture.steps(spark, sf_dir)
 
 
+@register("table_by_name", "SELECT c_mktsegment AS segment, count(*) AS n_users FROM customer GROUP BY c_mktsegment")
+def q_table_by_name(spark, sf_dir):
+    """A table read by its name."""
+    register_tables(spark, sf_dir, ["customer"])
+    return spark.table("customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n_users"))
+
+
 @register("preflight", " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, true AS readable, (SELECT count(*) > 0 FROM {t}) AS has_rows"
     for t in TABLES))

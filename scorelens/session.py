@@ -28,9 +28,9 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
-# Local sessions (tests, bench) run everything in the driver JVM.
+# Local sessions (tests, bench) run everything in the driver JVM; its memory is the
+# caller's choice (``extra``).
 LOCAL_CONF = {
-    "spark.driver.memory": "16g",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
 }
 

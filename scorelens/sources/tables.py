@@ -22,6 +22,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+    """Make the tables readable by name (``spark.table``, SQL) in this session."""
+    for n in names:
+        read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
 def preflight(spark: SparkSession, sf_dir: str, names=TABLES) -> DataFrame:
     """One row per table: is it readable and does it have a row?  Fails fast on a
     missing path instead of polling; reads at most one row per table."""

@@ -12,7 +12,7 @@ SMOKE = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from scorelens.session import get_spark
-    s = get_spark("local[4]", 8)
+    s = get_spark("local[4]", 8, extra={"spark.driver.memory": "8g"})
     yield s
     s.stop()
 

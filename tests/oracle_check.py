@@ -69,7 +69,7 @@ def main(argv):
     keys = [k for k in argv[1:] if not k.startswith("/")]
     from scorelens.session import get_spark
     import __spark_entry__ as E
-    spark = get_spark("local[8]", 8)
+    spark = get_spark("local[8]", 8, extra={"spark.driver.memory": "8g"})
     con = duck(sf_dir)
     qs, sql = E.queries(), E.oracle_sql()
     keys = keys or list(qs)

@@ -88,6 +88,11 @@ def test_structure():
     assert X.main_text(X.parse(PAGE)) == "Real & true First bold é! line two Second par a b one two"
 
 
+def test_comments_are_not_articles():
+    page = "<article class='post comments-open'><p>Text</p></article><article class='comment by-ann'><p>Nice</p></article>"
+    assert X.main_text(X.parse(page)) == "Text"
+
+
 def test_pages_without_article_lose_their_template(spark):
     rows = [(i, "http://h.net/%d" % i, f"<body><div class=x>Welcome to us</div><p>Text number {i}.</p><p>Same words</p>"
              f"<div class=y>Call <b>now</b></div>") for i in range(6)]

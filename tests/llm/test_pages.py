@@ -118,6 +118,15 @@ def test_broken_markup(html):
     X.site_subtrees(X.parse(html))
 
 
+@pytest.mark.parametrize("odd", ["<![ endif]-->", "<![foo[x]]>", "<![endif]-->", "<![if !x]>", "<![]>", "<![CDATA[x>", "<![1]>", "<!>",
+                                 "<![ endif]><![foo[x]]>", "<svg><![CDATA[</svg>]]></svg>", "&#" + "9" * 6000 + ";"])
+def test_text_behind_malformed_sections(odd):
+    root = X.parse(f"<article><p>one</p>{odd}<p>two &#{'0' * 2000}65;</p></article><div>three</div>")
+    words = X.main_text(root).split()
+    assert words[0] == "one" and words[-2:] == ["two", "A"]
+    assert len(X.site_subtrees(root)) == 1
+
+
 def test_html_query(spark):
     rows = {r.page_id: r for r in Q.op2_html(spark, SF).collect()}
     for p in spark.read.parquet(f"{SF}/pages.parquet").collect():

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import key_runs, prepare, stage
@@ -59,19 +59,23 @@ def simhash64(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 n: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(id, fp)``: one row per row of ``docs``, ``fp`` as a signed 64-bit integer."""
+                 n: int = SHINGLE, seed: int = SEED, keys: tuple[Column, ...] = ()) -> DataFrame:
+    """``(id, fp)``: one row per row of ``docs``, ``fp`` as a signed 64-bit integer; the
+    bigint columns ``keys`` come along as ``k0, k1, ...``."""
     prepare(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
         for b in batches:
             fp = np.array([simhash64(t, n, seed) for t in b["text"].to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(fp.view(np.int64)), *[b[k] for k in names]],
+                                             names=["id", "fp", *names])
 
+    names = [f"k{i}" for i in range(len(keys))]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       *[k.alias(x) for k, x in zip(keys, names)]).mapInArrow(
+        run, ", ".join([f"id {kind}", "fp bigint", *[f"{x} bigint" for x in names]]))
 
 
 def _forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -205,23 +209,45 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        tile: int = TILE, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``(id, fp, component_id)`` per row: ``component_id`` is the smallest id reachable
     over links of at most ``radius`` differing bits, the row itself included."""
-    fps = stage(fingerprints(docs, id_col, text_col, n, seed), "simhash_fp")
+    return _rooted(docs, id_col, text_col, n, seed, radius, tile, max_bucket).select("id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE,
+            seed: int = SEED, radius: int = RADIUS, tile: int = TILE, max_bucket: int = MAX_BUCKET,
+            keys: tuple[Column, ...] = ()) -> DataFrame:
+    """``simhash_components`` with the component itself, ``root``, and the columns ``keys``."""
+    fps = stage(fingerprints(docs, id_col, text_col, n, seed, keys), "simhash_fp")
     classes = stage(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash_class")
     roots = components(links(classes, radius, tile, max_bucket))
     rooted = classes.join(roots, classes.fp == roots.u, "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root"))
     lead = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(rooted.join(lead, "root").select("fp", "component_id"), "simhash_named")
-    return fps.join(named, "fp").select("id", "fp", "component_id")
+    named = stage(rooted.join(lead, "root").select("fp", "root", "component_id"), "simhash_named")
+    return fps.join(named, "fp")
+
+
+def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns: rows that differ in any have other keys.  A hash
+    skips nulls, so each column's null flag is hashed with it."""
+    parts = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return tuple(F.xxhash64(F.lit(i), *parts) for i in range(2))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """One document of each component stays: the one with the smallest id, and of repeated
-    rows with that id the smallest in the other columns.  A row with a null id stays only
-    if no id of its component is known (one such row for all of them).  All columns stay."""
-    found = simhash_components(docs, id_col, **kw)
-    heads = found.where("id <=> component_id").select(F.col("id").alias("_head")).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]), "left_semi")
-    w = Window.partitionBy(id_col).orderBy(*[c for c in docs.columns if c != id_col])
-    return (kept.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
-            .select(*docs.columns))
+    """One row of each component stays: the one with the smallest id (a null id only if no id
+    of the component is known), and of several rows with it the smallest in the other columns.
+    Components are told apart by themselves, not by their id: each component of null ids keeps
+    a row, and so does each that a repeated id stands in.  All columns stay."""
+    keyed = docs.withColumns(dict(zip(("_k0", "_k1"), _row_keys(docs))))
+    found = _rooted(docs, id_col, keys=_row_keys(docs), **kw).where("id <=> component_id")
+    # Rows with their component's id, repeated ones once; mostly one a component.
+    first = stage(found.groupBy("root", "k0", "k1").agg(F.lit(1).alias("one")), "simhash_first")
+    sizes = first.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k0", "k1")).alias("k"))
+    single = sizes.where("n = 1").select(F.col("k.k0").alias("_k0"), F.col("k.k1").alias("_k1"))
+    tied = first.join(sizes.where("n > 1").select("root"), "root", "left_semi").select(
+        "root", F.col("k0").alias("_k0"), F.col("k1").alias("_k1"))
+    rest = [c for c in docs.columns if c != id_col]
+    won = (keyed.join(tied, ["_k0", "_k1"]).groupBy("root")
+           .agg(F.min(F.struct(*rest, "_k0", "_k1")).alias("w")).select("w._k0", "w._k1"))
+    heads = stage(single.unionByName(won), "simhash_heads")
+    return keyed.join(heads, ["_k0", "_k1"], "left_semi").dropDuplicates(["_k0", "_k1"]).select(*docs.columns)

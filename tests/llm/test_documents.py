@@ -97,6 +97,17 @@ def test_simhash_edges(spark):
     assert H.simhash_components(edge.empty(spark)).count() == 0
 
 
+def test_keep_one_goes_by_component(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(40)) for _ in range(8)]
+    rows = [(None, t, "s") for t in texts[:5]] * 2 + [(1, texts[5], "s"), (5, texts[5], "s"), (5, texts[6], "s"),
+                                                      (None, texts[6], "s"), (8, texts[7], "t"), (8, texts[7], "r"), (8, texts[7], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in H.keep_one(df).collect()]
+    want = [(None, t, "s") for t in texts[:5]] + [(1, texts[5], "s"), (5, texts[6], "s"), (8, texts[7], None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     assert {r.u: r.root for r in components(e).collect()} == {**{i: 0 for i in range(1, 201)}, 501: 500}

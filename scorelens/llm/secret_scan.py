@@ -5,8 +5,11 @@ Base kinds (leftmost, non-overlapping, then filtered by length): ``assign``, ``a
 characters with a letter and a digit; each belongs to the narrowest character class that
 holds it, and the Shannon entropy of every window of ``WINDOW`` characters is kept up by
 counts that change by one character in and one out.  A candidate is a secret when its best
-window reaches the class's threshold, unless an allow-list pattern matches it.  Base
-spans are never suppressed, and an entropy span may overlap one.
+window reaches the class's threshold.  The allow-list frees stretches, not candidates: no
+window may touch a stretch of a known sequence or of one repeated character, or a path
+segment (between slashes) that holds a placeholder word; what is left is judged.  Only a
+UUID is freed as a whole.  Base spans are never suppressed, and an entropy span may overlap
+one.
 
 Null texts count as empty; repeated rows each give their row; an empty table gives none;
 other columns are kept.  Positions are code points, the end exclusive.  Only built-in
@@ -41,6 +44,8 @@ ALLOW = (
     r"(?i)abcdefgh|01234567|12345678|(.)\1{5}",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
 )
+# What is cut out of a candidate; a segment is tried from its start only, so long ones stay linear.
+FREED = rf"(?<![^/])[^/]*(?:{ALLOW[0]})[^/]*|(?:{ALLOW[1]})"
 
 
 def _placed(text: Column, pattern: str, checked: Column | None = None) -> Column:
@@ -67,36 +72,37 @@ def best_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
     """Largest Shannon entropy (bits) of any window of the string; counts per character
     and the sum of n log2 n change by the character that enters and the one that leaves."""
     f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
-    at = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    n = F.size(at)
     zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("s"),
                     F.lit(0.0).alias("best"))
 
-    def step(a, i):
-        new = F.get(at, i)
-        old = F.coalesce(F.get(at, i - window), F.lit(-1))
-        c_new, c_old = F.get(a["n"], new), F.get(a["n"], old)
-        s = F.when(new == old, a["s"]).otherwise(
-            a["s"] + F.get(f, c_new + 1) - F.get(f, c_new)
-            - F.coalesce(F.get(f, c_old) - F.get(f, c_old - 1), F.lit(0.0)))
-        counts = F.transform(a["n"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int"))
-        best = F.when(i >= window - 1, F.greatest(a["best"], F.lit(math.log2(window)) - s / window)).otherwise(a["best"])
-        return F.struct(counts.alias("n"), s.alias("s"), best.alias("best"))
-
-    return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["best"])
+    def over(at):
+        def step(a, i):
+            new = F.get(at, i)
+            old = F.coalesce(F.get(at, i - window), F.lit(-1))
+            c_new, c_old = F.get(a["n"], new), F.get(a["n"], old)
+            s = F.when(new == old, a["s"]).otherwise(
+                a["s"] + F.get(f, c_new + 1) - F.get(f, c_new)
+                - F.coalesce(F.get(f, c_old) - F.get(f, c_old - 1), F.lit(0.0)))
+            counts = F.transform(a["n"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int"))
+            best = F.when(i >= window - 1, F.greatest(a["best"], F.lit(math.log2(window)) - s / window)).otherwise(a["best"])
+            return F.struct(counts.alias("n"), s.alias("s"), best.alias("best"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), zero, step, lambda a: a["best"])
+
+    # A one-element array binds the characters' places once for all steps.
+    at = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    return F.get(F.transform(F.array(at), over), 0)
 
 
 def is_high_entropy(value: Column, window: int = WINDOW) -> Column:
-    """True for a candidate whose class's threshold is reached and no allow pattern fits."""
+    """True for a candidate of which a window outside the freed stretches reaches its class's threshold."""
+    pieces = F.filter(F.split(value, FREED, -1), lambda p: F.char_length(p) >= window)
     verdict = None
     for _, alphabet, limit in reversed(CLASSES):
         fits = F.translate(value, alphabet, "") == ""
-        here = best_entropy(value, alphabet, window) >= limit
+        here = F.exists(pieces, lambda p: best_entropy(p, alphabet, window) >= limit)  # noqa: B023
         verdict = F.when(fits, here) if verdict is None else F.when(fits, here).otherwise(verdict)
-    allowed = F.lit(False)
-    for p in ALLOW:
-        allowed = allowed | value.rlike(p)
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~allowed & F.coalesce(verdict, F.lit(False))
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(ALLOW[2]) & F.coalesce(verdict, F.lit(False))
 
 
 SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"

@@ -249,6 +249,20 @@ def test_secrets_are_brute_force(spark, docs):
     assert {k for s in got.values() for _, _, k, _ in s} == set(S.KINDS)
 
 
+KEY = "Xy7Kp2Lm9Qr4Tv6Wz8Bn3Cd5Fg1Hj0"
+FREE = [("b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAABlwAAAAdzc2gtcn" + KEY, True), (f"/data/sample-bucket/{KEY}", True),
+        (f"my_example_dir/{KEY}", True), (f"{KEY}12345678{KEY}", True), (f"{KEY}/changeme", True), (f"a/example_{KEY}/b", False),
+        ("Xy7Kp2Lm9QrAAAAAA4Tv6Wz8Bn3C12345678d5Fg1Hj0", False), ("123e4567-e89b-12d3-a456-426614174000", False)]
+
+
+def test_harmless_stretches_free_only_themselves(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FREE)], "doc_id long, text string")
+    got = {r.doc_id: ("entropy", 0, len(FREE[r.doc_id][0])) in {(s.kind, s.start, s.stop) for s in r.spans} for r in S.scan(df).collect()}
+    assert got == {i: hit for i, (_, hit) in enumerate(FREE)}
+    long_run = "Xy7Kp2Lm9Qr4Tv6W" * 2000  # no slash and no word: one pass
+    assert S.scan(spark.createDataFrame([(1, long_run)], "doc_id long, text string")).first().spans
+
+
 def test_secret_query_digest(spark, docs):
     for r in Q.op8_secrets(spark, SF).join(docs.select("doc_id", "text"), "doc_id").collect():
         spans = plain_spans(r.text)

@@ -10,12 +10,16 @@ The draw is a hash of seed and id: the same for any partitioning or restart.
 Null sources and languages form the value ``(null)``; null or empty texts have no tokens,
 weight 0 and stay out; repeated rows are drawn alike; a target value without tokens is left
 out and the rest rescaled; a value without a target gets weight 0; empty tables give no
-rows; other columns are kept.  Only built-in functions are used; with ``tol`` one number
-(the largest margin error) reaches the driver in each round, which may then stop early.
+rows; other columns are kept.  Only built-in functions are used; one number (the largest
+margin error) reaches the driver after every ``ROUNDS`` rounds.  Raking ends when it is at most
+``TOL``.  Margins that contradict each other have no solution: there it ends when the error has
+stopped falling.  An error that stays, there or after the last round, is told in a warning.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,10 @@ from .common import prepare, stage
 
 DIMS = ("source", "lang", "topic")
 TEMPER = 0.7   # default target: share ** TEMPER, rescaled
-ROUNDS = 6      # the margins meet their targets to about 1e-6 of the tokens
+ROUNDS = 6      # between two looks at the margins; well-mixed cells need no more
+MAX_ROUNDS = 1200
+TOL = 1e-9      # largest difference of a margin's share from its target
+STALLED = 1e-3  # relative change of the error in ROUNDS rounds below which it no longer falls
 SEED = 17
 
 
@@ -69,8 +76,9 @@ def tempered_targets(cells: DataFrame, temper: float = TEMPER) -> DataFrame:
     return total
 
 
-def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tol: float | None = None) -> DataFrame:
-    """``cells`` ``(source, lang, topic, tokens)`` with ``share``, raked to the margins."""
+def rake(cells: DataFrame, targets: DataFrame, rounds: int = MAX_ROUNDS, tol: float = TOL) -> DataFrame:
+    """``cells`` ``(source, lang, topic, tokens)`` with ``share``, raked to the margins in at
+    most ``rounds`` rounds."""
     margins = {}
     for d in DIMS:
         there = cells.where("tokens > 0").groupBy(F.col(d).alias("value")).agg(F.lit(1).alias("one"))
@@ -86,12 +94,20 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = ROUNDS, tol: float
             d, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("f"))
         return df.join(factor, d).withColumn("share", F.col("share") * F.col("f")).drop("f")
 
-    for _ in range(rounds):
+    last = float("inf")
+    for i in range(1, rounds + 1):
         for d in DIMS:
             cur = fitted(cur, d)
         cur = stage(cur, "mix_cells")  # short plans: a round's joins and sums
-        if tol is not None and margin_error(cur, margins) <= tol:
-            break
+        if i % ROUNDS == 0 or i == rounds:
+            error = margin_error(cur, margins)
+            if error <= tol:
+                return cur
+            if i == rounds or abs(last - error) <= STALLED * error:
+                warnings.warn(f"the margins do not meet their targets: largest error {error:.3g} after {i} rounds",
+                              RuntimeWarning, stacklevel=2)
+                return cur
+            last = error
     return cur
 
 
@@ -106,7 +122,7 @@ def margin_error(cells: DataFrame, margins: dict[str, DataFrame]) -> float:
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id",
-        rate: float = 1.0, rounds: int = ROUNDS, tol: float | None = None, seed: int = SEED,
+        rate: float = 1.0, rounds: int = MAX_ROUNDS, tol: float = TOL, seed: int = SEED,
         temper: float = TEMPER, keep_all: bool = False, **cols) -> DataFrame:
     """The sampled rows of ``docs`` with ``_source, _lang, _topic, _tokens, weight,
     probability, sample_weight``; ``keep_all`` returns every row and adds ``sampled``.

@@ -58,8 +58,9 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled documents with their cell, raked weight and probability."""
-    out = mixing.mix(read_table(spark, sf_dir, "documents"))
+    """The sampled documents with their cell, raked weight and probability, after as many rounds
+    as the query's SQL has; the margins' remaining error is told if it is above the tolerance."""
+    out = mixing.mix(read_table(spark, sf_dir, "documents"), rounds=mixing.ROUNDS)
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"),
                       F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
                       "weight", "probability")

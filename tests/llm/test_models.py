@@ -186,6 +186,27 @@ def test_raked_margins_meet_their_targets(spark):
     assert [r.share for r in rows if r.source == "c"] == [0.0]
 
 
+def test_production_raking_meets_targets_of_nearly_one_language_sources(spark):
+    rows = [(s, lang, t, (1000.0 if i % 3 == j else 100.0) * (5 if i % 2 == k else 1) * (50 if i == 0 else 1))
+            for i, s in enumerate("abcdef") for j, lang in enumerate("xyz") for k, t in enumerate("pq")]
+    base = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    out = M.rake(base, M.tempered_targets(base)).collect()
+    for at, d in enumerate(M.DIMS):
+        sums = {v: sum(r[3] for r in rows if r[at] == v) ** M.TEMPER for v in {r[at] for r in rows}}
+        for v, s in sums.items():
+            assert sum(r.share for r in out if r[d] == v) == pytest.approx(s / sum(sums.values()), abs=1e-7)
+
+
+def test_raking_tells_what_it_cannot_meet(spark):
+    one = spark.createDataFrame([("a", "x", "p", 9.0), ("b", "y", "p", 1.0)], "source string, lang string, topic string, tokens double")
+    t = spark.createDataFrame([("source", "a", 0.5), ("source", "b", 0.5), ("lang", "x", 0.8), ("lang", "y", 0.2), ("topic", "p", 1.0)],
+                              "dim string, value string, share double")
+    with pytest.warns(RuntimeWarning, match="0.3"):
+        M.rake(one, t)
+    with pytest.warns(RuntimeWarning, match="after 1 rounds"):
+        M.rake(cells(spark), t, rounds=1)
+
+
 def test_mixing_query_is_its_sql(spark):
     df = Q.op5_mixing(spark, SF)
     res = duck(SF).execute(Q.oracle_sql()["op5_mixing"])

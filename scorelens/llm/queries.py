@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (decontaminate, fingerprint, html_extract, lm_score, mixing, quality, repeats,
-               secret_scan, simhash, url_filter)
+from . import (collocations, decontaminate, fingerprint, html_extract, lm_score, mixing, negatives,
+               quality, repeats, secret_scan, simhash, url_filter)
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@_register
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best 2,000 phrases of two to four words."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and each of its positives."""
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

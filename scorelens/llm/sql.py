@@ -61,3 +61,46 @@ FROM e JOIN w USING (source, lang, topic) WHERE u < weight AND n_tokens > 0"""
 
 
 SQL["op5_mixing"] = _mixing_sql()
+
+# Every phrase of one to four words counted; HUGEINT keeps the products exact.
+SQL["op11_phrases"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, w[k:k + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k
+                                               FROM w, (VALUES (1), (2), (3), (4)) AS v(m) WHERE len(w) >= m)),
+f AS MATERIALIZED (SELECT lang, m, p, count(*) AS f FROM (SELECT lang, m, array_to_string(g, ' ') AS p FROM g)
+                  GROUP BY ALL HAVING m = 1 OR count(*) >= 30),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, p, f AS a, string_split(p, ' ') AS w FROM f WHERE m > 1),
+cut AS MATERIALIZED (SELECT lang, p, a, k, array_to_string(w[:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp
+                    FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+scored AS (SELECT cut.*, l.f AS l, r.f AS r, 2000000::HUGEINT * a // (l.f + r.f) AS score
+           FROM cut JOIN f l ON l.lang = cut.lang AND l.p = lp JOIN f r ON r.lang = cut.lang AND r.p = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+held AS (SELECT lang, p, max(a) AS most FROM (
+             SELECT lang, a, array_to_string(w[:m - 1], ' ') AS p FROM c
+             UNION ALL SELECT lang, a, array_to_string(w[2:], ' ') AS p FROM c) GROUP BY ALL),
+kept AS (SELECT best.*, best.p AS phrase FROM best LEFT JOIN held USING (lang, p)
+         WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+# The products are whole numbers below 2**53, so sums of doubles are exact.
+SQL["op12_negatives"] = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id AS id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v,
+                  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+s AS MATERIALIZED (SELECT a.r AS ar, a.id AS anchor_id, e.r, e.id, a.label = e.label AS same,
+                          list_inner_product(a.v, e.v)::BIGINT AS score
+                   FROM e a JOIN e ON a.r <> e.r WHERE a.id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import (collocations, decontaminate, fingerprint, html_extract, lm_score, mixing, negatives,
-               quality, repeats, secret_scan, simhash, url_filter)
+               quality, quality_rules, repeats, secret_scan, simhash, url_filter)
 from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,14 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
 
 
+@_register
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base figures and the cascade's verdict."""
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

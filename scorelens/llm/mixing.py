@@ -7,13 +7,20 @@ with probability ``min(1, rate * weight)`` and carries ``sample_weight = weight
 probability``, so that the weighted tokens of the sample meet the targets in expectation.
 The draw is a hash of seed and id: the same for any partitioning or restart.
 
+Cells are grouped to one row per source; languages and topics are few (``MAX_PAIRS`` pairs of
+them at most, else ``ValueError``), so their factors are numbers in the plan.  A round is one job:
+each source's factor follows from its own row, and what all sources then hold of each
+(language, topic) is summed.  These sums give the other two factors and the error, so every
+round has the same small plan and nothing is written; sources may be any number.
+
 Null sources and languages form the value ``(null)``; null or empty texts have no tokens,
 weight 0 and stay out; repeated rows are drawn alike; a target value without tokens is left
 out and the rest rescaled; a value without a target gets weight 0; empty tables give no
-rows; other columns are kept.  Only built-in functions are used; one number (the largest
-margin error) reaches the driver after every ``ROUNDS`` rounds.  Raking ends when it is at most
-``TOL``.  Margins that contradict each other have no solution: there it ends when the error has
-stopped falling.  An error that stays, there or after the last round, is told in a warning.
+rows; other columns are kept, but for those named like an added one (``ADDED``).  Only
+built-in functions are used.  Raking ends when the largest difference of a margin from its
+target is at most ``TOL``.  Margins that contradict each other have no solution: there it ends
+when the error has stopped falling.  An error that stays is told in a warning and stands in the
+column ``margin_error``.
 """
 
 from __future__ import annotations
@@ -27,11 +34,14 @@ from .common import prepare, stage
 
 DIMS = ("source", "lang", "topic")
 TEMPER = 0.7   # default target: share ** TEMPER, rescaled
-ROUNDS = 6      # between two looks at the margins; well-mixed cells need no more
-MAX_ROUNDS = 1200
-TOL = 1e-9      # largest difference of a margin's share from its target
-STALLED = 1e-3  # relative change of the error in ROUNDS rounds below which it no longer falls
+MAX_ROUNDS = 2000
+TOL = 1e-11     # largest difference of a margin's share from its target
+STALLED = 1e-3  # relative change of the error in LOOK rounds below which it no longer falls
+LOOK = 6
+INNER = 50      # fits of languages and topics to one round's sums
+MAX_PAIRS = 100_000  # languages times topics
 SEED = 17
+ADDED = ("_source", "_lang", "_topic", "_tokens", "_u", "weight", "probability", "sample_weight", "sampled", "margin_error")
 
 
 def n_tokens(text: Column) -> Column:
@@ -76,65 +86,101 @@ def tempered_targets(cells: DataFrame, temper: float = TEMPER) -> DataFrame:
     return total
 
 
-def rake(cells: DataFrame, targets: DataFrame, rounds: int = MAX_ROUNDS, tol: float = TOL) -> DataFrame:
-    """``cells`` ``(source, lang, topic, tokens)`` with ``share``, raked to the margins in at
-    most ``rounds`` rounds."""
-    margins = {}
-    for d in DIMS:
-        there = cells.where("tokens > 0").groupBy(F.col(d).alias("value")).agg(F.lit(1).alias("one"))
-        t = targets.where(F.col("dim") == d).groupBy("value").agg(F.sum("share").alias("share")).join(there, "value")
-        one = t.agg(F.sum("share")).scalar()
-        margins[d] = stage(t.select(F.col("value").alias(d), (F.col("share") / one).alias("target")), "mix_margin")
-    whole = cells.agg(F.sum("tokens").cast("double")).scalar()
-    cur = cells.select(*DIMS, "tokens", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("share"))
-
-    def fitted(df, d):
-        now = df.groupBy(d).agg(F.sum("share").alias("now"))
-        factor = now.join(margins[d], d, "left").select(
-            d, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("f"))
-        return df.join(factor, d).withColumn("share", F.col("share") * F.col("f")).drop("f")
-
-    last = float("inf")
+def _margin(there: DataFrame, targets: DataFrame, d: str) -> DataFrame:
+    """``(value, target)`` of the values that have tokens, rescaled to one."""
+    own = targets.where(F.col("dim") == d).groupBy("value").agg(F.sum("share").alias("share"))
+    own = there.groupBy(F.col(d).alias("value")).agg(F.lit(1).alias("one")).join(own, "value", "left")
+    one = own.agg(F.sum("share")).first()[0]
+    return own.select("value", F.coalesce(F.col("share") / F.lit(one or 1.0), F.lit(0.0)).alias("target"))
+
+
+def _fit(sums: dict[tuple[int, int], float], target: list[float], at: int, other: list[float]) -> list[float]:
+    """The factors of one margin of the (language, topic) sums, given the other's."""
+    now = [0.0] * len(target)
+    for pair, x in sums.items():
+        now[pair[at]] += x * other[pair[1 - at]]
+    return [t / x if x > 0 else 0.0 for t, x in zip(target, now)]
+
+
+def _gap(sums, factors, targets) -> float:
+    """Largest difference of the languages' and topics' shares from their targets."""
+    now = [[0.0] * len(t) for t in targets]
+    for (l, t), x in sums.items():
+        x *= factors[0][l] * factors[1][t]
+        now[0][l] += x
+        now[1][t] += x
+    return max(abs(x - y) for n, t in zip(now, targets) for x, y in zip(n, t))
+
+
+def rake(cells: DataFrame, targets: DataFrame, rounds: int = MAX_ROUNDS, tol: float = TOL) -> tuple[DataFrame, float]:
+    """``cells`` ``(source, lang, topic, tokens)`` with ``share``, raked to the margins in at most
+    ``rounds`` rounds, and the largest error that stays."""
+    there = cells.where("tokens > 0")
+    whole = there.agg(F.sum("tokens").cast("double")).first()[0]
+    if not whole:
+        return cells.withColumn("share", F.lit(0.0)), 0.0
+    small = [_margin(there, targets, d).orderBy("value").limit(MAX_PAIRS + 1).collect() for d in DIMS[1:]]
+    if len(small[0]) * len(small[1]) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of language and topic")
+    names = [F.lit([r["value"] for r in m]) for m in small]
+    wanted = [[r["target"] for r in m] for m in small]
+    cell = F.struct(*[(F.array_position(n, F.col(d)) - 1).cast("int").alias(d) for n, d in zip(names, DIMS[1:])],
+                    "tokens", (F.col("tokens") / F.lit(whole)).alias("base"))
+    rows = there.groupBy("source").agg(F.collect_list(cell).alias("cells"))
+    rows = stage(rows.join(_margin(there, targets, "source").withColumnRenamed("value", "source"), "source"), "mix_sources")
+    factors = [[1.0] * len(w) for w in wanted]
+
+    def raked():
+        """Every cell with its share: its source's factor makes the source's sum the target."""
+        lang, topic = (F.lit(f) for f in factors)
+
+        def part(x):
+            return x["base"] * F.element_at(lang, x["lang"] + 1) * F.element_at(topic, x["topic"] + 1)
+
+        mass = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + part(x))
+        a = F.when(mass > 0, F.col("target") / mass).otherwise(0.0)
+        out = rows.select("source", a.alias("a"), F.explode("cells").alias("x"))
+        return out.select("source", "x", (F.col("a") * part(F.col("x"))).alias("share"), "a")
+
+    last, error, i = float("inf"), float("inf"), 0
     for i in range(1, rounds + 1):
-        for d in DIMS:
-            cur = fitted(cur, d)
-        cur = stage(cur, "mix_cells")  # short plans: a round's joins and sums
-        if i % ROUNDS == 0 or i == rounds:
-            error = margin_error(cur, margins)
-            if error <= tol:
-                return cur
-            if i == rounds or abs(last - error) <= STALLED * error:
-                warnings.warn(f"the margins do not meet their targets: largest error {error:.3g} after {i} rounds",
-                              RuntimeWarning, stacklevel=2)
-                return cur
+        sums = {(r[0], r[1]): r[2] for r in raked().groupBy("x.lang", "x.topic").agg(
+            F.sum(F.col("a") * F.col("x.base"))).collect()}
+        error = _gap(sums, factors, wanted)
+        if error <= tol or i == rounds:
+            break
+        if i % LOOK == 0:
+            if abs(last - error) <= STALLED * error:
+                break
             last = error
-    return cur
-
-
-def margin_error(cells: DataFrame, margins: dict[str, DataFrame]) -> float:
-    """Largest difference of a margin's share from its target."""
-    gaps = None
-    for d in DIMS:
-        gap = (cells.groupBy(d).agg(F.sum("share").alias("now")).join(margins[d], d, "left")
-               .select(F.abs(F.col("now") - F.coalesce("target", F.lit(0.0))).alias("e")))
-        gaps = gap if gaps is None else gaps.unionByName(gap)
-    return gaps.agg(F.max("e")).first()[0] or 0.0
+        for _ in range(INNER):
+            factors[0] = _fit(sums, wanted[0], 0, factors[1])
+            factors[1] = _fit(sums, wanted[1], 1, factors[0])
+            if _gap(sums, factors, wanted) <= tol / 2:
+                break
+    if error > tol:
+        warnings.warn(f"the margins do not meet their targets: largest error {error:.3g} after {i} rounds",
+                      RuntimeWarning, stacklevel=2)
+    found = raked().select("source", *[F.element_at(n, F.col(f"x.{d}") + 1).alias(d) for n, d in zip(names, DIMS[1:])],
+                           "x.tokens", "share")
+    return found.unionByName(cells.where("NOT tokens > 0").withColumn("share", F.lit(0.0))), error
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id",
         rate: float = 1.0, rounds: int = MAX_ROUNDS, tol: float = TOL, seed: int = SEED,
         temper: float = TEMPER, keep_all: bool = False, **cols) -> DataFrame:
     """The sampled rows of ``docs`` with ``_source, _lang, _topic, _tokens, weight,
-    probability, sample_weight``; ``keep_all`` returns every row and adds ``sampled``.
+    probability, sample_weight, margin_error``; ``keep_all`` returns every row and adds ``sampled``.
     ``targets`` is ``(dim, value, share)`` with ``dim`` in source, lang, topic."""
     if not rate > 0:
         raise ValueError("rate must be positive")
     prepare(docs.sparkSession)
-    noted = annotate(docs, id_col, seed=seed, **cols)
+    kept = [c for c in docs.columns if c not in ADDED]
+    noted = annotate(docs.select(*kept), id_col, seed=seed, **cols)
     cells = stage(noted.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(
         F.sum("_tokens").alias("tokens")), "mix_base")
-    raked = rake(cells, tempered_targets(cells, temper) if targets is None else targets, rounds, tol)
-    whole = raked.agg(F.sum("tokens").cast("double")).scalar()
+    raked, error = rake(cells, tempered_targets(cells, temper) if targets is None else targets, rounds, tol)
+    whole = cells.agg(F.sum("tokens").cast("double")).scalar()
     weighed = raked.select(
         *[F.col(d).alias(f"_{d}") for d in DIMS],
         F.when(F.col("tokens") > 0, F.round(F.col("share") * whole / F.col("tokens"), 6))
@@ -144,5 +190,6 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id
     drawn = (F.col("_u") < F.col("probability")) & (F.col("_tokens") > 0)
     out = out.withColumn("sample_weight", F.when(F.col("probability") > 0, F.col("weight") / F.col("probability")))
     out = out.withColumn("sampled", drawn) if keep_all else out.where(drawn)
-    own = [*docs.columns, *[f"_{d}" for d in DIMS], "_tokens", "weight", "probability", "sample_weight"]
+    out = out.withColumn("margin_error", F.lit(float(error)))
+    own = [*kept, *[f"_{d}" for d in DIMS], "_tokens", "weight", "probability", "sample_weight", "margin_error"]
     return out.select(*own, *(["sampled"] if keep_all else []))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import DIMS, ROUNDS, SEED, TEMPER
+from .mixing import DIMS, SEED, TEMPER, TOL
 
 SQL: dict[str, str] = {}
 
@@ -39,23 +39,26 @@ e AS (SELECT doc_id, source, lang, n_tokens, u, CASE
 c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM e GROUP BY ALL)"""]
     for x in DIMS:
         parts.append(f"""
-m_{x} AS MATERIALIZED (SELECT {x}, g / sum(g) OVER () AS target FROM (
+m_{x} AS MATERIALIZED (SELECT {x}, g / sum(g) OVER () AS t_{x} FROM (
     SELECT {x}, pow(sum(tokens), {TEMPER}) AS g FROM c GROUP BY {x} HAVING sum(tokens) > 0))""")
-    parts.append("""
-s0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens / (SELECT sum(tokens) FROM c) AS share FROM c)""")
-    k = 0
-    for _ in range(ROUNDS):
-        for x in DIMS:
-            parts.append(f"""
-s{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens,
-    CASE WHEN sum(share) OVER (PARTITION BY s{k}.{x}) > 0
-         THEN share * coalesce(target, 0) / sum(share) OVER (PARTITION BY s{k}.{x}) ELSE 0 END AS share
-    FROM s{k} LEFT JOIN m_{x} USING ({x}))""")
-            k += 1
+    sums = ", ".join(f"sum(share) OVER (PARTITION BY {x}) AS s_{x}" for x in DIMS)
+    gap = ", ".join(f"abs(s_{x} - t_{x})" for x in DIMS)
+    step = f"(SELECT *, max(greatest({gap})) OVER () AS gap FROM (SELECT *, {sums} FROM it))"
+    keep = ", ".join(("i", *DIMS, "tokens", *[f"t_{x}" for x in DIMS]))
+    for k, x in enumerate(DIMS):
+        where = f" WHERE gap > {TOL}" if k == 0 else ""
+        step = (f"(SELECT {keep}, CASE WHEN n > 0 THEN share * t_{x} / n ELSE 0 END AS share FROM (SELECT *, "
+                f"sum(share) OVER (PARTITION BY {x}) AS n FROM {step}{where}))")
     parts.append(f"""
+it AS (SELECT 0 AS i, {", ".join(DIMS)}, tokens, {", ".join(f"coalesce(t_{x}, 0) AS t_{x}" for x in DIMS)},
+              tokens / (SELECT sum(tokens) FROM c) AS share
+       FROM c {" ".join(f"LEFT JOIN m_{x} USING ({x})" for x in DIMS)}
+       UNION ALL SELECT {keep.replace("i, ", "i + 1, ", 1)}, share FROM {step})""")
+    parts.append("""
 w AS (SELECT source, lang, topic, CASE WHEN tokens > 0
-        THEN round(share * (SELECT sum(tokens) FROM c) / tokens, 6) ELSE 0 END AS weight FROM s{k})""")
-    return "WITH " + ",".join(parts) + """
+        THEN round(share * (SELECT sum(tokens) FROM c) / tokens, 6) ELSE 0 END AS weight
+      FROM it WHERE i = (SELECT max(i) FROM it))""")
+    return "WITH RECURSIVE " + ",".join(parts) + """
 SELECT doc_id, source, lang, topic, n_tokens, weight, least(weight, 1.0) AS probability
 FROM e JOIN w USING (source, lang, topic) WHERE u < weight AND n_tokens > 0"""
 

@@ -19,7 +19,8 @@ Null or empty texts have no words and are judged by metadata; null sources, lang
 lengths are values of their own; a document with several labels takes the least quality and
 the greatest toxicity; null labels and ids label nothing; repeated rows score alike; without
 labels of both classes of a target its probability is the prior (one half without any
-label); empty tables give no rows; other columns are kept.
+label); empty tables give no rows; other columns are kept, but for those named like an added
+one (``ADDED``).
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import prefix_hashes, prepare, span_hashes, stage
 
+ADDED = ("quality_score", "toxic_score", "keep")
 TEXT_BITS = 18
 META_BITS = 12
 TARGETS = ("quality", "toxic")
@@ -311,7 +313,8 @@ def score(docs: DataFrame, model: Model, text_col="text", source_col="source", l
     """``docs`` with ``quality_score``, ``toxic_score`` and ``keep``."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    names = [f"_{i}" for i in range(4)]
+    names = [f"__view{i}" for i in range(4)]
+    own = [c for c in docs.columns if c not in ADDED]
 
     def run(batches):
         import pyarrow as pa
@@ -321,9 +324,9 @@ def score(docs: DataFrame, model: Model, text_col="text", source_col="source", l
             keep = (p[:, 0] >= min_quality) & (p[:, 1] < max_toxic)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-4], pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(keep)],
-                names=[*batch.schema.names[:-4], "quality_score", "toxic_score", "keep"])
+                names=[*own, *ADDED])
 
-    given = docs.select("*", *[F.col(c).cast(t).alias(n) for c, t, n in zip(
+    given = docs.select(*own, *[F.col(c).cast(t).alias(n) for c, t, n in zip(
         (text_col, source_col, lang_col, chars_col), ("string", "string", "string", "double"), names)])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in own)
     return given.mapInArrow(run, f"{kinds}, quality_score double, toxic_score double, keep boolean")

@@ -20,8 +20,9 @@ anywhere else (another document or the same one); strings never cross documents.
    row per window, so no task holds the group.  The result is the same.
 
 Null and empty texts and those shorter than ``length`` have no repeats; repeated rows repeat
-each other; null ids are compared as equal, with a hash of the text telling rows apart; an
-empty table gives no rows; other columns are ignored.
+each other; an empty table gives no rows; other columns are ignored.  Rows are known by 96
+bits, ``k`` (hash of id, its being null, and text) and ``t`` (another hash of the text), so null and
+repeated ids are told apart by their texts; equal rows share a key and are fetched once.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGT
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(id, t, pos, l, r, h, c)``: every anchor with the hash of its context."""
+    """``(k, t, pos, l, r, h, c)``: every anchor with the hash of its context."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
@@ -145,18 +146,16 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     own.append(x)
             if take:
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].take(pa.array(np.concatenate(take))), *[pa.array(np.concatenate(x)) for x in cols]],
-                    names=["id", "t", "pos", "l", "r", "h", "c"])
+                    [batch["k"].take(pa.array(np.concatenate(take))), *[pa.array(np.concatenate(x)) for x in cols]],
+                    names=["k", "t", "pos", "l", "r", "h", "c"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, t int, pos int, l smallint, r smallint, h bigint, c bigint")
+    return docs.select("k", "t", "text").mapInArrow(run, "k bigint, t int, pos int, l smallint, r smallint, h bigint, c bigint")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(h, c, l, x)``: the bytes ``x`` of the wanted contexts, fetched from their texts."""
-    lists = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "c", "pos", "l", "r")).alias("want"))
-    w = lists.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "want")
-    found = docs.join(w, docs["id"].eqNullSafe(w["_id"]) & (docs["t"] == w["_t"])).select("text", "want")
+    lists = wanted.groupBy("k", "t").agg(F.collect_list(F.struct("h", "c", "pos", "l", "r")).alias("want"))
+    found = docs.join(lists, ["k", "t"]).select("text", "want")
 
     def run(batches):
         import pyarrow as pa
@@ -259,13 +258,14 @@ def _window_covers(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    length: int = LENGTH, gram: int = GRAM, max_contexts: int = MAX_CONTEXTS
                    ) -> tuple[DataFrame, DataFrame]:
-    """``(texts, spans)``: ``texts`` is ``(id, text, t)`` per row (null texts empty), ``spans``
-    ``(id, t, spans)`` with the repeated byte ranges ``(lo, hi)`` of each row, overlapping."""
+    """``(texts, spans)``: ``texts`` is ``(k, t, id, text, copies)`` per distinct row (null texts empty),
+    ``spans`` ``(k, t, spans)`` with the repeated byte ranges ``(lo, hi)`` of each, overlapping."""
     if not 0 < gram <= length:
         raise ValueError("gram must be from 1 to length")
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.hash(text).alias("t"))
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text)
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), key.alias("k"), F.hash(text).alias("t"))
     rows = stage(_anchor_rows(texts, length, gram), "repeat_anchors")
     by_h = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"))
             .where("n > 1").select("h", (F.col("c1") != F.col("c2")).alias("mixed")))
@@ -273,17 +273,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = stage(rows.join(by_h, "h"), "repeat_shared")
     mixed = shared.where("mixed")
     first = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"),
-                                        F.min(F.struct("id", "t", "pos", "l", "r")).alias("at"))
+                                        F.min(F.struct("k", "t", "pos", "l", "r")).alias("at"))
     first = stage(first.select("h", "c", "n", "at.*"), "repeat_contexts")
     # A context that stands twice is repeated whole, whatever the others are: its rows need no
     # more than a semi join with a table, which AQE can split for a hot context.
     twice = mixed.join(first.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
-    same = shared.where("not mixed").select("id", "t", "pos", "l", "r").unionByName(twice.select("id", "t", "pos", "l", "r"))
-    same = same.select("id", "t", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r")).alias("hi"))
+    same = shared.where("not mixed").select("k", "t", "pos", "l", "r").unionByName(twice.select("k", "t", "pos", "l", "r"))
+    same = same.select("k", "t", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r")).alias("hi"))
     crowd = stage(first.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max_contexts).select("h"),
                   "repeat_crowd")
-    wanted = first.select("h", "c", "id", "t", "pos", "l", "r")
-    placed = texts.repartition("id", "t")  # one shuffle of the texts, for both joins with them
+    wanted = first.select("h", "c", "k", "t", "pos", "l", "r")
+    # One shuffle of the texts for both joins with them; equal rows are one, so no group gets
+    # a context more than once and copies of a row do not meet in a task.
+    placed = texts.groupBy("k", "t").agg(F.any_value(F.struct("id", "text")).alias("one"),
+                                         F.count(F.lit(1)).alias("copies"))
+    placed = placed.select("k", "t", "one.id", "one.text", "copies")
     covers = None
     if crowd.head(1):
         hot = _contexts(placed, wanted.join(crowd, "h", "left_semi"))
@@ -292,10 +296,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeat_covers(_contexts(placed, wanted), length)
     found = found if covers is None else found.unionByName(covers)
     # The others stand once, so a context is a row.
-    alone = first.where("n = 1").select("h", "c", "id", "t", "pos")
+    alone = first.where("n = 1").select("h", "c", "k", "t", "pos")
     some = found.withColumnsRenamed({"l": "cl", "r": "cr"}).join(alone, ["h", "c"]).select(
-        "id", "t", (F.col("pos") - F.col("cl")).alias("lo"), (F.col("pos") + F.col("cr")).alias("hi"))
-    spans = (same.unionByName(some).groupBy("id", "t")
+        "k", "t", (F.col("pos") - F.col("cl")).alias("lo"), (F.col("pos") + F.col("cr")).alias("hi"))
+    spans = (same.unionByName(some).groupBy("k", "t")
              .agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     return placed, spans
 
@@ -315,8 +319,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id, spans, n_bytes, n_removed, kept)`` per row: merged byte ranges ``(lo, hi)`` that
     are repeated, and the remaining bytes."""
     texts, spans = repeated_spans(docs, id_col, text_col, length, gram, max_contexts)
-    s = spans.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "spans")
-    both = texts.join(s, texts["id"].eqNullSafe(s["_id"]) & (texts["t"] == s["_t"]), "left").select("id", "text", "spans")
+    both = texts.join(spans, ["k", "t"], "left").select("id", "text", "spans", "copies")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -334,9 +337,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(all_spans, span), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(kept, pa.binary())], names=["id", "spans", "n_bytes", "n_removed", "kept"])
+                 pa.array(kept, pa.binary()), batch["copies"]], names=["id", "spans", "n_bytes", "n_removed", "kept", "copies"])
 
-    return both.mapInArrow(run, f"id {kind}, spans array<struct<lo:int,hi:int>>, n_bytes bigint, n_removed bigint, kept binary")
+    found = both.mapInArrow(run, f"id {kind}, spans array<struct<lo:int,hi:int>>, n_bytes bigint, n_removed bigint, "
+                                 "kept binary, copies bigint")
+    each = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return found.withColumn("_copy", each).drop("_copy", "copies")
 
 
 def brute_force(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:

@@ -6,7 +6,8 @@ from .mixing import DIMS, SEED, TEMPER, TOL
 
 SQL: dict[str, str] = {}
 
-# Five-word shingles as sets; the size of each intersection against each item.
+# Five-word shingles as sets; the size of each intersection against each item.  Items below
+# five words are one shingle, looked for anywhere in a document.
 SQL["op9_decontaminate"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                   trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM documents),
@@ -19,7 +20,10 @@ n AS (SELECT item_id, t, count(*) AS n_item FROM ish GROUP BY ALL),
 dw AS (SELECT r, doc_id, string_split(t, ' ') AS w FROM d WHERE t <> ''),
 dsh AS (SELECT DISTINCT r, doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s
         FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM dw)),
-hit AS (SELECT r, doc_id, item_id, t, count(*) AS n_shared FROM dsh JOIN ish USING (s) GROUP BY ALL)
+short AS (SELECT item_id, t FROM iw WHERE len(w) < 5),
+pairs AS (SELECT r, doc_id, item_id, ish.t, s FROM dsh JOIN ish USING (s)
+         UNION SELECT d.r, d.doc_id, item_id, short.t, short.t FROM d JOIN short ON contains(' ' || d.t || ' ', ' ' || short.t || ' ')),
+hit AS (SELECT r, doc_id, item_id, t, count(*) AS n_shared FROM pairs GROUP BY ALL)
 SELECT doc_id, item_id, n_shared::INT AS n_shared, n_item::INT AS n_item, n_shared / n_item AS containment
 FROM hit JOIN n USING (item_id, t) WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)
 """

@@ -150,6 +150,34 @@ def test_interval_tree_outputs_maximal_repeats():
     assert found == {((0, 1), 2, 4), ((0, 1, 2), 1, 3)}
 
 
+def brute_rows(rows, length):
+    return sorted((str(i), cut) for (i, _), cut in zip(rows, R.brute_force([t.encode() for _, t in rows], length)))
+
+
+def test_null_ids_of_one_hash_are_told_apart(spark):
+    """Two texts without an id whose 32-bit hashes are equal: only one has the passage."""
+    both = [f"concat('{c * 230}', id) AS x{n}" for n, c in enumerate("pq")]
+    a, b = (spark.range(150_000).selectExpr(x).selectExpr("*", f"hash(x{n}) AS h") for n, x in enumerate(both))
+    hit = a.join(b, "h").first()
+    rows = [(None, hit["x0"]), (None, "".join(f"{i:03d}" for i in range(90)) + "!"), (None, hit["x1"][:100]), (1, "p" * 230 + "zzz")]
+    same = spark.createDataFrame([(None, hit["x0"]), (None, hit["x1"])], "doc_id long, text string").selectExpr("hash(text)")
+    assert same.distinct().count() == 1
+    unlike = [(None, hit["x0"]), (None, hit["x1"]), (1, "p" * 230 + "zzz")]
+    for case in (rows, unlike):
+        got = R.remove_repeats(spark.createDataFrame(case, "doc_id long, text string"), length=231 if case is unlike else 200)
+        assert sorted((str(r.id), [tuple(s) for s in r.spans]) for r in got.collect()) == brute_rows(
+            case, 231 if case is unlike else 200)
+
+
+def test_copies_without_an_id_are_one_context(spark):
+    base = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, base)] * 300 + [(None, base[:250] + "x" * 260), (5, base), (6, base[100:400] + "tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = R.remove_repeats(df, max_contexts=8)
+    assert sorted((str(r.id), [tuple(s) for s in r.spans]) for r in got.collect()) == brute_rows(rows, 200)
+    assert got.agg({"*": "count"}).first()[0] == len(rows) and got.select("id").count() == len(rows)
+
+
 def test_repeats_edges(spark):
     got = R.remove_repeats(edge.docs(spark, extra=True)).collect()
     assert len(got) == len(edge.rows())
@@ -163,6 +191,10 @@ def test_repeats_edges(spark):
 
 # --- decontamination
 
+def normal(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
 def shingles(text, n=5):
     words = re.findall(r"[^\W_]+", (text or "").lower())
     return {" ".join(words[i:i + n]) for i in range(max(len(words) - n + 1, 1))} if words else set()
@@ -200,6 +232,19 @@ def test_decontamination_finds_partial_items_in_long_texts(spark):
     assert len(want) > 60
 
 
+def test_short_items_are_found_inside_long_texts(spark):
+    items = spark.createDataFrame([(1, "Alpha beta, gamma delta"), (2, "omega"), (3, "beta gamma"), (4, "one two three four five six")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y z alpha beta gamma delta q r s t " * 2), (2, "alphabeta gamma"), (3, "OMEGA!"),
+                                  (4, "beta gamma"), (None, "a b c d e f omega one two three four five six")],
+                                 "doc_id long, text string")
+    want = [(1, 1), (1, 3), (3, 2), (4, 3), (None, 2), (None, 4)]
+    for size in (D.PART_BYTES, D.ENTRY_BYTES):
+        got = D.contaminated(docs, items, part_bytes=size).collect()
+        assert sorted([(r.id, r.item) for r in got], key=str) == sorted(want, key=str)
+        assert all(r.containment == 1.0 for r in got)
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "one"), (2, "a tie of words here")], "item_id long, text string")
     df = edge.docs(spark, extra=True)

@@ -71,12 +71,12 @@ def test_logistic_fit():
 
 
 def test_quality_edges(spark):
-    df = edge.docs(spark, extra=True).drop("keep")
+    df = edge.docs(spark, extra=True).selectExpr("*", "1 AS quality_score", "2 AS _0", "3 AS quality")
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 1), (None, 1, 1), (4, None, None), (4, 1, 0)], LABELS)
     for lab in (labels, labels.limit(0)):
         out = C.score(df, C.fit(df, lab))
         rows = out.collect()
-        assert out.columns == df.columns + ["quality_score", "toxic_score", "keep"] and len(rows) == len(edge.rows())
+        assert out.columns == [c for c in df.columns if c not in C.ADDED] + [*C.ADDED] and len(rows) == len(edge.rows())
         assert all(0 <= r.quality_score <= 1 and 0 <= r.toxic_score <= 1 for r in rows)
         seven = [(r.quality_score, r.toxic_score) for r in rows if r.doc_id == 7]
         assert seven[0] == seven[1]

@@ -221,8 +221,10 @@ def test_decontamination_finds_partial_items_in_long_texts(spark):
         have = shingles(text)
         for i, t in {x for x in items if shingles(x[1])}:
             s = shingles(t)
-            if len(s & have) >= 0.8 * len(s) - 1e-9:
-                want.append((d, i, len(s & have), len(s)))
+            alone = len(s) == 1 and f" {min(s)} " in f" {' '.join(normal(text))} "
+            found = 1 if alone else len(s & have)
+            if found >= 0.8 * len(s) - 1e-9:
+                want.append((d, i, found, len(s)))
     got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
                          spark.createDataFrame(items, "item_id long, text string"), part_bytes=1000)
 

@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 def _load_all():
     # Importing the modules fills the registry.
     from . import (curation_queries, feature_queries, evaluation_queries,  # noqa: F401
-                   serving_queries, stream_queries)
+                   joint_queries, serving_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -11,6 +11,8 @@ stream-static joins is staged once, so micro-batches do not recompute it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import json_first
 from ..operators import serve as SV
 from ..session import shared_path
+from ..sources.sinks import delete_path, versions
 
 
 def request_stream(spark: SparkSession, table_path: str, schema,
@@ -53,12 +56,41 @@ def prediction_counts(requests: DataFrame, years: DataFrame, speeds: DataFrame)
         F.sum(F.coalesce(F.col("_y") * F.col("_s"), F.lit(0)).cast("bigint")).alias("n_predictions"))
 
 
+def commit_batch(batch: DataFrame, batch_id: int, out: str) -> bool:
+    """Make ``batch`` the table at ``out``, once: a batch id that is committed, or older than the
+    committed one, changes nothing (False), as after a crash Spark runs the last batch again.
+    The rows are a complete folder before one appended row makes it known, and the version
+    before it stays for its readers."""
+    spark = batch.sparkSession
+    if any(r["generation"] >= batch_id for r in versions(spark, out)):
+        return False
+    version = f"v-{uuid.uuid4().hex[:12]}"
+    batch.write.mode("errorifexists").parquet(f"{out}/{version}")
+    (spark.range(1).selectExpr(f"'{version}' AS version", f"CAST({batch_id} AS INT) AS generation",
+                               "current_timestamp() AS published_at")
+     .write.mode("append").parquet(f"{out}/versions"))
+    known = versions(spark, out)
+    kept = {r["generation"] for r in known[:2]}
+    for r in known:
+        if r["generation"] not in kept:
+            delete_path(spark, f"{out}/{r['version']}")
+    return True
+
+
+def committed(spark, out: str, schema) -> DataFrame:
+    """The table of the newest committed batch (no rows if there is none)."""
+    known = versions(spark, out)
+    if not known:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out}/{known[0]['version']}")
+
+
 def run_to_table(stream: DataFrame, job: str, output_mode: str = "append") -> DataFrame:
     """Drain the stream of the job named ``job`` into parquet under the shared folder and
     return the table so far (empty if nothing has arrived).
 
-    ``append``: a file sink (exactly-once through its log).  ``complete``:
-    each micro-batch's full result replaces the table (foreachBatch), for
+    ``append``: a file sink (exactly-once through its log).  ``complete``: each
+    micro-batch's full result is a version of the table (``commit_batch``), for
     aggregates whose state lives in the checkpoint.
     """
     spark = stream.sparkSession
@@ -69,14 +101,16 @@ def run_to_table(stream: DataFrame, job: str, output_mode: str = "append") -> Da
              .option("checkpointLocation", ckpt).outputMode("append")
              .trigger(availableNow=True).start())
     else:
-        def write_batch(batch: DataFrame, _batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+        def write_batch(batch: DataFrame, batch_id: int) -> None:
+            commit_batch(batch, batch_id, out)
 
         q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
              .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+    if output_mode != "append":
+        return committed(spark, out, stream.schema)
     try:
         return spark.read.schema(stream.schema).parquet(out)
     except AnalysisException:  # no batch has run yet

@@ -94,17 +94,16 @@ def tokens(text):
     return TOKEN.findall((text or "").encode().lower())
 
 
-def plain_scores(texts, good, share):
-    """Cross-entropies by dictionaries; also every context's sum of probabilities."""
-    size = [sum(len((t or "").encode()) for t in x) for x in (good, texts)]
+def plain_scores(texts, good, least):
+    """Cross-entropies by dictionaries; also some contexts' sums of probabilities."""
     single = [collections.Counter(w for t in x for w in tokens(t)) for x in (good, texts)]
-    vocab = {w for w, c in single[1].items() if c >= share * size[1]}
+    vocab = {w for c in single for w, n in c.items() if n >= least}
 
     def steps(t):
         s = ["<s>", *[w if w in vocab else "<u>" for w in tokens(t)], "</s>"]
         return list(zip(s[:-1], s[1:]))
     pair = [collections.Counter(p for t in x for p in steps(t)) for x in (good, texts)]
-    kept = {p for p in pair[1] if any(pair[k][p] >= max(share * size[k], 1) for k in (0, 1))}
+    kept = {p for c in pair for p, n in c.items() if n >= least and "<u>" not in p}
     total = [sum(c.values()) for c in single]
     scale = (1.0, total[0] / total[1])
     words = [*vocab, "<u>", "</s>"]
@@ -121,6 +120,8 @@ def plain_scores(texts, good, share):
             own[v] += pair[k][v, w] * scale[k]
 
         def prob(v, w, k=k, c=c, p=p, own=own):
+            if v == "<u>":
+                return p[w]
             n = pair[k][v, w] * scale[k] if (v, w) in kept else 0.0
             return (n + (L.MU + max(c[v] - own[v], 0.0)) * p[w]) / (c[v] + L.MU)
         models.append(prob)
@@ -128,19 +129,35 @@ def plain_scores(texts, good, share):
     return [[-sum(math.log2(prob(v, w)) for v, w in steps(t)) / len(steps(t)) for prob in models] for t in texts], sums
 
 
-@pytest.mark.parametrize("share", [2.0 ** -20, 2.0 ** -9])
-def test_cross_entropies_are_brute_force(spark, share):
+@pytest.mark.parametrize("least, block", [(L.LEAST, L.BLOCK_BYTES), (L.LEAST, 2000), (9, 50_000)])
+def test_cross_entropies_are_brute_force(spark, least, block):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rare = "doc_id bigint, text string"
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(
+        [(-1, "zyzzyva once, quokka twice"), (-2, "quokka " * 3000), (-3, "quokka alone")], rare)).coalesce(3)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").union(spark.createDataFrame([(-1, 1, 0)], LABELS))
     target = L.labelled_target(docs, labels)
-    got = {r.doc_id: r for r in L.score(docs, L.fit(target, docs, vocab_share=share, pair_share=share)).collect()}
+    got = {r.doc_id: r for r in L.score(docs, L.fit(target, docs, least=least), block_bytes=block).collect()}
     rows = docs.collect()
-    want, sums = plain_scores([r.text for r in rows], [r.text for r in target.collect()], share)
+    assert len(got) == len(rows)
+    want, sums = plain_scores([r.text for r in rows], [r.text for r in target.collect()], least)
     assert sums == pytest.approx([1.0] * len(sums))
     for r, (a, b) in zip(rows, want):
         g = got[r.doc_id]
-        assert (g.ce_target, g.ce_background, g.ce_difference) == pytest.approx((a, b, a - b), abs=2e-4)
-        assert g.n_tokens == len(tokens(r.text))
+        assert (g.ce_target, g.ce_background, g.ce_difference) == pytest.approx((a, b, a - b), abs=1e-9)
+        assert g.n_tokens == len(tokens(r.text)) and g.text == r.text
+
+
+def test_vocabulary_rule_does_not_follow_the_size(spark):
+    one = spark.createDataFrame([("rare rare pair",)], "text string")
+    sizes = []
+    for n in (10, 20_000):
+        docs = one.union(spark.range(n).selectExpr("'common words fill the corpus' AS text"))
+        keys = {r.key for r in L.fit(one, docs).counts.collect()}
+        sizes.append(len(keys))
+        rare, pair = L.token_hashes("rare pair")
+        assert rare in keys and pair not in keys
+    assert sizes[0] == sizes[1]
 
 
 def test_scores_part_target_from_the_rest(spark):

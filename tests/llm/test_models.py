@@ -103,7 +103,7 @@ def plain_scores(texts, good, least):
         s = ["<s>", *[w if w in vocab else "<u>" for w in tokens(t)], "</s>"]
         return list(zip(s[:-1], s[1:]))
     pair = [collections.Counter(p for t in x for p in steps(t)) for x in (good, texts)]
-    kept = {p for c in pair for p, n in c.items() if n >= least and "<u>" not in p}
+    kept = {p for p, n in pair[0].items() if n >= least and "<u>" not in p}
     total = [sum(c.values()) for c in single]
     scale = (1.0, total[0] / total[1])
     words = [*vocab, "<u>", "</s>"]

@@ -2,35 +2,41 @@
 
 1. Every page is parsed to a tree.  Each element with text has a hash of its subtree (tag,
    class, text and children).
-2. Spark counts on how many pages of a host each subtree stands outside article elements;
-   those on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages are its
-   template.  A page has few subtrees, so a host has few recurring ones, however many pages.
+2. Spark counts the subtrees per host.  Outside article elements a subtree on at least
+   ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages is template.  Inside them it is
+   the ``BOX`` elements and those with a class or id that count, once per distinct article,
+   and ``MIN_PAGES`` articles and ``INNER_SHARE`` of the host's make them template.  A page
+   has few subtrees, so a host has few recurring ones, however many pages.
 3. From each page the template's subtrees and the elements that are boilerplate by tag, role
    or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
    reader comments) are deleted.  The text is that of the article (``article``, ``main``,
    role main) elements, or of the whole body where there is none.
 
-Inside an article element recurring subtrees stay: articles are copied and share passages.
+Articles are copied and share passages: two articles are distinct if their longest plain
+paragraphs differ, so a copied article counts once however often it stands there, and a plain
+paragraph, heading or list item of an article is never template by itself.
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space; nothing is capped.  A null html is empty and gives the empty text; a
 null url belongs to the host ``''``; repeated rows count as pages of their own; an empty
-table gives no rows; other columns but the html are kept.
+table gives no rows; other columns but the html are kept, whatever their names, but for one
+named like the output.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html.parser import HTMLParser
 
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, stage
 
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+INNER_SHARE = 0.05  # of a host's distinct articles
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that do not break a block; all others do.
@@ -44,6 +50,9 @@ BLOCKS = frozenset(
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
             "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
             "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
+# Elements of an article that can be template without a class or id, and those that hold its prose.
+BOX = frozenset("address center details div dl fieldset figure hr ol section table ul".split())
+PROSE = frozenset("p blockquote pre li dd td".split())
 # An implied end does not reach beyond these.
 SCOPE = frozenset("ul ol dl table td th article main section div body html".split())
 
@@ -202,14 +211,55 @@ def site_subtrees(root: Node) -> set[int]:
     return out
 
 
-def main_text(root: Node, template=frozenset()) -> str:
+def _may_recur(node: Node) -> bool:
+    """Can an element of an article be template?"""
+    return bool(node.digest) and not _is_article(node) and node.tag not in INLINE and (
+        node.tag in BOX or bool(node.attrs.get("class") or node.attrs.get("id")))
+
+
+def article_subtrees(root: Node) -> tuple[set[int], int]:
+    """Digests of the elements inside articles that can be template (see ``hash_subtrees``),
+    and what tells the article from others: a hash of its longest plain paragraph, 0 without one."""
+    out, longest, todo = set(), (0, ""), [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        if _is_boilerplate(node, inside):
+            continue
+        if _is_article(node):
+            inside = True
+        elif inside:
+            if _may_recur(node):
+                out.add(node.digest)
+            if node.tag in PROSE:
+                text = " ".join("".join(_strings(node)).split())
+                longest = max(longest, (len(text), text))
+        todo.extend((c, inside) for c in node.children if not isinstance(c, str))
+    return out, xxhash.xxh64_intdigest(longest[1].encode("utf-8", "surrogatepass")) >> 1 if longest[0] else 0
+
+
+def _strings(node: Node) -> list[str]:
+    """A prose element's own strings and those of its inline elements, in page order."""
+    out, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+        elif at is node or at.tag in INLINE:
+            todo.extend(reversed(at.children))
+        else:
+            out.append(" ")
+    return out
+
+
+def main_text(root: Node, template=frozenset(), inner=frozenset()) -> str:
     """Text of a parsed page without the template's subtrees and the boilerplate."""
-    return article_text(root, template)[0]
+    return article_text(root, template, inner)[0]
 
 
-def article_text(root: Node, template=frozenset()) -> tuple[str, bool]:
-    """The text, and whether it is that of article elements."""
-    if template:
+def article_text(root: Node, template=frozenset(), inner=frozenset()) -> tuple[str, bool]:
+    """The text, and whether it is that of article elements; ``template`` holds the digests
+    deleted outside of articles, ``inner`` those inside."""
+    if template or inner:
         hash_subtrees(root)
 
     def walk(only_articles: bool) -> tuple[list[str], bool]:
@@ -221,7 +271,9 @@ def article_text(root: Node, template=frozenset()) -> tuple[str, bool]:
                 if inside or not only_articles:
                     parts.append(node)
                 continue
-            if _is_boilerplate(node, inside) or (not inside and node.digest and node.digest in template):
+            if _is_boilerplate(node, inside):
+                continue
+            if (node.digest in inner and _may_recur(node)) if inside else (node.digest and node.digest in template):
                 continue
             if _is_article(node):
                 inside = found = True
@@ -242,65 +294,69 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
 
 
-def site_template(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                  min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(host, template)``: the digests of each host's recurring subtrees."""
-    rows = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+def site_templates(seen: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+                   inner_share: float = INNER_SHARE) -> DataFrame:
+    """``(host, template, inner)``: the digests of each host's recurring subtrees outside and
+    inside articles, from one row per page ``(host, site, inside, article)``.
 
-    def run(batches):
-        import pyarrow as pa
-        for b in batches:
-            n = Counter()
-            for host, html in zip(b["host"].to_pylist(), b["html"].to_pylist()):
-                if html:
-                    n.update((host, d) for d in site_subtrees(parse(html)))
-            hosts, digests = ([k[i] for k in n] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(list(n.values()), pa.int64())],
-                names=["host", "digest", "n"])
-
-    counts = (rows.mapInArrow(run, "host string, digest bigint, n bigint").groupBy("host", "digest")
-              .agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages))
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    # At most (subtrees of a page) / min_share digests reach each host's list.
-    return (counts.join(totals, "host").where(F.col("n") >= F.col("pages") * min_share)
-            .groupBy("host").agg(F.sort_array(F.collect_set("digest")).alias("template")))
+    At most (subtrees of a page) / share digests reach a host's lists."""
+    totals = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("article").alias("articles"))
+    outside = (seen.select("host", F.explode("site").alias("digest")).groupBy("host", "digest")
+               .agg(F.count(F.lit(1)).alias("n")).withColumn("is_in", F.lit(False)))
+    inside = (seen.select("host", "article", F.explode("inside").alias("digest")).distinct().groupBy("host", "digest")
+              .agg(F.count(F.lit(1)).alias("n")).withColumn("is_in", F.lit(True)))
+    least = F.when(F.col("is_in"), F.col("articles") * inner_share).otherwise(F.col("pages") * min_share)
+
+    def digests(which):
+        return F.sort_array(F.collect_set(F.when(which, F.col("digest"))))
+
+    return (outside.unionByName(inside).where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") >= least)
+            .groupBy("host").agg(digests(~F.col("is_in")).alias("template"), digests(F.col("is_in")).alias("inner")))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", out: str = "text",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, inner_share: float = INNER_SHARE) -> DataFrame:
     """``out``, the main text of every row, with the row's other columns but the html.
 
-    What stands outside article elements does not count where there are some, so only pages
-    without them wait for their host's template, and only they are shuffled (by host; AQE
-    splits a hot one)."""
+    One pass parses every page and writes its digests with its text.  Only pages that their
+    host's template can change (no article element, or elements in it that can recur) wait
+    for it, are shuffled (by host; AQE splits a hot one) and parsed again."""
     prepare(pages.sparkSession)
     own = [c for c in pages.columns if c not in (out, html_col)]
-    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in own)
+    row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    given = pages.select(row.alias("own"), url_host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
+    carried = given.schema["own"]
 
     def first(batches):
         import pyarrow as pa
+        longs = pa.list_(pa.int64())
         for b in batches:
-            texts, waiting = [], []
-            for html in b["_html"].to_pylist():
-                text, found = article_text(parse(html))
-                final = found or not html
-                texts.append(text if final else None)
-                waiting.append(None if final else html)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(waiting, pa.string())],
-                                             names=[*b.schema.names[:-1], "_text", "_open"])
+            made = []
+            for html in b["html"].to_pylist():
+                root = parse(html)
+                text, found = article_text(root)
+                site = site_subtrees(root)
+                inside, article = article_subtrees(root)
+                final = not html or (found and not inside)
+                made.append((text if final else None, None if final else html, sorted(site), sorted(inside), article if found else None))
+            cols = list(zip(*made)) or [()] * 5
+            kinds = [pa.string(), pa.string(), longs, longs, pa.int64()]
+            yield pa.RecordBatch.from_arrays([b["own"], b["host"], *[pa.array(x, k) for x, k in zip(cols, kinds)]],
+                                             names=["own", "host", "done", "open", "site", "inside", "article"])
 
     def second(batches):
         import pyarrow as pa
         for b in batches:
-            made = [main_text(parse(html), frozenset(template or ()))
-                    for html, template in zip(b["_open"].to_pylist(), b["_template"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(made, pa.string())],
-                                             names=[*b.schema.names[:-2], out])
-
-    given = pages.select(*own, url_host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
-    seen = stage(given.mapInArrow(first, f"{kinds}, _host string, _text string, _open string"), "html_seen")
-    template = stage(site_template(pages, url_col, html_col, min_pages, min_share).toDF("_host", "_template"), "html_template")
-    done = seen.where("_open is null").select(*own, F.col("_text").alias(out))
-    waiting = seen.where("_open is not null").join(template, "_host", "left").select(*own, "_open", "_template")
-    return done.unionByName(waiting.mapInArrow(second, f"{kinds}, `{out}` string"))
+            made = [main_text(parse(html), frozenset(template or ()), frozenset(inner or ()))
+                    for html, template, inner in zip(*[b[c].to_pylist() for c in ("open", "template", "inner")])]
+            yield pa.RecordBatch.from_arrays([b["own"], pa.array(made, pa.string())], names=["own", "done"])
+
+    longs = T.ArrayType(T.LongType())
+    seen = stage(given.mapInArrow(first, T.StructType([
+        carried, T.StructField("host", T.StringType()), T.StructField("done", T.StringType()), T.StructField("open", T.StringType()),
+        T.StructField("site", longs), T.StructField("inside", longs), T.StructField("article", T.LongType())])), "html_seen")
+    template = stage(site_templates(seen, min_pages, min_share, inner_share), "html_template")
+    waiting = seen.where("open is not null").select("own", "host", "open").join(template, "host", "left").select("own", "open", "template", "inner")
+    texts = seen.where("open is null").select("own", "done").unionByName(
+        waiting.mapInArrow(second, T.StructType([carried, T.StructField("done", T.StringType())])))
+    return texts.select(*[F.col("own").getField(c).alias(c) for c in own], F.col("done").alias(out))

@@ -111,6 +111,32 @@ def test_copied_articles_stay(spark):
     assert {r.text for r in X.extract(df).collect()} == {"The same article on every page of the site."}
 
 
+def test_articles_lose_what_recurs_on_distinct_articles(spark):
+    """A box under a neutral class name, in articles told apart by their longest paragraph."""
+    box = "<div class=x7><p>Our shop is open every day until nine in the evening.</p></div>"
+
+    def page(i, body, extra=box):
+        return i, f"http://h.net/{i}", f"<main><h1>Head</h1><p>{body}</p>{extra}<p>Shared passage.</p><ul><li>one</ul></main>"
+
+    own = ["Paragraph %d, long enough to tell this article from all of the others there." % i for i in range(6)]
+    rows = [page(i, own[i], box + f"<div class=y>{i}</div>") for i in range(6)]
+    # Copies of one article do not make its parts template, nor does a box on four articles.
+    inner = "<section><p>Only in this article, which was copied to many pages of the host.</p></section>"
+    rows += [page(10 + i, own[0], f"{inner}{box}") for i in range(8)]
+    rows += [page(20 + i, own[i], "<div class=z>Four times.</div>") for i in range(4)]
+    df = spark.createDataFrame([r + (1, 2) for r in rows], "page_id long, url string, html string, own int, host int")
+    got = {r.page_id: r.text for r in X.extract(df).collect()}
+    section = "Only in this article, which was copied to many pages of the host. "
+    want = {i: f"Head {own[i]} {i} Shared passage." for i in range(6)}
+    want |= {10 + i: f"Head {own[0]} {section}Shared passage." for i in range(8)}
+    want |= {20 + i: f"Head {own[i]} Four times. Shared passage." for i in range(4)}
+    # The list is a box on every page.
+    assert got == want
+    # Below the host's share of articles nothing is template.
+    got = {r.page_id: r.text for r in X.extract(df, inner_share=1.1).collect()}
+    assert got[0] == f"Head {own[0]} Our shop is open every day until nine in the evening. 0 Shared passage. one"
+
+
 @pytest.mark.parametrize("html", ["<", "<p", "<!", "<![", "<!x", "<![if]>a", "</", "&#99999999;", "<a b='", "<p>" * 3000, "\x00<p>\x00",
                                   "</p></div>a", "<script>x", "<!--", "<title>t", "<svg/><p>a", "<article>" * 50 + "a"])
 def test_broken_markup(html):

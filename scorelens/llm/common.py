@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..sources.sinks import stage
 
-__all__ = ["prepare", "stage", "checksum", "key_runs", "mix64", "window_hashes"]
+__all__ = ["prepare", "stage", "stage_and_free", "checksum", "key_runs", "mix64", "window_hashes"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -22,6 +22,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stage_and_free(df: DataFrame, name: str) -> DataFrame:
+    """``stage``, and the shuffle files that made the table are deleted once it is written
+    (they are not read again; by default they stay until the driver's collector finds them)."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def checksum(df: DataFrame) -> tuple[int, int]:
     """(rows, order-free hash) of a table: two equal values mean that a loop has settled."""
     row = df.agg(F.count(F.lit(1)).alias("n"),

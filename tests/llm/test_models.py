@@ -169,6 +169,24 @@ def test_scores_part_target_from_the_rest(spark):
     assert np.mean(by[1]) < np.mean(by[0]) - 1
 
 
+@pytest.mark.parametrize("keys", [[5], [-(1 << 63)], [-(1 << 63), (1 << 63) - 1], [-3, -2, 0, 7, 1 << 40], list(range(-70000, 70000, 7))])
+def test_packed_questions_and_answers(keys):
+    keys = np.array(keys, dtype=np.int64)
+    assert L.unpack_keys(L.pack_keys(keys), len(keys)).tolist() == keys.tolist()
+    counts = [np.abs(keys >> 1), np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), np.full(len(keys), 300)]
+    assert (L.unpack_counts(L.pack_counts(counts), len(keys)) == np.stack(counts)).all()
+
+
+def test_lm_blocks_and_buckets_do_not_change_scores(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = L.fit(docs.where("doc_id % 3 = 0"), docs)
+    want = {tuple(r) for r in L.score(docs, model).collect()}
+    monkeypatch.setattr(L, "CHUNK_KEYS", 100)
+    monkeypatch.setattr(L, "FLUSH", 500)
+    model.shift = 52
+    assert {tuple(r) for r in L.score(docs, model, block_bytes=20_000).collect()} == want
+
+
 def test_lm_edges(spark):
     df = edge.docs(spark, extra=True)
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 0), (4, None, None), (6, 1, 0)], LABELS)

@@ -93,22 +93,53 @@ def code_hash() -> str:
 
 # Tables that the curated dataset is made of.
 INPUT_TABLES = ("lineitem", "orders", "part")
+MAX_LISTED = 10_000
+
+
+def list_files(spark, path: str) -> list[tuple[str, int, int]] | None:
+    """``(path, length, modification time)`` of a table's files by the cluster's own file
+    system: no job and no file opened.  None without the JVM gateway or with more than
+    ``MAX_LISTED`` files, which a job lists faster."""
+    jvm = getattr(getattr(spark, "sparkContext", None), "_jvm", None)
+    if jvm is None:
+        return None
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            if len(out) == MAX_LISTED:
+                return None
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
+def fingerprint(spark, paths: list[str]) -> str:
+    """Hash of the files of several tables: a changed, added or removed file gives another."""
+    import hashlib
+
+    code = hashlib.md5()
+    n = 0
+    for i, path in enumerate(paths):
+        files = list_files(spark, path)
+        if files is None:
+            # One row comes to the driver, however many files there are; no column is read.
+            files = [tuple(spark.read.parquet(path).select(
+                F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"),
+                F.col("_metadata.file_modification_time").alias("m")).distinct()
+                .agg(F.lit("job"), F.count(F.lit(1)), F.sum(F.xxhash64("p", "n", "m").cast("decimal(38,0)"))).first())]
+        n += len(files)
+        for f in files:
+            code.update(f"{i}\x00{f[0]}\x00{f[1]}\x00{f[2]}\n".encode())
+    return f"{n}:{code.hexdigest()}"
 
 
 def input_fingerprint(spark, sf_dir: str, tables=INPUT_TABLES) -> str:
-    """Hash of the inputs' files (path, length, modification time), summed in Spark: a
-    changed, added or removed file gives another name.  No column is read."""
-    from ..sources.tables import read_table
-
-    rows = None
-    for t in tables:
-        m = read_table(spark, sf_dir, t).select(
-            F.lit(t).alias("t"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"),
-            F.col("_metadata.file_modification_time").alias("m")).distinct()
-        rows = m if rows is None else rows.unionByName(m)
-    found = rows.agg(F.count(F.lit(1)).alias("n"),
-                     F.sum(F.xxhash64("t", "p", "n", "m").cast("decimal(38,0)")).alias("h")).first()
-    return f"{found['n']}:{found['h'] or 0}"
+    """``fingerprint`` of the input tables."""
+    from ..sources.tables import table_path
+
+    return fingerprint(spark, [table_path(sf_dir, t) for t in tables])
 
 
 def dataset_name(source: str, cfg: CurationConfig, inputs: str = "", code: str | None = None) -> str:

@@ -31,12 +31,13 @@ from .common import prepare
 MAX_RULES = 200_000
 ALLOW, BLOCK = "allow", "block"
 ADDED = ("host", "path", "rule", "verdict", "pattern")
-TOKEN = re.compile(r"[a-z0-9]+")
+TOKEN = re.compile(r"[a-z]+|[0-9]+")
 
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``tokens``: whole runs of a-z and 0-9 of the lower-cased url in any match."""
+    """``tokens``: whole runs of a-z or of 0-9 of the lower-cased url in any match.  A rule
+    with a choice of words is one rule for each, all of one name."""
     name: str
     pattern: str
     tokens: tuple[str, ...]
@@ -61,16 +62,36 @@ PATTERN_RULES = (
     PatternRule("ads-track", r"^[a-z]+://([^/?#]*\.)?ads-track\.", ("ads", "track")),
     PatternRule("casino", r"^[a-z]+://[^/?#]*\bcasino\b", ("casino",)),
     PatternRule("porn", r"^[a-z]+://[^/?#]*\bporn\b", ("porn",)),
-    PatternRule("ad-server", r"^[a-z]+://(ad|ads|adserver)[0-9]*\.[^/?#]+/", ()),
-    PatternRule("banner", r"/banners?/[^?#]*\.(gif|jpe?g|png|swf)([?#]|$)", ()),
+    *[PatternRule("ad-server", rf"^[a-z]+://{w}[0-9]*\.[^/?#]+/", (w,)) for w in ("ad", "ads", "adserver")],
+    *[PatternRule("banner", rf"/{w}/[^?#]*\.(gif|jpe?g|png|swf)([?#]|$)", (w,)) for w in ("banner", "banners")],
     PatternRule("doubleclick", r"^[a-z]+://([^/?#]*\.)?doubleclick\.net/", ("doubleclick", "net")),
-    PatternRule("login", r"/(login|signin)\.(php|aspx?|jsp)([?#]|$)", ()),
+    *[PatternRule("login", rf"/{w}\.(php|aspx?|jsp)([?#]|$)", (w,)) for w in ("login", "signin")],
     PatternRule("cgi", r"/cgi-bin/", ("cgi", "bin")),
     PatternRule("wp-admin", r"/wp-admin/", ("wp", "admin")),
-    PatternRule("calendar-trap", r"[?&](year|month)=[0-9]+&(month|day)=[0-9]+", ()),
+    *[PatternRule("calendar-trap", rf"[?&]{w}=[0-9]+&(month|day)=[0-9]+", (w,)) for w in ("year", "month")],
 )
 
 
+def read_rules(table: DataFrame) -> tuple[PatternRule, ...]:
+    """Pattern rules from a table ``(position, name, pattern, tokens array<string>, verdict)``, in
+    the order of ``position``.  More than ``MAX_RULES`` rows, an expression that does not compile,
+    a verdict other than allow or block, or tokens that are none or not whole runs are errors."""
+    rows = table.select("position", "name", "pattern", "tokens", "verdict").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    out = []
+    for r in sorted(rows, key=lambda r: (r["position"], r["name"])):
+        tokens = tuple(r["tokens"] or ())
+        if not tokens or not all(TOKEN.fullmatch(t or "") for t in tokens) or r["verdict"] not in (ALLOW, BLOCK):
+            raise ValueError(f"rule {r['name']!r}: no tokens, a token that is no run of a-z or 0-9, or an unknown verdict")
+        try:
+            re.compile(r["pattern"])
+        except (re.error, TypeError) as e:
+            raise ValueError(f"rule {r['name']!r}: {e}") from e
+        out.append(PatternRule(r["name"], r["pattern"], tokens, r["verdict"]))
+    return tuple(out)
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host and path as in the module's text."""
     if url is None or "://" not in url:

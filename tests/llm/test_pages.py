@@ -60,6 +60,28 @@ def test_every_rule_matches_only_urls_with_its_tokens():
                 assert set(r.tokens) <= set(U.TOKEN.findall(u.lower())), (r.name, u)
 
 
+def test_no_production_rule_runs_on_every_url():
+    by, always = U.pattern_index(U.PATTERN_RULES, {})
+    assert always == [] and sum(map(len, by.values())) == len(U.PATTERN_RULES)
+    for url, name in [("http://ads12.x.net/", "ad-server"), ("http://adserver.x.net/", "ad-server"), ("http://x.net/banner/a.png", "banner"),
+                      ("http://x.net/signin.aspx", "login"), ("http://x.net/?month=1&day=2", "calendar-trap")]:
+        hit = [r.name for r in U.PATTERN_RULES if re.search(r.pattern, url) and set(r.tokens) <= set(U.TOKEN.findall(url))]
+        assert hit == [name]
+
+
+def test_rules_from_a_table(spark):
+    kinds = "position int, name string, pattern string, tokens array<string>, verdict string"
+    rows = [(2, "b", "/shop[0-9]+/", ["shop"], "block"), (1, "a", "/shop7/", ["shop", "7"], "allow")]
+    rules = U.read_rules(spark.createDataFrame(rows, kinds))
+    assert [r.name for r in rules] == ["a", "b"]
+    df = spark.createDataFrame([("http://x.net/shop7/",), ("http://x.net/shop71/",), ("http://x.net/shop/",)], "url string")
+    assert [(r.verdict, r.pattern) for r in U.filter_urls(df, pattern_rules=rules).collect()] == [("allow", "a"), ("block", "b"), ("allow", None)]
+    for bad in ((1, "a", "(", ["a"], "block"), (1, "a", "a", [], "block"), (1, "a", "a", None, "block"), (1, "a", "a", ["a7"], "block"),
+                (1, "a", "a", ["a"], "maybe"), (1, "a", None, ["a"], "block")):
+        with pytest.raises(ValueError, match="'a'"):
+            U.read_rules(spark.createDataFrame([bad], kinds))
+
+
 def test_rules_stand_under_their_rarest_token(spark):
     df = spark.createDataFrame([("http://ads.net/",), ("http://ads.org/",), ("http://track.net/",), (None,)], "url string")
     counts = U.token_counts(df, "url", ["ads", "track", "never"])

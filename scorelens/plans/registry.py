@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all():
     # Importing the modules fills the registry.
-    from . import (boundary_queries, choice_queries, curation_queries, feature_queries, evaluation_queries,  # noqa: F401
+    from . import (boundary_queries, choice_queries, sketch_queries, curation_queries, feature_queries, evaluation_queries,  # noqa: F401
                    joint_queries, serving_queries, stream_queries)
 
 

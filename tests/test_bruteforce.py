@@ -2,7 +2,6 @@
 
 import hashlib
 import numpy as np
-from pyspark.sql import functions as F
 
 from scorelens.config import FIXTURE_CURATION
 from scorelens.operators import evaluate as EV
@@ -51,8 +50,6 @@ def test_pca_projection_is_scaled_to_unit_range(spark, sf_dir):
 
 
 def test_plot_sample_is_the_hash_top_k(spark, sf_dir):
-    import hashlib
-
     from scorelens.plans.evaluation_queries import eval_frame, q_plot_sample
     got = [(r.uid, r.mid) for r in q_plot_sample(spark, sf_dir, 50).collect()]
     ev = [(r.uid, r.mid) for r in eval_frame(spark, sf_dir).select("uid", "mid").collect()]

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 def write_key_files(steps: DataFrame, key: str, path: str) -> str:
     lines = steps.select(key, F.concat_ws(",", F.col("offset").cast("string"),
                                           F.col("speed").cast("string")).alias("value"))
-    # no repartition by key: a hot key would become one task; each task writes
-    # its own file into the key's directory instead
-    lines.write.mode("overwrite").partitionBy(key).text(path)
+    # A key's lines are gathered first, so there is a file per key and not one per key and
+    # task; rebalance splits a hot key over several tasks, each with a file in the key's
+    # directory.  Tasks move their own files into place: the driver would move one key after
+    # the other.
+    (lines.hint("rebalance", key).write.mode("overwrite").partitionBy(key)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path))
     return path
 
 

@@ -123,3 +123,12 @@ def test_files_named_by_key(spark, tmp_path):
     assert sorted(((r.mid or 0), r.offset, r.speed) for r in got) == [(0, 2, 2.0), (7, 0, 1.0), (7, 10, 2.0), (8, 5, 1.5)]
     keys = spark.createDataFrame([(7,), (8,), (11,)], "mid long")
     assert [r.mid for r in files.missing_keys(keys, files.read_named_files(spark, str(tmp_path), "mid"), "mid").collect()] == [11]
+
+
+def test_key_files_are_one_for_each_key(spark, tmp_path):
+    from scorelens.sources import files
+    rows = [(k, o, float(o)) for k in (1, 2, 3) for o in range(40)]
+    steps = spark.createDataFrame(rows, "mid bigint, offset bigint, speed double").repartition(6)
+    path = files.write_key_files(steps, "mid", str(tmp_path / "keys"))
+    assert [len(list((tmp_path / "keys" / f"mid={k}").glob("*.txt"))) for k in (1, 2, 3)] == [1, 1, 1]
+    assert sorted(tuple(r) for r in files.read_key_files(spark, path, "mid").collect()) == rows

@@ -10,13 +10,14 @@ are likelier in the target.
   shared vocabulary holds the tokens that occur at least ``LEAST`` times in the target or in
   the corpus, whatever the size of either; the others are one unknown token.
 * Both models have counts of their own for the same pairs, those that occur as often in the
-  target; the mass of the others backs off to the single tokens, so each model sums to one:
+  target or in the corpus; the mass of the others backs off to the single tokens, so each model sums to one:
   ``P(w|v) = (c(v, w) + (MU + r(v)) P(w)) / (c(v) + MU)``, ``r(v)`` being the count of the
   dropped pairs of ``v``.  After an unknown token it is ``P(w)``.
 
-The counts grow with the corpus, so they are a table and never leave Spark.  The target's
-pairs are counted first; a bitmap of their keys (``FILTER_BITS``, 8 MB at any size) spares
-most of the others the shuffle.  It only lets too much through, and the table decides.
+The counts grow with the corpus, so they are a table and never leave Spark.  Both sides are
+counted in one shuffle, every pair of every text.  A bitmap of the kept pairs' keys
+(``FILTER_BITS``, 8 MB at any size) spares the table questions about others.  It only lets too
+much through, and the table decides.
 
 To score, documents are dealt to blocks of about ``BLOCK_BYTES`` of text; each block asks the
 table for the distinct tokens and pairs that it holds, and a task holds the texts and counts
@@ -46,11 +47,11 @@ ADDED = ("n_tokens", "ce_target", "ce_background", "ce_difference")
 LEAST = 2        # occurrences, in the target or in the corpus, of a token or pair with a count
 ALPHA = 1.0      # added to each single token's count
 MU = 8.0         # weight of the single-token model in a pair's estimate
-FLUSH = 2_000_000  # tokens that a task counts before it hands on its sums
+FLUSH = 1_000_000  # tokens that a task counts before it hands on its sums
 BLOCK_BYTES = 16 << 20  # text scored with one set of counts
 BUCKET_KEYS = 1 << 18   # keys of the table that a task holds to answer
 CHUNK_KEYS = 8192       # keys in one row of a question
-FILTER_BITS = 1 << 26   # bitmap of the target's pairs
+FILTER_BITS = 1 << 26   # bitmap of the kept pairs
 BITMAP_BITS = 32768     # bits in a row of Spark's bitmap functions (fixed value)
 # Keys of the start and end of a text and of the row that counts all tokens.
 START, END, ALL = (-(1 << 63) + i for i in range(3))
@@ -101,9 +102,8 @@ def _bitmap(pairs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _sums(texts: DataFrame, n: str, bits=None) -> DataFrame:
-    """``(key, ctx, n)``: sums per task of tokens (no ``ctx``) and of pairs after ``ctx``, those
-    that pass the bitmap if there is one."""
+def _sums(texts: DataFrame, n: str) -> DataFrame:
+    """``(key, ctx, n)``: sums per ``FLUSH`` tokens of tokens (no ``ctx``) and of pairs after ``ctx``."""
     def made(held):
         import pyarrow as pa
         seq = np.concatenate(held)
@@ -111,8 +111,6 @@ def _sums(texts: DataFrame, n: str, bits=None) -> DataFrame:
         v, w = seq[:-1], seq[1:]
         pairs = pair_keys(v, w)
         use = v != END
-        if bits is not None:
-            use &= _passed(pairs, bits.value)
         pair, first, n_pair = np.unique(pairs[use], return_index=True, return_counts=True)
         key = np.concatenate([token, [ALL], pair])
         ctx = np.concatenate([np.zeros(len(token) + 1, dtype=np.int64), v[use][first]])
@@ -132,8 +130,7 @@ def _sums(texts: DataFrame, n: str, bits=None) -> DataFrame:
         if held:
             yield made(held)
 
-    return (texts.mapInArrow(run, f"key bigint, ctx bigint, {n} bigint")
-            .groupBy("key").agg(F.max("ctx").alias("ctx"), F.sum(n).alias(n)))
+    return texts.mapInArrow(run, f"key bigint, ctx bigint, {n} bigint")
 
 
 @dataclass
@@ -152,13 +149,13 @@ def fit(target: DataFrame, whole: DataFrame, text_col: str = "text", least: int
     spark = prepare(whole.sparkSession)
     target, whole = (x.select(F.col(text_col).cast("string").alias("text")) for x in (target, whole))
     mark, single = F.col("key").isin(START, END, ALL), F.col("ctx").isNull()
-    mine = stage_and_free(_sums(target, "n0").where(single | (F.col("n0") >= least)), "lm_target_counts")
-    bits = spark.sparkContext.broadcast(_bitmap(mine.where(~single)))
     marks = spark.createDataFrame([(m, None, 0) for m in (START, END, ALL)], "key bigint, ctx bigint, n0 bigint")
-    kept = stage_and_free(mine.unionByName(marks).unionByName(_sums(whole, "n1", bits), allowMissingColumns=True).groupBy("key")
+    kept = stage_and_free(_sums(whole, "n1").unionByName(_sums(target, "n0"), allowMissingColumns=True)
+                 .unionByName(marks, allowMissingColumns=True).groupBy("key")
                  .agg(F.max("ctx").alias("ctx"), F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"),
                       F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"))
-                 .where((F.col("n0") >= least) | (single & ((F.col("n1") >= least) | mark))), "lm_kept")
+                 .where((F.col("n0") >= least) | (F.col("n1") >= least) | (single & mark)), "lm_kept")
+    bits = spark.sparkContext.broadcast(_bitmap(kept.where(~single)))
     single = kept.where(F.col("ctx").isNull()).select("key", "n0", "n1")
     pairs = kept.where(F.col("ctx").isNotNull())
     after = pairs.groupBy(F.col("ctx").alias("key")).agg(F.sum("n0").alias("k0"), F.sum("n1").alias("k1"))

@@ -103,7 +103,7 @@ def plain_scores(texts, good, least):
         s = ["<s>", *[w if w in vocab else "<u>" for w in tokens(t)], "</s>"]
         return list(zip(s[:-1], s[1:]))
     pair = [collections.Counter(p for t in x for p in steps(t)) for x in (good, texts)]
-    kept = {p for p, n in pair[0].items() if n >= least and "<u>" not in p}
+    kept = {p for c in pair for p, n in c.items() if n >= least and "<u>" not in p}
     total = [sum(c.values()) for c in single]
     scale = (1.0, total[0] / total[1])
     words = [*vocab, "<u>", "</s>"]
@@ -160,6 +160,19 @@ def test_vocabulary_rule_does_not_follow_the_size(spark):
     assert sizes[0] == sizes[1]
 
 
+def test_pairs_of_the_corpus_alone_have_counts(spark):
+    target = spark.createDataFrame([("red fox. blue sky",)], "text string")
+    docs = target.union(spark.createDataFrame([("blue fox",)] * 5 + [("red sky",)], "text string"))
+    model = L.fit(target, docs)
+    counts = {r.key: (r.n0, r.n1) for r in model.counts.collect()}
+    red, blue, fox, sky = L.token_hashes("red blue fox sky")
+    key = {(v, w): int(L.pair_keys(np.array([v]), np.array([w]))[0]) for v in (red, blue) for w in (fox, sky)}
+    assert counts[key[blue, fox]] == (0, 5)
+    assert not {key[red, fox], key[red, sky], key[blue, sky]} & set(counts)
+    scores = {r.text: r for r in L.score(docs, model).collect()}
+    assert scores["blue fox"].ce_background < 2 < scores["blue fox"].ce_target
+
+
 def test_scores_part_target_from_the_rest(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     by = collections.defaultdict(list)

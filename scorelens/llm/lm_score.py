@@ -148,6 +148,8 @@ def fit(target: DataFrame, whole: DataFrame, text_col: str = "text", least: int
     """Counts of both sides, written once; a few totals come to the driver."""
     spark = prepare(whole.sparkSession)
     target, whole = (x.select(F.col(text_col).cast("string").alias("text")) for x in (target, whole))
+    # The target is written first: the shuffle of whole texts that finds it is freed before the counts'.
+    target = stage_and_free(target, "lm_target")
     mark, single = F.col("key").isin(START, END, ALL), F.col("ctx").isNull()
     marks = spark.createDataFrame([(m, None, 0) for m in (START, END, ALL)], "key bigint, ctx bigint, n0 bigint")
     kept = stage_and_free(_sums(whole, "n1").unionByName(_sums(target, "n0"), allowMissingColumns=True)

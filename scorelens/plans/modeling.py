@@ -12,6 +12,7 @@ from ..operators import evaluate as EV
 from ..operators import features as FT
 from ..operators import head as HD
 from ..operators import model as MD
+from ..sources.sinks import stage
 from .training import TrainingTable, training_table
 
 
@@ -36,7 +37,10 @@ def holdout_predictions(tr: Trained, part: str = "val", cold: str | None = None)
 
 def evaluation_report(pred: DataFrame) -> DataFrame:
     """Metrics, errors and counts by truth bin, and 25-bin histograms of truth and prediction
-    as one long table ``(section, key, value)``; rows without a prediction are counted."""
+    as one long table ``(section, key, value)``; rows without a prediction are counted.  The
+    predictions feed every section and are written once."""
+    pred = stage(pred.select("y", "pred"), "evaluated")
+
     def long(df, section, key, cols):
         return df.select(F.lit(section).alias("section"), F.explode(F.array(*[
             F.struct(key(c).alias("key"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x")).select("section", "x.*")

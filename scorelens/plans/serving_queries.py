@@ -130,7 +130,9 @@ def q_prediction_count(spark, sf_dir):
 def q_unknown_keys(spark, sf_dir):
     export = curated_export(spark, sf_dir)
     uids, _ = _labels(export)
-    g = _grid(spark, sf_dir).select("uid_key")
+    # A key of the grid depends on the user alone: each user is expanded once, whatever their requests.
+    users = requests(spark, sf_dir).select("user_id").distinct().withColumn("beatmap_id", F.lit(None).cast("bigint"))
+    g = SV.request_grid(users, "user_id", "beatmap_id", MODEL_YEAR).select("uid_key").distinct()
     return FT.unknown_labels(g, "uid_key", uids)
 
 

@@ -5,6 +5,8 @@ import io
 
 from pyspark.sql import functions as F
 
+from scorelens.operators import serve as SV
+from scorelens.plans import serving_queries as SQ
 from scorelens.plans.modeling import evaluation_report
 
 
@@ -27,3 +29,19 @@ def test_report_makes_the_predictions_once(spark):
     rows = evaluation_report(pred).collect()
     assert made.value == 40
     assert {r.value for r in rows if r.section == "metrics" and r.key == "n"} == {40.0}
+
+
+def test_unknown_keys_expand_each_user_once(spark, sf_dir, monkeypatch):
+    seen = []
+
+    def grid(requests, *args):
+        seen.append(requests)
+        return own(requests, *args)
+
+    own = SV.request_grid
+    monkeypatch.setattr(SV, "request_grid", grid)
+    got = {r.uid_key for r in SQ.q_unknown_keys(spark, sf_dir).collect()}
+    users = SQ.requests(spark, sf_dir).select("user_id").distinct().count()
+    assert seen[0].count() == users < SQ.requests(spark, sf_dir).count()
+    known = {r.uid for r in SQ.curated_export(spark, sf_dir).select("uid").distinct().collect()}
+    assert got == {r.uid_key for r in SQ._grid(spark, sf_dir).select("uid_key").distinct().collect()} - known - {None}

@@ -16,6 +16,7 @@ from ..operators import features as FT
 from ..operators import model as MD
 from ..operators import serve as SV
 from ..sources import fixture
+from ..sources.sinks import stage
 from ..sources.tables import read_table
 from .curation_queries import export as curated_export
 from .curation_sql import curation_ctes, with_curation
@@ -203,7 +204,10 @@ def prediction_grid(tr, requests_with_text, users):
     req = SV.resolve_user(requests_with_text, "user_text", users).withColumnRenamed("uid", "user_id")
     known = SV.known_pairs(req.where(F.col("user_id").isNotNull()), SV.user_years(tr.model.users, MODEL_YEAR),
                            SV.item_speeds(tr.model.items))
-    scored = SV.truthy(MD.predict(tr.model, known, "uid_key", "mid_key", on_unknown="drop"))
+    scored = MD.predict(tr.model, known.select("event_id", "user_id", "username", "speed_label", "year", "uid_key", "mid_key"),
+                        "uid_key", "mid_key", on_unknown="drop")
+    # Both the comparison and the counts read the predictions: they are made once.
+    scored = stage(SV.truthy(scored).drop("uid_key", "mid_key"), "grid_scored")
     key = ["event_id", "user_id", "username"]
     made = scored.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_predictions"))
     return SV.speed_comparison(SV.latest_year(scored, ["event_id"]), key).join(made, "event_id")

@@ -45,3 +45,7 @@ def test_unknown_keys_expand_each_user_once(spark, sf_dir, monkeypatch):
     assert seen[0].count() == users < SQ.requests(spark, sf_dir).count()
     known = {r.uid for r in SQ.curated_export(spark, sf_dir).select("uid").distinct().collect()}
     assert got == {r.uid_key for r in SQ._grid(spark, sf_dir).select("uid_key").distinct().collect()} - known - {None}
+
+
+def test_grid_scores_its_pairs_once(spark, sf_dir):
+    assert joins(SQ.q_prediction_grid(spark, sf_dir)) == 1

@@ -17,6 +17,7 @@ from ..operators import evaluate as EV
 from ..operators import head as HD
 from ..operators import model as MD
 from ..session import shared_path
+from ..sources.sinks import stage
 from ..sources.tables import read_table
 from .curation import curated_name
 from .curation_queries import CFG
@@ -344,10 +345,11 @@ def q_model_roundtrip(spark, sf_dir):
     HD.save_head(spark, head, f"{path}/head")
     again = Trained(tr.table, MD.load(spark, path))
     head2 = HD.load_head(spark, f"{path}/head")
-    rows = tr.table.rows.where(F.col("part") == "val").select("uid", "mid").distinct()
+    # Every check for unknown keys reads the pairs again: they are made once.
+    rows = stage(tr.table.rows.where(F.col("part") == "val").select("uid", "mid").distinct(), "roundtrip_pairs")
     out = None
     for i, (t, h) in enumerate(((tr, head), (again, head2))):
-        p = predict_head(t, h, MD.predict(t.model, rows, out=f"p{i}"), out=f"h{i}")
+        p = predict_head(t, h, stage(MD.predict(t.model, rows, out=f"p{i}"), "roundtrip_scored"), out=f"h{i}")
         out = p if out is None else out.join(p, ["uid", "mid"])
     return out.agg(F.count(F.lit(1)).alias("n_pairs"), F.max(F.abs(F.col("p0") - F.col("p1"))).alias("max_diff"),
                    F.max(F.abs(F.col("h0") - F.col("h1"))).alias("max_head_diff"))

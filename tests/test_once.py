@@ -6,6 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from scorelens.operators import serve as SV
+from scorelens.plans import evaluation_queries as EQ
 from scorelens.plans import serving_queries as SQ
 from scorelens.plans.modeling import evaluation_report
 
@@ -47,5 +48,7 @@ def test_unknown_keys_expand_each_user_once(spark, sf_dir, monkeypatch):
     assert got == {r.uid_key for r in SQ._grid(spark, sf_dir).select("uid_key").distinct().collect()} - known - {None}
 
 
-def test_grid_scores_its_pairs_once(spark, sf_dir):
+def test_grid_and_roundtrip_score_their_pairs_once(spark, sf_dir):
     assert joins(SQ.q_prediction_grid(spark, sf_dir)) == 1
+    # both heads join two key tables and the quantiles, and the results meet once (13 before)
+    assert joins(EQ.q_model_roundtrip(spark, sf_dir)) == 7

@@ -65,3 +65,13 @@ def test_queries_are_their_sql(spark):
         res = duck(SF).execute(registry.oracle_sql()[name])
         same, a, b = compare([tuple(r) for r in df.collect()], df.columns, res.fetchall(), [c[0] for c in res.description])
         assert same and a, name
+
+
+def test_played_bitmaps_hold_one_word_per_touched_word(spark):
+    """A bitmap's row has a fixed width: no 4 KB per user and bucket in sorts and shuffles."""
+    codes = spark.range(3 * PL.BITS).selectExpr("concat('i', id) AS label", "id AS code")
+    plays = spark.createDataFrame([("a", f"i{m}") for m in (0, 63, 63, 64, PL.BITS + 63, 3 * PL.BITS - 1)], "uid string, mid string")
+    maps = PL.bitmaps(plays, codes)
+    assert dict(maps.dtypes)["bits"] == "bigint"
+    assert {(r.bucket, r.word): r.bits & (2 ** 64 - 1) for r in maps.collect()} == {
+        (1, 0): 1 + 2 ** 63, (1, 1): 1, (2, 0): 2 ** 63, (3, PL.BITS // PL.WORD - 1): 2 ** 63}

@@ -30,6 +30,7 @@ from ..sources.sinks import stage
 
 DEFAULT_ROWS_PER_BUCKET = 1 << 20
 BUCKETS = 256
+STEPS_PER_TASK = "8m"  # shuffled; sorting and summing take some 20 times that in memory
 
 
 def scroll_variance(steps: DataFrame, key: str = "mid",
@@ -41,7 +42,7 @@ def scroll_variance(steps: DataFrame, key: str = "mid",
                       F.col("speed").cast("double").alias("v")).where(F.col("o").isNotNull())
          .groupBy("k", "o").agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("n")))
     if rows_per_bucket:
-        s = stage(s, "steps", stage_mode)
+        s = stage(s, "steps", stage_mode, STEPS_PER_TASK)
         hot = s.groupBy("k").agg(F.count(F.lit(1)).alias("n_k")).where(F.col("n_k") > rows_per_bucket).select("k")
         cuts = (s.join(hot, "k", "left_semi").groupBy("k")
                 .agg(F.array_distinct(F.percentile_approx("o", [i / BUCKETS for i in range(1, BUCKETS)], 10_000)).alias("cuts")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CurationConfig, config_key
 from ..operators import curate as C
-from ..operators.metric import DEFAULT_ROWS_PER_BUCKET, item_metric
+from ..operators.metric import DEFAULT_ROWS_PER_BUCKET, STEPS_PER_TASK, item_metric
 from ..sources.sinks import stage
 
 
@@ -39,7 +39,7 @@ def curation_stages(scores: DataFrame, items: DataFrame, steps: DataFrame,
     act_items = C.active_items(scored, cfg)
     act_users = C.active_users(scored, cfg)
     metric = item_metric(act_items, steps, "mid", rows_per_bucket, stage_mode)
-    low_var = stage(C.low_variance_items(act_items, metric, cfg), "low_variance", stage_mode)
+    low_var = stage(C.low_variance_items(act_items, metric, cfg), "low_variance", stage_mode, STEPS_PER_TASK)
     curated = C.curated_scores(scored, low_var, act_users, cfg)
     # The export feeds every later job (fit, split, evaluation), which read it
     # several times each: it is written once, like the reference's dataset file.

@@ -144,7 +144,7 @@ def q_item_metric_left(spark, sf_dir):
 
 @register("low_variance_items", with_curation("SELECT * FROM low_variance"))
 def q_low_variance_items(spark, sf_dir):
-    return stages(spark, sf_dir, stage_mode="none").low_variance
+    return stages(spark, sf_dir, export_stage_mode="none").low_variance
 
 
 @register("curated_scores", with_curation("SELECT * FROM curated"))

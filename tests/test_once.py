@@ -6,9 +6,11 @@ import io
 from pyspark.sql import functions as F
 
 from scorelens.operators import serve as SV
+from scorelens.plans import curation_queries as CQ
 from scorelens.plans import evaluation_queries as EQ
 from scorelens.plans import serving_queries as SQ
 from scorelens.plans.modeling import evaluation_report
+from scorelens.sources import sinks as SK
 
 
 def joins(df) -> int:
@@ -52,3 +54,25 @@ def test_grid_and_roundtrip_score_their_pairs_once(spark, sf_dir):
     assert joins(SQ.q_prediction_grid(spark, sf_dir)) == 1
     # both heads join two key tables and the quantiles, and the results meet once (13 before)
     assert joins(EQ.q_model_roundtrip(spark, sf_dir)) == 7
+
+
+def test_low_variance_items_reads_staged_steps_and_keeps_tasks_small(spark, sf_dir):
+    """The windows over the steps run in writes of their own, in tasks of few shuffled bytes."""
+    own, before = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"), spark.conf.get(SK.TASK_BYTES, None)
+    df = CQ.q_low_variance_items(spark, sf_dir)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    assert "Window" not in out.getvalue()
+    during = []
+
+    class Probe:
+        sparkSession = spark
+
+        @property
+        def write(self):
+            during.append(spark.conf.get(SK.TASK_BYTES, None))
+            return own.write
+
+    assert SK.stage(Probe(), "probe", task_bytes="8m").count() == own.count()
+    assert during == ["8m"] and spark.conf.get(SK.TASK_BYTES, None) == before

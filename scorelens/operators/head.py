@@ -208,7 +208,11 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
     scale, ``accuracy`` and ``_base`` (what ``y`` is measured from) plus the fitted
     ``quantiles`` (the losses are on the normalised scale)."""
     d = cfg.dim
-    tr = rows.where(F.col("part") == train_part)
+    with_mae = quantiles is not None and "accuracy" in rows.columns
+    # The joins that made the rows run once: the statistics and every epoch read them again.
+    seen = stage(rows.where(F.col("part").isin(train_part, val_part)).select(
+        "eu", "em", "y", "part", "uid", "mid", *(["accuracy", "_base"] if with_mae else [])), "head_rows")
+    tr = seen.where(F.col("part") == train_part)
     stats = tr.agg(*[F.avg(F.col("eu")[i].cast("double")).alias(f"mu_u{i}") for i in range(d)],
                    *[F.stddev_pop(F.col("eu")[i].cast("double")).alias(f"sd_u{i}") for i in range(d)],
                    *[F.avg(F.col("em")[i].cast("double")).alias(f"mu_m{i}") for i in range(d)],
@@ -225,9 +229,6 @@ def train_head(rows: DataFrame, cfg: HeadConfig = HeadConfig(), train_part: str
                 init_params(d, cfg.seed, float(stats["y_mean"] or 0.0)))
     # Every epoch reads the same standardised rows: write them once.
     feats = stage(features(tr, head).select("zu", "zm", "y", "uid", "mid"), "head_train")
-    with_mae = quantiles is not None and "accuracy" in rows.columns
-    seen = stage(rows.where(F.col("part").isin(train_part, val_part)).select(
-        "eu", "em", "y", "part", *(["accuracy", "_base"] if with_mae else [])), "head_rows")
 
     def measured() -> dict:
         """Losses and MAEs of both parts, and the sums for the output's weight: one job."""

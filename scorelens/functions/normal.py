@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import dlit, horner, horner_sql
@@ -47,21 +47,43 @@ HART_FAR = 37.0
 SQRT_2PI = 2.506628274631
 
 
+def _central(q: Column, r: Column) -> Column:
+    return q * horner(AS241_CENTRAL_NUM, r) / horner(AS241_CENTRAL_DEN, r)
+
+
+def _outer(r: Column) -> Column:
+    mid = horner(AS241_MID_NUM, r - 1.6) / horner(AS241_MID_DEN, r - 1.6)
+    tail = horner(AS241_TAIL_NUM, r - 5.0) / horner(AS241_TAIL_DEN, r - 5.0)
+    return F.when(r <= 5.0, mid).otherwise(tail)
+
+
+def _radius(p: Column, q: Column) -> Column:
+    return F.sqrt(-F.log(F.when(q <= 0, p).otherwise(F.lit(1.0) - p)))
+
+
 def inv_cdf(p: Column) -> Column:
     """Quantile of the standard normal; NULL outside (0, 1)."""
     q = p - F.lit(0.5)
-    r_c = F.lit(0.180625) - q * q
-    central = q * horner(AS241_CENTRAL_NUM, r_c) / horner(AS241_CENTRAL_DEN, r_c)
-    r_t = F.sqrt(-F.log(F.when(q <= 0, p).otherwise(F.lit(1.0) - p)))
-    mid = horner(AS241_MID_NUM, r_t - 1.6) / horner(AS241_MID_DEN, r_t - 1.6)
-    tail = horner(AS241_TAIL_NUM, r_t - 5.0) / horner(AS241_TAIL_DEN, r_t - 5.0)
-    x_t = F.when(r_t <= 5.0, mid).otherwise(tail)
+    x_t = _outer(_radius(p, q))
     x_t = F.when(q < 0, -x_t).otherwise(x_t)
     return (F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
-            .when(F.abs(q) <= 0.425, central)
+            .when(F.abs(q) <= 0.425, _central(q, F.lit(0.180625) - q * q))
             .otherwise(x_t))
 
 
+def with_inv_cdf(df: DataFrame, p: str, out: str) -> DataFrame:
+    """``df`` with ``inv_cdf`` of the column ``p``, the same arithmetic in steps of a column
+    each: as one expression every use of a step repeats its code, which is then too long for
+    the JVM to compile."""
+    q = F.col("_q")
+    t = df.withColumn("_q", F.col(p) - F.lit(0.5))
+    t = t.withColumns({"_rc": F.lit(0.180625) - q * q, "_rt": F.when(F.abs(q) > 0.425, _radius(F.col(p), q))})
+    t = t.withColumns({"_xc": _central(q, F.col("_rc")), "_xt": _outer(F.col("_rt"))})
+    x = (F.when((F.col(p) <= 0) | (F.col(p) >= 1), F.lit(None).cast("double"))
+         .when(F.abs(q) <= 0.425, F.col("_xc")).when(q < 0, -F.col("_xt")).otherwise(F.col("_xt")))
+    return t.withColumn(out, x).drop("_q", "_rc", "_rt", "_xc", "_xt")
+
+
 def cdf(x: Column) -> Column:
     a = F.abs(x)
     e = F.exp(-a * a / 2.0)

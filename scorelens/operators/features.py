@@ -25,10 +25,11 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import BOUNDS_THRESHOLD, CLIP_HIGH, CLIP_LOW, cdf, inv_cdf
+from ..functions.normal import BOUNDS_THRESHOLD, CLIP_HIGH, CLIP_LOW, cdf, with_inv_cdf
+from ..sources.sinks import stage
 from .ranking import prefix_sum, row_index
 
 MAX_QUANTILES = 1000
@@ -205,12 +206,12 @@ def to_uniform(df: DataFrame, col: str, model: QuantileModel, out: str) -> DataF
 def normalize(df: DataFrame, col: str, model: QuantileModel, out: str | None = None) -> DataFrame:
     """Quantile-to-normal transform of ``col`` (replaced unless ``out``)."""
     out = out or col
-    u = to_uniform(df, col, model, "_u")
+    u = with_inv_cdf(to_uniform(df, col, model, "_u"), "_u", "_z")
     z = (F.when(F.col("_u").isNull(), F.lit(None).cast("double"))
          .when(F.col("_u") <= 0, F.lit(CLIP_LOW))
          .when(F.col("_u") >= 1, F.lit(CLIP_HIGH))
-         .otherwise(F.least(F.greatest(inv_cdf(F.col("_u")), F.lit(CLIP_LOW)), F.lit(CLIP_HIGH))))
-    keep = [c for c in u.columns if c not in ("_u", out)]
+         .otherwise(F.least(F.greatest(F.col("_z"), F.lit(CLIP_LOW)), F.lit(CLIP_HIGH))))
+    keep = [c for c in u.columns if c not in ("_u", "_z", out)]
     return u.select(*keep, z.alias(out))
 
 
@@ -241,6 +242,8 @@ def inverse(df: DataFrame, col: str, model: QuantileModel, out: str | None = Non
 
 # ---------------------------------------------------------------- split
 PARTS = ("train", "test", "val")
+HASH_BITS = 60   # of ``split_hash``
+GROUP_BITS = 16  # of them, whose rows are counted together
 
 
 def split_sizes(n: int, fractions=(0.8, 0.1, 0.1)) -> tuple[int, int, int]:
@@ -264,21 +267,40 @@ def exact_split(df: DataFrame, fractions=(0.8, 0.1, 0.1), seed: int = 373,
     """Add ``part`` in {train, test, val} with exact sizes int(.8n), int(.1n),
     rest.  Rows are ordered by ``split_hash`` and then by all their columns, so
     the split does not depend on partitioning or input order; identical rows
-    are interchangeable."""
+    are interchangeable.
+
+    Only the rows near a cut are put in order: rows are counted by the first bits of
+    their hash, a group of hashes that lies whole in one part gives its rows that part, and
+    the (at most two) groups with a cut inside are ranked."""
     cols = df.columns
-    # Identical rows share a hash; the position tie-breaker lets the range
-    # partitioner split a large group of copies (a third of the rows in one
-    # task otherwise).  Copies are interchangeable, so which copy lands in
-    # which part does not change the result; on a table scan the position is
-    # deterministic as well.
-    h = df.withColumn("_h", split_hash(df, seed)).withColumn("_t", F.monotonically_increasing_id())
     if abs(sum(fractions) - 1.0) > 1e-9:
         raise ValueError("train/test/val fractions must sum to 1")
-    idx = row_index(h, ["_h", *cols, "_t"], "_i", n_partitions)
-    # n from the (staged) ranked rows in the same plan; int(n * f) as floor
-    n = idx.select(F.count(F.lit(1)).cast("double")).scalar()
-    n_train = F.floor(n * F.lit(float(fractions[0])))
-    n_test = F.floor(n * F.lit(float(fractions[1])))
-    part = (F.when(F.col("_i") < n_train, F.lit("train"))
-            .when(F.col("_i") < n_train + n_test, F.lit("test")).otherwise(F.lit("val")))
-    return idx.withColumn("part", part).drop("_h", "_t", "_i")
+    h = df.withColumn("_h", split_hash(df, seed))
+    g = F.shiftright("_h", HASH_BITS - GROUP_BITS)
+    per = h.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n"))  # at most 2 ** GROUP_BITS rows
+    ends = stage(per.select("g", "n", F.sum("n").over(Window.orderBy("g")).alias("end")), "split_groups")
+    n = ends.agg(F.max("end")).first()[0] or 0
+    n_train = int(n * fractions[0])
+    cuts = [n_train, n_train + int(n * fractions[1])]
+    # ``(g, rows before g)`` of the group that holds the row at each cut.
+    at = [ends.where(F.col("end") > c).agg(F.min("g").alias("g"), F.min_by(F.col("end") - F.col("n"), "g").alias("before")).first()
+          for c in cuts]
+
+    def part(first, second):
+        return F.when(first, F.lit("train")).when(second, F.lit("test")).otherwise(F.lit("val"))
+
+    whole, found = F.lit(True), {}
+    for c, a in zip(cuts, at):
+        if a["g"] is not None and a["before"] < c:  # a cut inside the group
+            whole, found[a["g"]] = whole & (g != a["g"]), a["before"]
+    # A cut at or after the last row has all groups before it.
+    before = [F.lit(True) if a["g"] is None else g < a["g"] for a in at]
+    out = h.where(whole).select(*cols, part(*before).alias("part"))
+    for k, first in found.items():
+        # Identical rows share a hash; the position tie-breaker lets the range partitioner split
+        # a large group of copies.  Copies are interchangeable, so which copy lands in which
+        # part does not change the result.
+        i = row_index(h.where(g == k).withColumn("_t", F.monotonically_increasing_id()), ["_h", *cols, "_t"], "_i", n_partitions)
+        pos = F.col("_i") + first
+        out = out.unionByName(i.select(*cols, part(*[pos < c for c in cuts]).alias("part")))
+    return out

@@ -33,10 +33,11 @@ def training_table(export: DataFrame, cfg: TrainConfig = TrainConfig(), stage_mo
                   .unionByName(c["mid"].select(F.lit("mid").alias("kind"), "label", "code")), "codes", stage_mode)
     uid_codes = codes.where(F.col("kind") == "uid").select("label", "code")
     mid_codes = codes.where(F.col("kind") == "mid").select("label", "code")
-    rows = FT.normalize(split, "accuracy", qm, "y")
     # left: with fit_on="train" a val/test key unseen in training keeps a NULL
     # code (a cold-start row) instead of vanishing
-    rows = FT.encode(rows, "uid", uid_codes, "uid_le", "left")
+    rows = FT.encode(split, "uid", uid_codes, "uid_le", "left")
     rows = FT.encode(rows, "mid", mid_codes, "mid_le", "left")
+    # after the joins, which then do not shuffle it
+    rows = FT.normalize(rows, "accuracy", qm, "y")
     rows = rows.select("mid", "uid", "accuracy", "y", "uid_le", "mid_le", "part")
     return TrainingTable(stage(rows, "training_rows", stage_mode), qm, uid_codes, mid_codes)

@@ -14,8 +14,10 @@ are likelier in the target.
   ``P(w|v) = (c(v, w) + (MU + r(v)) P(w)) / (c(v) + MU)``, ``r(v)`` being the count of the
   dropped pairs of ``v``.  After an unknown token it is ``P(w)``.
 
-The counts grow with the corpus, so they are a table and never leave Spark.  Both sides are
-counted in one shuffle, every pair of every text.  A bitmap of the kept pairs' keys
+The counts grow with the corpus, so they are a table and never leave Spark.  Every pair of every
+text of both sides is counted: tasks sum up some ``FLUSH`` tokens each, and their sums go to buckets
+as sorted keys packed by their differences.  The keys are counted in ``PARTS`` ranges, one after the
+other, so the texts are read once for each and must not change meanwhile.  A bitmap of the kept pairs' keys
 (``FILTER_BITS``, 8 MB at any size) spares the table questions about others.  It only lets too
 much through, and the table decides.
 
@@ -33,6 +35,7 @@ other columns are kept, but for those named like an added one (``ADDED``).
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,13 +44,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, prefix_hashes, prepare, span_hashes, stage_and_free
+from ..session import scratch_path
+from ..sources.sinks import delete_path, write_table
+from .common import drop_staged, mix64, prefix_hashes, prepare, span_hashes, stage_and_free
 
 ADDED = ("n_tokens", "ce_target", "ce_background", "ce_difference")
 LEAST = 2        # occurrences, in the target or in the corpus, of a token or pair with a count
+PARTS = 2        # ranges of the keys, counted one after the other: the disk holds the sums of one
+BUCKET_BYTES = 8 << 20  # text for whose keys there is one bucket of sums (1024 buckets at least)
 ALPHA = 1.0      # added to each single token's count
 MU = 8.0         # weight of the single-token model in a pair's estimate
-FLUSH = 1_000_000  # tokens that a task counts before it hands on its sums
+FLUSH = 2_000_000  # tokens that a task counts before it hands on its sums; sums that it adds up at once
 BLOCK_BYTES = 16 << 20  # text scored with one set of counts
 BUCKET_KEYS = 1 << 18   # keys of the table that a task holds to answer
 CHUNK_KEYS = 8192       # keys in one row of a question
@@ -55,6 +62,7 @@ FILTER_BITS = 1 << 26   # bitmap of the kept pairs
 BITMAP_BITS = 32768     # bits in a row of Spark's bitmap functions (fixed value)
 # Keys of the start and end of a text and of the row that counts all tokens.
 START, END, ALL = (-(1 << 63) + i for i in range(3))
+NONE = -(1 << 63) + 3  # stands before single tokens, in packed sums
 
 # Byte classes: 0 white space and controls, 1 letters, digits and all of UTF-8's upper bytes, 2 marks.
 _KIND = np.full(256, 2, dtype=np.uint8)
@@ -102,21 +110,44 @@ def _bitmap(pairs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _sums(texts: DataFrame, n: str) -> DataFrame:
-    """``(key, ctx, n)``: sums per ``FLUSH`` tokens of tokens (no ``ctx``) and of pairs after ``ctx``."""
+def _part(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Which keys are in this one of so many equal ranges."""
+    return ((keys >> 32) + (1 << 31)) * parts >> 32 == part
+
+
+def _runs_of(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values in a sorted array begin, and its length."""
+    return np.concatenate([np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[:len(x)]), [len(x)]])
+
+
+def _marks(side: int, shift: int, *n: int) -> tuple:
+    """A row of packed sums of START, END and ALL, which are in the first part."""
+    return START >> shift, side, 3, pack_keys(np.array([START, END, ALL])), None, pack_counts([np.array(n)])
+
+
+def _sums(texts: DataFrame, side: int, part: int, parts: int, shift: int) -> DataFrame:
+    """Packed sums per ``FLUSH`` tokens of the tokens (``NONE`` before) and of the pairs of one part of the
+    keys: a row has the ``n`` keys of a bucket, the token before each and the counts."""
     def made(held):
         import pyarrow as pa
         seq = np.concatenate(held)
-        token, n_token = np.unique(seq, return_counts=True)
         v, w = seq[:-1], seq[1:]
         pairs = pair_keys(v, w)
-        use = v != END
-        pair, first, n_pair = np.unique(pairs[use], return_index=True, return_counts=True)
-        key = np.concatenate([token, [ALL], pair])
-        ctx = np.concatenate([np.zeros(len(token) + 1, dtype=np.int64), v[use][first]])
-        total = np.concatenate([n_token, [len(seq) - 2 * len(held)], n_pair])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(ctx, mask=np.arange(len(key)) <= len(token)), pa.array(total)], names=["key", "ctx", n])
+        use = _part(pairs, part, parts) & (v != END)
+        pairs, v = pairs[use], v[use]
+        order = np.argsort(pairs)
+        rows = [_marks(side, shift, 0, 0, len(seq) - 2 * len(held))] if part == 0 else []
+        for x, before in ((np.sort(seq[_part(seq, part, parts)]), None), (pairs[order], v[order])):
+            first = _runs_of(x)
+            keys, n = x[first[:-1]], np.diff(first)
+            before = None if before is None else before[first[:-1]]
+            cuts = _runs_of(keys >> shift).tolist()
+            rows += [(int(keys[i] >> shift), side, j - i, pack_keys(keys[i:j]), None if before is None else before[i:j].tobytes(), pack_counts([n[i:j]]))
+                     for i, j in zip(cuts[:-1], cuts[1:])]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["bucket", "side", "n", "keys", "before", "counts"]
+        for i in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i:i + 1000]), kinds)], names=names)
 
     def run(batches):
         held, size = [], 0
@@ -125,12 +156,45 @@ def _sums(texts: DataFrame, n: str) -> DataFrame:
                 held.append(sequence(text))
                 size += len(held[-1])
                 if size >= FLUSH:
-                    yield made(held)
+                    yield from made(held)
                     held, size = [], 0
         if held:
-            yield made(held)
+            yield from made(held)
+
+    return texts.mapInArrow(run, "bucket bigint, side int, n bigint, keys binary, before binary, counts binary")
+
+
+def _kept(sums: DataFrame, least: int) -> DataFrame:
+    """``(key, ctx, n0, n1)`` of the tokens (no ``ctx``) and pairs with ``least`` occurrences on a side, and of the marks.
+    Whole buckets are summed, together until they hold about ``FLUSH`` sums."""
+    def summed(held):
+        import pyarrow as pa
+        key, ctx, side, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        key, ctx, side, n = key[order], ctx[order], side[order], n[order]
+        first = _runs_of(key)[:-1]
+        key, ctx = key[first], ctx[first]
+        n0, n1 = (np.add.reduceat(np.where(side == k, n, 0), first) for k in (0, 1))
+        token = ctx == NONE
+        use = (n0 >= least) | (n1 >= least) | (token & np.isin(key, [START, END, ALL]))
+        return pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(ctx[use], mask=token[use]), pa.array(n0[use]), pa.array(n1[use])],
+                                          names=["key", "ctx", "n0", "n1"])
+
+    def run(batches):
+        bucket, held, size = None, [], 0
+        for (at,), rows in _runs(batches, "bucket"):
+            if at != bucket and size >= FLUSH:
+                yield summed(held)
+                held, size = [], 0
+            bucket = at
+            for side, n, keys, before, counts in zip(*[rows[c].to_pylist() for c in ("side", "n", "keys", "before", "counts")]):
+                before = np.full(n, NONE) if before is None else np.frombuffer(before, dtype=np.int64)
+                held.append((unpack_keys(keys, n), before, np.full(n, side, dtype=np.int8), unpack_counts(counts, n, 1)[0]))
+                size += n
+        if held:
+            yield summed(held)
 
-    return texts.mapInArrow(run, f"key bigint, ctx bigint, {n} bigint")
+    return sums.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, ctx bigint, n0 bigint, n1 bigint")
 
 
 @dataclass
@@ -144,19 +208,20 @@ class Model:
     shift: int               # a key's bucket is the key shifted right by so many bits
 
 
-def fit(target: DataFrame, whole: DataFrame, text_col: str = "text", least: int = LEAST) -> Model:
-    """Counts of both sides, written once; a few totals come to the driver."""
+def fit(target: DataFrame, whole: DataFrame, text_col: str = "text", least: int = LEAST, parts: int = PARTS) -> Model:
+    """Counts of both sides, written once; a few totals come to the driver.  What is staged besides is deleted."""
     spark = prepare(whole.sparkSession)
     target, whole = (x.select(F.col(text_col).cast("string").alias("text")) for x in (target, whole))
     # The target is written first: the shuffle of whole texts that finds it is freed before the counts'.
     target = stage_and_free(target, "lm_target")
     mark, single = F.col("key").isin(START, END, ALL), F.col("ctx").isNull()
-    marks = spark.createDataFrame([(m, None, 0) for m in (START, END, ALL)], "key bigint, ctx bigint, n0 bigint")
-    kept = stage_and_free(_sums(whole, "n1").unionByName(_sums(target, "n0"), allowMissingColumns=True)
-                 .unionByName(marks, allowMissingColumns=True).groupBy("key")
-                 .agg(F.max("ctx").alias("ctx"), F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"),
-                      F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"))
-                 .where((F.col("n0") >= least) | (F.col("n1") >= least) | (single & mark)), "lm_kept")
+    size = sum(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for x in (target, whole))
+    shift = 64 - max(10, (size // BUCKET_BYTES).bit_length())
+    made = []
+    for part in range(parts):
+        sums = _sums(whole, 1, part, parts, shift).union(_sums(target, 0, part, parts, shift))
+        made.append(stage_and_free(_kept(sums if part else sums.union(spark.createDataFrame([_marks(0, shift, 0, 0, 0)], sums.schema)), least), "lm_kept"))
+    kept = functools.reduce(DataFrame.union, made)
     bits = spark.sparkContext.broadcast(_bitmap(kept.where(~single)))
     single = kept.where(F.col("ctx").isNull()).select("key", "n0", "n1")
     pairs = kept.where(F.col("ctx").isNotNull())
@@ -167,6 +232,7 @@ def fit(target: DataFrame, whole: DataFrame, text_col: str = "text", least: int
     whole_side = [F.sum(F.when(F.col("key") == m, F.col(c))) for m in (ALL, END) for c in ("n0", "n1")]
     n_vocab, *sums = [x or 0 for x in single.agg(F.count_if(~mark), *own, *whole_side).first()]
     vocab, total, ends = sums[:2], sums[2:4], sums[4:]
+    drop_staged(target, *made)
     return Model(bits, counts, n_vocab, tuple(total[k] - vocab[k] for k in (0, 1)), tuple(total[k] + ends[k] for k in (0, 1)),
                  (1.0, total[0] / total[1] if total[1] else 0.0), 64 - max(6, (counts.count() // BUCKET_KEYS).bit_length()))
 
@@ -327,7 +393,7 @@ def _answers(batches):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_tokens, ce_target, ce_background, ce_difference`` (bits per token)."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     own = [c for c in docs.columns if c not in ADDED]
     # A text of type string is carried once, the other columns in a struct: their names cannot clash.
     carried = [c for c in own if c != text_col or not isinstance(docs.schema[c].dataType, T.StringType)]
@@ -339,12 +405,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", block_bytes: in
     row_type = T.StructField("own", given.schema["own"].dataType, True)
     kinds = T.StructType([*[T.StructField(c, long) for c in ("block", "bucket", "at", "n")], T.StructField("asked", T.BinaryType()),
                           T.StructField("text", T.StringType()), row_type])
-    blocks = stage_and_free(given.mapInArrow(lambda batches: _asked(batches, bits, block_bytes, shift), kinds), "lm_blocks")
+    # Questions are a folder beside the texts', deleted once answered.
+    path = write_table(given.mapInArrow(lambda batches: _asked(batches, bits, block_bytes, shift), kinds)
+                       .withColumn("asks", F.col("bucket").isNotNull().cast("int")), scratch_path(spark, "lm_blocks"), partition_by=["asks"])
+    blocks = spark.read.schema(T.StructType([*kinds, T.StructField("asks", T.IntegerType())])).parquet(path)
     table = model.counts.select(F.shiftright("key", shift).alias("bucket"), F.lit(-1).cast("bigint").alias("block"), "key", "n0", "n1", "k0", "k1")
-    asks = table.unionByName(blocks.where("bucket is not null").select("bucket", "block", "at", "n", "asked"), allowMissingColumns=True)
-    answers = stage_and_free(asks.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(
-        _answers, "block bigint, at bigint, n bigint, answer binary"), "lm_answers")
-    both = answers.unionByName(blocks.where("bucket is null").select("block", "text", "own"), allowMissingColumns=True)
+    asks = table.unionByName(blocks.where("asks = 1").select("bucket", "block", "at", "n", "asked"), allowMissingColumns=True)
+    # One half of the buckets after the other: the disk holds the questions and the table of one.
+    answers = functools.reduce(DataFrame.union, [stage_and_free(
+        asks.where(half).repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(
+            _answers, "block bigint, at bigint, n bigint, answer binary"), "lm_answers") for half in ("bucket < 0", "bucket >= 0")])
+    delete_path(spark, f"{path}/asks=1")
+    both = answers.unionByName(blocks.where("asks = 0").select("block", "text", "own"), allowMissingColumns=True)
     totals = (model.n_vocab, model.unknown, model.mass, model.scale)
 
     def scored(parts, seqs, said):

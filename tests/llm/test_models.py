@@ -4,6 +4,7 @@ accuracy and edges."""
 import collections
 import hashlib
 import math
+import pathlib
 import re
 
 import numpy as np
@@ -17,6 +18,7 @@ from scorelens.llm import lm_score as L
 from scorelens.llm import mixing as M
 from scorelens.llm import quality as C
 from scorelens.llm import queries as Q
+from scorelens.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 LABELS = "doc_id long, quality int, toxic int"
@@ -173,6 +175,43 @@ def test_pairs_of_the_corpus_alone_have_counts(spark):
     assert scores["blue fox"].ce_background < 2 < scores["blue fox"].ce_target
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_counts_are_whole_in_any_parts(spark, monkeypatch, parts):
+    monkeypatch.setattr(L, "FLUSH", 500)
+    texts = [f"w{i % 7} w{i % 5} common w{i % 11}; once{i}" for i in range(200)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [("",), (None,)], "text string").repartition(3)
+    good = [t for t in texts if "w3" in t]
+    counts = {r.key: (r.n0, r.n1) for r in L.fit(docs.where("text like '%w3%'"), docs, parts=parts).counts.collect()}
+    want = [collections.Counter(), collections.Counter()]
+    for c, x in zip(want, (good, [*texts, "", None])):
+        for t in x:
+            seq = L.sequence(t)
+            c.update(seq.tolist() + L.pair_keys(seq[:-1], seq[1:]).tolist() + [L.ALL] * (len(seq) - 2))
+    marks = {L.START, L.END, L.ALL}
+    assert counts == {k: (want[0][k], n) for k, n in want[1].items() if n >= L.LEAST or k in marks}
+
+
+def test_pair_sums_are_packed(spark):
+    docs = spark.range(3000).selectExpr("concat_ws(' ', transform(sequence(0, 30), i -> substr(sha2(concat(id, i), 256), 1, 3))) AS text")
+    rows = L._sums(docs.coalesce(1), 1, 0, 1, 54).collect()
+    size = sum(len(x) for r in rows for x in (r["keys"], r["before"], r["counts"]) if x)
+    assert len(rows) <= 2 * 1024 + 1 and sum(r["n"] for r in rows) > 50_000
+    assert size < 18 * sum(r["n"] for r in rows)  # a row of its own for each has 40 bytes
+
+
+def test_staged_tables_are_deleted_when_read(spark):
+    def folders():
+        top = pathlib.Path(scratch_path(spark, "lm_kept")).parent.parent
+        return {str(p) for n in ("lm_target", "lm_kept", "lm_blocks") for p in top.glob(f"{n}/*")}
+    before = folders()
+    docs = spark.createDataFrame([("red fox red fox",), ("blue sky",)], "text string")
+    model = L.fit(docs.limit(1), docs)
+    assert folders() == before
+    out = L.score(docs, model)
+    path, = folders() - before
+    assert out.count() == 2 and [p.name for p in pathlib.Path(path).glob("asks=*")] == ["asks=0"]
+
+
 def test_scores_part_target_from_the_rest(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     by = collections.defaultdict(list)

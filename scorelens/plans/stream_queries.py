@@ -119,12 +119,15 @@ def q_key_files_scan(spark, sf_dir):
     the step table and read back; every eligible item is a key, and keys
     without a file keep a NULL metric (``has_file`` reports them)."""
     st = stages(spark, sf_dir, stage_mode="none")
-    active = st.active_items.select("mid").distinct()
+    active = sinks.stage(st.active_items.select("mid").distinct(), "key_files_items")
     path = shared_path(spark, "key_files")
-    files.write_key_files(st_steps(spark, sf_dir).join(active, "mid", "left_semi"), "mid", path)
-    steps = files.read_key_files(spark, path, "mid")
+    # Staged, so the shuffles of the items and steps are off the disk when the files come.
+    written = sinks.stage(st_steps(spark, sf_dir).join(active, "mid", "left_semi"), "key_files_written")
+    files.write_key_files(written, "mid", path, folders=False)
+    # The files are opened once, for the metric and for the keys that have one.
+    steps = sinks.stage(files.read_key_files(spark, path, "mid"), "key_files_steps")
     found = steps.select("mid").distinct().withColumn("has_file", F.lit(True))
-    sv = scroll_variance(steps, "mid")
+    sv = scroll_variance(steps, "mid", stage_mode="table")
     return (st.eligible.join(sv, "mid", "left").join(found, "mid", "left")
             .select("mid", fixed(F.col("svness")).alias("svness"),
                     F.coalesce("has_file", F.lit(False)).alias("has_file")))

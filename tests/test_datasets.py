@@ -1,6 +1,7 @@
 """Dataset identity and publication, folder-form inputs, resumable streams, exports."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,45 @@ def test_key_files_are_one_for_each_key(spark, tmp_path):
     path = files.write_key_files(steps, "mid", str(tmp_path / "keys"))
     assert [len(list((tmp_path / "keys" / f"mid={k}").glob("*.txt"))) for k in (1, 2, 3)] == [1, 1, 1]
     assert sorted(tuple(r) for r in files.read_key_files(spark, path, "mid").collect()) == rows
+
+
+def test_key_files_without_folders_are_one_file_for_each_key(spark, tmp_path):
+    """A key's file is the only thing that it puts on the disk: no folder, no checksum, no part of another try."""
+    rows = [(k, o, float(o) / 3) for k in [*range(-300, 300), None] for o in range(7)]
+    steps = spark.createDataFrame(rows, "mid bigint, offset bigint, speed double").repartition(6)
+    (tmp_path / "keys").mkdir()
+    (tmp_path / "keys" / "9999.00000.txt").write_text("1,1\n")  # of a table written before
+    path = files.write_key_files(steps, "mid", str(tmp_path / "keys"), folders=False)
+    found = list((tmp_path / "keys").iterdir())
+    assert len(found) == 601 and all(f.is_file() and f.suffix == ".txt" for f in found)
+    got = [tuple(r) for r in files.read_key_files(spark, path, "mid").collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+
+
+def test_key_files_of_a_hot_key_odd_names_and_none(spark, tmp_path):
+    steps = spark.range(60_000).selectExpr("CASE WHEN id < 50000 THEN 'hot' ELSE concat('_a/b=', id % 3, '.') END AS k", "id AS offset", "id / 7D AS speed")
+    for folders in (True, False):
+        path = files.write_key_files(steps, "k", str(tmp_path / f"keys{folders}"), folders)
+        raw = files.read_key_files(spark, path, "k")  # names that are no numbers give no key
+        assert raw.count() == 60_000 and raw.where("k IS NOT NULL").isEmpty()
+        assert raw.agg(F.sum("offset")).first()[0] == sum(range(60_000))
+        assert sum(len(list((tmp_path / f"keys{folders}").rglob(x))) for x in ("*.crc", ".*.txt.*")) == 0
+    path = files.write_key_files(steps.limit(0), "k", str(tmp_path / "none"), folders=False)
+    assert files.read_key_files(spark, path, "k").isEmpty()
+
+
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {x for x in found.mkString("\n").split("\n") if x.endswith(".data") and "/shuffle_" in x}
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    """Its shuffle files go with the write; later reads take the table's files."""
+    before = shuffle_files(spark)
+    staged = sinks.stage(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "no_shuffles")
+    for _ in range(100):  # they are deleted on the side
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
+    assert staged.count() == 100 and spark.conf.get(sinks.DROP_SHUFFLES, "false") == "false"

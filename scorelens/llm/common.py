@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sources.sinks import delete_path, stage
+from ..sources.sinks import drop_staged, stage  # noqa: F401
 
 __all__ = ["prepare", "stage", "stage_and_free", "drop_staged", "checksum", "key_runs", "mix64", "window_hashes"]
 
@@ -34,13 +34,6 @@ def stage_and_free(df: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
-def drop_staged(*tables: DataFrame) -> None:
-    """Delete the folders of staged tables that nothing reads any more."""
-    for t in tables:
-        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            delete_path(t.sparkSession, path)
-
-
 def checksum(df: DataFrame) -> tuple[int, int]:
     """(rows, order-free hash) of a table: two equal values mean that a loop has settled."""
     row = df.agg(F.count(F.lit(1)).alias("n"),

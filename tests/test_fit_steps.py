@@ -73,3 +73,24 @@ def test_head_makes_its_rows_once(spark):
     rows, made = counted(rows, "y", "double")
     assert len(HD.train_head(rows, HD.HeadConfig(dim=2, epochs=2)).log) == 2
     assert made.value == 80
+
+
+def test_a_fit_leaves_only_what_its_model_reads(spark):
+    import os
+
+    from scorelens.plans.modeling import holdout_predictions, train
+    from scorelens.session import scratch_path
+
+    def staged():
+        top = os.path.dirname(os.path.dirname(scratch_path(spark, "fitted"))).removeprefix("file://")
+        return {f"{d}/{x}" for d in ("groups", "item_residuals", "residuals", "fitted") if os.path.isdir(f"{top}/{d}") for x in os.listdir(f"{top}/{d}")}
+
+    before = staged()
+    h = F.xxhash64("id")
+    export = spark.range(900).select(F.concat(F.pmod(h, F.lit(20)).cast("string"), F.lit("/0")).alias("mid"),
+                                     F.concat(F.pmod(F.shiftright(h, 20), F.lit(30)).cast("string"), F.lit("/1")).alias("uid"),
+                                     (F.lit(0.8) + F.pmod(h, F.lit(97)) / 500).cast("float").alias("accuracy"))
+    tr = train(export)
+    assert staged() == before
+    assert holdout_predictions(tr).where("pred IS NOT NULL").count() == 90
+    assert tr.model.users.count() == 30 and tr.model.items.count() == 20
